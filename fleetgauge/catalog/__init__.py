@@ -4,6 +4,6 @@ from fleetgauge.catalog.registry import QUERIES, Query
 
 
 def all_queries() -> dict[str, Query]:
-    from fleetgauge.catalog import evaluation, telemetry, work_grid  # noqa: F401
+    from fleetgauge.catalog import evaluation, telemetry, texts, work_grid  # noqa: F401
 
     return QUERIES

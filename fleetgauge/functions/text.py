@@ -122,7 +122,7 @@ def cut_explanation(x: Column, compat: bool = False) -> Column:
     a mere prefix, which also ends the text at code such as ``items = []``.
     """
     words = "|".join(EXPLANATION_WORDS)
-    edge = "" if compat else r"\b"
+    edge = "" if compat else r"(?:[^\p{L}\p{N}_]|\z)"
     stop = rf"^(?:```|(?i:{words}){edge})"
 
     def keep(lines: Column) -> Column:
