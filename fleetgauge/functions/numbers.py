@@ -80,28 +80,46 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
     )
 
 
-def fixed_point(x: Column, digits: int) -> Column:
-    """Text of ``x`` with ``digits`` decimals, rounding the binary value half to even.
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fixed_point(x: Column, digits: int | Column) -> Column:
+    """Text of ``x`` with ``digits`` (0 to 6) decimals, rounding the binary value half to even.
 
     ``format_string`` rounds the shortest decimal rendering half up, so 2.675 and 0.125 would
     differ from logs written by C or Python formatting. The fraction is scaled to an integer
     (exact for doubles) and rounded with decimal arithmetic instead.
     """
-    scale = 10**digits
-    size = F.abs(x)
-    whole = F.floor(size)
-    scaled = ((size - whole) * float(_TWO_62)).cast("bigint").cast("decimal(20,0)") * F.lit(
-        scale
-    ).cast("decimal(8,0)")
+    places = F.lit(digits) if isinstance(digits, int) else digits
+    powers = F.array(*[F.lit(10**i).cast("bigint") for i in range(7)])
     two62 = F.lit(_TWO_62).cast("decimal(20,0)")
-    rest = scaled % two62
-    part = ((scaled - rest) / two62).cast("bigint")
     half = F.lit(_TWO_62 // 2).cast("decimal(20,0)")
-    odd = (part % 2 == 1) if digits else (whole % 2 == 1)
-    up = F.when((rest > half) | ((rest == half) & odd), 1).otherwise(0)
-    units = whole * F.lit(scale).cast("bigint") + part + up
-    head = F.floor(units / scale) if digits == 0 else (units - units % scale) / scale
-    text = head.cast("bigint").cast("string")
-    if digits:
-        text = F.concat(text, F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
-    return F.when(x.isNotNull(), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), text))
+
+    def scaled(v: Column) -> Column:
+        fraction = ((v["size"] - F.floor(v["size"])) * float(_TWO_62)).cast("bigint")
+        product = fraction.cast("decimal(20,0)") * v["scale"].cast("decimal(8,0)")
+        return let(product, lambda p: rounded(v, p))
+
+    def rounded(v: Column, p: Column) -> Column:
+        part = ((p - p % two62) / two62).cast("bigint")
+        # The last kept digit is the fraction's, or the whole number's without decimals.
+        last = F.when(v["places"] == 0, F.floor(v["size"])).otherwise(part)
+        up = (p % two62 > half) | ((p % two62 == half) & (last % 2 == 1))
+        units = F.floor(v["size"]) * v["scale"] + part + F.when(up, 1).otherwise(0)
+        return let(units.cast("bigint"), lambda u: text(v, u))
+
+    def text(v: Column, u: Column) -> Column:
+        whole = ((u - u % v["scale"]) / v["scale"]).cast("bigint").cast("string")
+        tail = F.lpad((u % v["scale"]).cast("string"), v["places"], F.lit("0"))
+        decimals = F.when(v["places"] == 0, F.lit("")).otherwise(F.concat(F.lit("."), tail))
+        return F.concat(F.when(v["minus"], F.lit("-")).otherwise(F.lit("")), whole, decimals)
+
+    parts = F.struct(
+        F.abs(x).alias("size"),
+        (x < 0).alias("minus"),
+        places.cast("int").alias("places"),
+        F.element_at(powers, places.cast("int") + 1).alias("scale"),
+    )
+    return let(parts, scaled)

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fleetgauge.fixed_values import REFLECTION_SEPARATOR
-from fleetgauge.functions.numbers import fixed_point
+from fleetgauge.functions.numbers import fixed_point, let
 
 
 def number_or_na(x: Column) -> Column:
@@ -13,10 +13,11 @@ def number_or_na(x: Column) -> Column:
 
 def human_number(x: Column, unit: str | Column = "") -> Column:
     suffix = F.lit(unit) if isinstance(unit, str) else unit
-    text = (
-        F.when(x >= 1000, F.concat(fixed_point(x / 1000.0, 1), F.lit("K")))
-        .when(x >= 1, fixed_point(x, 2))
-        .otherwise(fixed_point(x, 3))
+    large = x >= 1000
+    digits = F.when(large, 1).when(x >= 1, 2).otherwise(3)
+    text = F.concat(
+        fixed_point(F.when(large, x / 1000.0).otherwise(x), digits),
+        F.when(large, F.lit("K")).otherwise(F.lit("")),
     )
     return F.concat(text, suffix)
 
@@ -28,20 +29,23 @@ def change_percent(before: Column, after: Column) -> Column:
 
 def improvement(before: Column, after: Column, higher_is_better: Column) -> Column:
     """Improvement text: ``+`` is better, whatever the metric's direction."""
-    change = change_percent(before, after)
-    raised = F.when(change > 0, F.lit("+")).otherwise(F.lit(""))
-    lowered = F.when(change > 0, F.lit("-")).otherwise(F.lit("+"))
-    return (
-        F.when(before == 0, F.lit("N/A"))
-        .when(higher_is_better, F.concat(raised, fixed_point(change, 1), F.lit("%")))
-        .otherwise(F.concat(lowered, fixed_point(F.abs(change), 1), F.lit("%")))
-    )
+
+    def signed(change: Column) -> Column:
+        better = F.when(higher_is_better, change > 0).otherwise(change <= 0)
+        sign = F.when(better, F.lit("+")).otherwise(
+            F.when(higher_is_better, F.lit("")).otherwise(F.lit("-"))
+        )
+        shown = F.when(higher_is_better, change).otherwise(F.abs(change))
+        return F.concat(sign, fixed_point(shown, 1), F.lit("%"))
+
+    change = let(change_percent(before, after), signed)
+    return F.when(before == 0, F.lit("N/A")).otherwise(change)
 
 
 def size_text(gb: Column) -> Column:
-    return F.when(gb >= 1024, F.concat(fixed_point(gb / 1024.0, 2), F.lit("TB"))).otherwise(
-        F.concat(fixed_point(gb, 2), F.lit("GB"))
-    )
+    large = gb >= 1024
+    number = fixed_point(F.when(large, gb / 1024.0).otherwise(gb), 2)
+    return F.concat(number, F.when(large, F.lit("TB")).otherwise(F.lit("GB")))
 
 
 def progress_bar(value: Column, maximum: Column, width: int = 20) -> Column:

@@ -16,6 +16,7 @@ from fleetgauge.fixed_values import (
     PREFACES,
     STUB_BODY,
 )
+from fleetgauge.functions.numbers import let
 
 # The characters str.strip() removes.
 WHITESPACE = (
@@ -32,11 +33,6 @@ WS_CLASS = rf"[\n{_WS_INLINE}]"
 WS_INLINE_CLASS = rf"[{_WS_INLINE}]"
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def strip(x: Column) -> Column:
     return F.btrim(x, F.lit(WHITESPACE))
 

@@ -32,7 +32,7 @@ def parse_jsonl(lines: DataFrame, schema: T.StructType, keep=(), column: str = "
     row = F.col("__r")
     bad = F.when(~F.col("__t").startswith("{"), F.col("__t")).otherwise(row[_CORRUPT])
     return parsed.select(
-        *keep, *[row[f"`{f.name}`"].alias(f.name) for f in schema.fields], bad.alias(_CORRUPT)
+        *keep, *[row.getField(f.name).alias(f.name) for f in schema.fields], bad.alias(_CORRUPT)
     )
 
 
