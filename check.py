@@ -23,6 +23,25 @@ def rows_of(names, rows):
     return sorted(tuple(normal(row[i]) for i in order) for row in rows)
 
 
+FAMILIES = {
+    "bigint": {"BIGINT"},
+    "int": {"INTEGER"},
+    "double": {"DOUBLE"},
+    "string": {"VARCHAR"},
+    "boolean": {"BOOLEAN"},
+    "timestamp_ntz": {"TIMESTAMP"},
+}
+
+
+def types_differ(df, cur):
+    duck = {d[0]: str(d[1]) for d in cur.description}
+    return [
+        f"{name} {kind}/{duck[name]}"
+        for name, kind in df.dtypes
+        if duck[name] not in FAMILIES.get(kind, {kind})
+    ]
+
+
 def compare(spark, con, query, folder):
     df = query(spark, folder)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
@@ -32,6 +51,9 @@ def compare(spark, con, query, folder):
     names = [d[0] for d in cur.description]
     if sorted(names) != sorted(df.columns):
         return len(got), f"columns {sorted(df.columns)} against {sorted(names)}"
+    odd = types_differ(df, cur)
+    if odd:
+        return len(got), "types " + ", ".join(odd)
     want = rows_of(names, cur.fetchall())
     if got == want:
         return len(got), None

@@ -4,7 +4,6 @@ Files go to a fresh folder under the shared one, so a query can run again at any
 """
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetgauge import schemas
 from fleetgauge.catalog.adapters import (
@@ -27,7 +26,9 @@ from fleetgauge.operators import telemetry as tm
 from fleetgauge.sources import delimited, json_files, sinks, text_files
 from fleetgauge.sources.scratch import fresh_path
 
-_EVENT = T.StructType.fromDDL("event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE")
+_EVENT = schemas.row(
+    event_id=schemas.L, user_id=schemas.L, event_type=schemas.S, value=schemas.D
+)
 _EVENTS = "SELECT event_id, user_id, event_type, value FROM events"
 
 
@@ -251,8 +252,8 @@ def _gpu_lines(t):
     "scan_gpu_csv",
     "S8",
     sql="""SELECT 3 AS fields, event_id, CAST(event_id % 8 AS INT) AS gpu_index, floor(value) AS util_percent FROM events WHERE event_id % 3 = 0
-UNION ALL SELECT 5, event_id, event_id % 8, floor(value) FROM events WHERE event_id % 3 > 0
-UNION ALL SELECT 8, event_id, event_id % 8, floor(value) FROM events WHERE event_id % 3 = 2 AND event_id % 7 <> 0""",
+UNION ALL SELECT 5, event_id, CAST(event_id % 8 AS INT), floor(value) FROM events WHERE event_id % 3 > 0
+UNION ALL SELECT 8, event_id, CAST(event_id % 8 AS INT), floor(value) FROM events WHERE event_id % 3 = 2 AND event_id % 7 <> 0""",
 )
 def scan_gpu_csv(t):
     path = fresh_path(t.spark, "gpu-lines")

@@ -15,7 +15,6 @@ from fleetgauge.operators import profile as pf
 from fleetgauge.operators import telemetry as tm
 
 _ORD = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
-_N = F.col("l_linenumber")
 
 
 def _lines(t, text):
@@ -25,13 +24,14 @@ def _lines(t, text):
 
 
 def perf_lines(t):
+    n = F.col("l_linenumber")
     event = F.concat(F.lit("event-"), (F.col("l_partkey") % 10).cast("string"))
     text = (
-        F.when(_N == 7, F.lit("# started on a test host"))
-        .when(_N == 6, F.lit("   "))
-        .when(_N == 5, F.concat(F.lit("  <not supported>   "), event))
-        .when(_N == 4, F.lit("Performance counter stats for 'run':"))
-        .when((_N == 3) & (F.col("l_returnflag") == "A"), F.lit("Error: no access"))
+        F.when(n == 7, F.lit("# started on a test host"))
+        .when(n == 6, F.lit("   "))
+        .when(n == 5, F.concat(F.lit("  <not supported>   "), event))
+        .when(n == 4, F.lit("Performance counter stats for 'run':"))
+        .when((n == 3) & (F.col("l_returnflag") == "A"), F.lit("Error: no access"))
         .otherwise(
             F.concat(
                 F.lit("   "), F.format_number(F.col("l_orderkey") * 1000, 0), F.lit("      "), event,
@@ -57,8 +57,9 @@ def perf_counters(t):
 
 
 def strace_lines(t):
+    n = F.col("l_linenumber")
     name = F.when(
-        (F.col("l_returnflag") == "A") & (_N == 1), F.lit("total")
+        (F.col("l_returnflag") == "A") & (n == 1), F.lit("total")
     ).otherwise(F.concat(F.lit("call"), (F.col("l_partkey") % 20).cast("string")))
     text = F.concat_ws(
         "   ",
@@ -66,12 +67,12 @@ def strace_lines(t):
         F.concat(F.floor("l_quantity").cast("string"), F.lit(".5")),
         F.col("l_suppkey").cast("string"),
         F.col("l_orderkey").cast("string"),
-        F.when(_N % 2 == 0, _N.cast("string")),
+        F.when(n % 2 == 0, n.cast("string")),
         name,
     )
     text = (
-        F.when(_N == 7, F.lit("% time     seconds  usecs/call     calls    errors syscall"))
-        .when(_N == 6, F.lit("------ ----------- ----------- --------- --------- ----------------"))
+        F.when(n == 7, F.lit("% time     seconds  usecs/call     calls    errors syscall"))
+        .when(n == 6, F.lit("------ ----------- ----------- --------- --------- ----------------"))
         .otherwise(text)
     )
     return _lines(t, text)
@@ -102,25 +103,26 @@ def syscall_rows(t):
 
 
 def pidstat_lines(t):
+    n = F.col("l_linenumber")
     vol = F.concat(F.floor("l_quantity").cast("string"), F.lit(".50"))
     non = F.concat(F.col("l_suppkey").cast("string"), F.lit(".25"))
     pid = (F.col("l_partkey") + 1000).cast("string")
     text = (
-        F.when(_N == 1, F.concat_ws("   ", F.lit("10:00:01"), F.lit("0"), pid, vol, non, F.lit("python")))
+        F.when(n == 1, F.concat_ws("   ", F.lit("10:00:01"), F.lit("0"), pid, vol, non, F.lit("python")))
         .when(
-            _N == 2,
+            n == 2,
             F.concat_ws("   ", F.lit("10:00:01 PM"), F.lit("0"), pid, vol, non, F.lit("python -m x")),
         )
-        .when(_N == 3, F.concat_ws("   ", F.lit("Average:"), F.lit("0"), pid, vol, non, F.lit("python")))
-        .when(_N == 4, F.lit("10:00:01      UID       PID   cswch/s nvcswch/s  Command"))
+        .when(n == 3, F.concat_ws("   ", F.lit("Average:"), F.lit("0"), pid, vol, non, F.lit("python")))
+        .when(n == 4, F.lit("10:00:01      UID       PID   cswch/s nvcswch/s  Command"))
         .when(
-            _N == 5,
+            n == 5,
             F.concat_ws(
                 "   ", F.lit("10:00:01"), F.lit("0"), pid, F.lit("1.00"), F.lit("2.00"),
                 F.lit("0.00"), F.lit("0.00"), vol, F.lit("3"), F.lit("python"),
             ),
         )
-        .when(_N == 6, F.lit("Linux 6.1 (host)  01/01/24  _x86_64_  (8 CPU)"))
+        .when(n == 6, F.lit("Linux 6.1 (host)  01/01/24  _x86_64_  (8 CPU)"))
         .otherwise(F.lit(""))
     )
     return _lines(t, text)
@@ -158,14 +160,15 @@ def pidstat_metrics_positional(t):
 
 
 def runqlat_lines(t):
+    n = F.col("l_linenumber")
     low = F.floor("l_quantity").cast("bigint")
     high = low + F.col("l_suppkey")
-    span = F.when(_N % 2 == 0, F.concat(low.cast("string"), F.lit(" -> "), high.cast("string"))).otherwise(
+    span = F.when(n % 2 == 0, F.concat(low.cast("string"), F.lit(" -> "), high.cast("string"))).otherwise(
         F.concat(low.cast("string"), F.lit("-"), high.cast("string"))
     )
     text = (
-        F.when(_N == 7, F.lit("     usecs               : count     distribution"))
-        .when(_N == 6, F.concat(F.lit("avg = "), F.col("l_suppkey").cast("string"), F.lit(".5 usecs")))
+        F.when(n == 7, F.lit("     usecs               : count     distribution"))
+        .when(n == 6, F.concat(F.lit("avg = "), F.col("l_suppkey").cast("string"), F.lit(".5 usecs")))
         .otherwise(
             F.concat(
                 F.lit("   "), span, F.lit("    : "), (F.col("l_orderkey") % 50).cast("string"),

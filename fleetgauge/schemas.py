@@ -2,159 +2,283 @@
 
 from pyspark.sql import types as T
 
+S, D, B = T.StringType(), T.DoubleType(), T.BooleanType()
+I, L, TS = T.IntegerType(), T.LongType(), T.TimestampType()
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def row(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-PROBLEM = _schema(
-    "task_id STRING, prompt STRING, entry_point STRING, canonical_solution STRING, test STRING"
-)
 
-PROMPT = _schema(
-    "prompt_text STRING, task_id STRING, entry_point STRING, system_msg STRING, user_msg STRING,"
-    " full_task STRUCT<task_id: STRING, prompt: STRING, entry_point: STRING,"
-    " canonical_solution: STRING, test: STRING>"
-)
+def extended(base: T.StructType, **fields: T.DataType) -> T.StructType:
+    return T.StructType([*base.fields, *row(**fields).fields])
 
-WORK_ITEM = _schema("agent_id BIGINT, task_idx BIGINT, work_index BIGINT, task_id STRING")
 
-AGENT_RESULT = _schema(
-    "agent_id BIGINT, latencies ARRAY<DOUBLE>, outputs ARRAY<STRING>, task_ids ARRAY<STRING>,"
-    " successes INT, total INT, runtime_s DOUBLE, throughput_rps DOUBLE,"
-    " max_concurrent_agents INT, configured_agents INT, total_processed INT,"
-    " batch_size INT, num_batches INT"
-)
+PROBLEM = row(task_id=S, prompt=S, entry_point=S, canonical_solution=S, test=S)
 
-COMPLETION = _schema(
-    "task_id STRING, completion STRING, syntax_error STRING, passed BOOLEAN, result STRING"
+PROMPT = row(
+    prompt_text=S, task_id=S, entry_point=S, system_msg=S, user_msg=S, full_task=PROBLEM
 )
 
-AGENT_SUMMARY = _schema(
-    "agent_id BIGINT, total_tasks BIGINT, successes BIGINT, avg_latency_s DOUBLE,"
-    " total_time_s DOUBLE, throughput_rps DOUBLE, results_file STRING,"
-    " `pass@1` DOUBLE, `pass@10` DOUBLE, `pass@100` DOUBLE"
+WORK_ITEM = row(agent_id=L, task_idx=L, work_index=L, task_id=S)
+
+AGENT_RESULT = row(
+    agent_id=L,
+    latencies=T.ArrayType(D),
+    outputs=T.ArrayType(S),
+    task_ids=T.ArrayType(S),
+    successes=I,
+    total=I,
+    runtime_s=D,
+    throughput_rps=D,
+    max_concurrent_agents=I,
+    configured_agents=I,
+    total_processed=I,
+    batch_size=I,
+    num_batches=I,
 )
 
-RUN_SUMMARY_DOC = T.StructType(
-    [
-        T.StructField("num_agents", T.LongType()),
-        T.StructField("num_tasks", T.LongType()),
-        T.StructField("total_evaluations", T.LongType()),
-        T.StructField("agents", T.ArrayType(AGENT_SUMMARY)),
-    ]
+COMPLETION = row(task_id=S, completion=S, syntax_error=S, passed=B, result=S)
+
+PASS_RATES = {"pass@1": D, "pass@10": D, "pass@100": D}
+
+AGENT_SUMMARY = row(
+    agent_id=L,
+    total_tasks=L,
+    successes=L,
+    avg_latency_s=D,
+    total_time_s=D,
+    throughput_rps=D,
+    results_file=S,
+    **PASS_RATES,
 )
 
-SCORE = _schema(
-    "`pass@1` DOUBLE, total BIGINT, num_agents BIGINT, avg_latency_s DOUBLE,"
-    " avg_throughput_rps DOUBLE"
+RUN_SUMMARY_DOC = row(
+    num_agents=L, num_tasks=L, total_evaluations=L, agents=T.ArrayType(AGENT_SUMMARY)
 )
 
-MEM_SNAPSHOT = _schema(
-    "tag STRING, ts DOUBLE, cpu_ram_used_gb DOUBLE, cpu_ram_total_gb DOUBLE,"
-    " cpu_ram_percent DOUBLE, gpu_id INT, gpu_vram_free_gb DOUBLE, gpu_vram_total_gb DOUBLE,"
-    " gpu_vram_used_gb DOUBLE, gpu_mem_allocated_gb DOUBLE, gpu_mem_reserved_gb DOUBLE,"
-    " gpu_mem_source STRING, gpu_mem_get_info_error STRING, gpu_nvml_error STRING"
+SCORE = row(
+    **{"pass@1": D}, total=L, num_agents=L, avg_latency_s=D, avg_throughput_rps=D
 )
 
-GPU_INFO = _schema(
-    "id INT, name STRING, `load_%` DOUBLE, mem_used_mb DOUBLE, mem_free_mb DOUBLE,"
-    " mem_total_mb DOUBLE, mem_percent DOUBLE, temp_c DOUBLE"
+MEM_SNAPSHOT = row(
+    tag=S,
+    ts=D,
+    cpu_ram_used_gb=D,
+    cpu_ram_total_gb=D,
+    cpu_ram_percent=D,
+    gpu_id=I,
+    gpu_vram_free_gb=D,
+    gpu_vram_total_gb=D,
+    gpu_vram_used_gb=D,
+    gpu_mem_allocated_gb=D,
+    gpu_mem_reserved_gb=D,
+    gpu_mem_source=S,
+    gpu_mem_get_info_error=S,
+    gpu_nvml_error=S,
 )
 
-_RESOURCE_SCALARS = _schema(
-    "ts DOUBLE, cpu_percent DOUBLE, cpu_count INT, cpu_count_physical INT,"
-    " cpu_core_0 DOUBLE, cpu_core_1 DOUBLE, cpu_core_2 DOUBLE, cpu_core_3 DOUBLE,"
-    " ram_used_mb DOUBLE, ram_total_mb DOUBLE, ram_percent DOUBLE, ram_available_mb DOUBLE,"
-    " ram_free_mb DOUBLE, ram_cached_mb DOUBLE,"
-    " swap_used_mb DOUBLE, swap_total_mb DOUBLE, swap_percent DOUBLE,"
-    " disk_used_gb DOUBLE, disk_total_gb DOUBLE, disk_percent DOUBLE, disk_free_gb DOUBLE,"
-    " disk_read_mb DOUBLE, disk_write_mb DOUBLE, disk_read_count BIGINT,"
-    " disk_write_count BIGINT, net_sent_mb DOUBLE, net_recv_mb DOUBLE,"
-    " net_packets_sent BIGINT, net_packets_recv BIGINT, net_errors_in BIGINT,"
-    " net_errors_out BIGINT, process_count INT, gpu_count INT"
+GPU_INFO = row(
+    id=I,
+    name=S,
+    **{"load_%": D},
+    mem_used_mb=D,
+    mem_free_mb=D,
+    mem_total_mb=D,
+    mem_percent=D,
+    temp_c=D,
 )
-RESOURCE_SAMPLE = T.StructType(
-    _RESOURCE_SCALARS.fields + [T.StructField("gpu_info", T.ArrayType(GPU_INFO))]
+
+RESOURCE_SAMPLE = row(
+    ts=D,
+    cpu_percent=D,
+    cpu_count=I,
+    cpu_count_physical=I,
+    cpu_core_0=D,
+    cpu_core_1=D,
+    cpu_core_2=D,
+    cpu_core_3=D,
+    ram_used_mb=D,
+    ram_total_mb=D,
+    ram_percent=D,
+    ram_available_mb=D,
+    ram_free_mb=D,
+    ram_cached_mb=D,
+    swap_used_mb=D,
+    swap_total_mb=D,
+    swap_percent=D,
+    disk_used_gb=D,
+    disk_total_gb=D,
+    disk_percent=D,
+    disk_free_gb=D,
+    disk_read_mb=D,
+    disk_write_mb=D,
+    disk_read_count=L,
+    disk_write_count=L,
+    net_sent_mb=D,
+    net_recv_mb=D,
+    net_packets_sent=L,
+    net_packets_recv=L,
+    net_errors_in=L,
+    net_errors_out=L,
+    process_count=I,
+    gpu_count=I,
+    gpu_info=T.ArrayType(GPU_INFO),
 )
 
-SYSTEM_METRIC = _schema(
-    "timestamp STRING, cpu_percent DOUBLE, cpu_user_percent DOUBLE, cpu_system_percent DOUBLE,"
-    " cpu_iowait_percent DOUBLE, ctx_switches_total BIGINT, ctx_switches_voluntary BIGINT,"
-    " ctx_switches_involuntary BIGINT, mem_used_mb DOUBLE, mem_available_mb DOUBLE,"
-    " mem_percent DOUBLE, swap_used_mb DOUBLE,"
-    " gpu ARRAY<STRUCT<gpu_index: INT, util_percent: DOUBLE, mem_util_percent: DOUBLE,"
-    " mem_used_mb: DOUBLE, mem_total_mb: DOUBLE>>"
+SYSTEM_METRIC = row(
+    timestamp=S,
+    cpu_percent=D,
+    cpu_user_percent=D,
+    cpu_system_percent=D,
+    cpu_iowait_percent=D,
+    ctx_switches_total=L,
+    ctx_switches_voluntary=L,
+    ctx_switches_involuntary=L,
+    mem_used_mb=D,
+    mem_available_mb=D,
+    mem_percent=D,
+    swap_used_mb=D,
+    gpu=T.ArrayType(
+        row(gpu_index=I, util_percent=D, mem_util_percent=D, mem_used_mb=D, mem_total_mb=D)
+    ),
 )
 
-PERF_SAMPLE = _schema(
-    "ts DOUBLE, cpu_user DOUBLE, cpu_sys DOUBLE, ctx_switches_vol BIGINT,"
-    " ctx_switches_invol BIGINT, mem_used_mb DOUBLE,"
-    " gpu ARRAY<STRUCT<gpu_id: INT, util_percent: DOUBLE, mem_util_percent: DOUBLE>>"
+PERF_SAMPLE = row(
+    ts=D,
+    cpu_user=D,
+    cpu_sys=D,
+    ctx_switches_vol=L,
+    ctx_switches_invol=L,
+    mem_used_mb=D,
+    gpu=T.ArrayType(row(gpu_id=I, util_percent=D, mem_util_percent=D)),
 )
 
-GPU_DMON = _schema(
-    "date STRING, time STRING, gpu INT, power_w DOUBLE, gpu_temp_c DOUBLE, mem_temp_c DOUBLE,"
-    " sm_util DOUBLE, mem_util DOUBLE, enc_util DOUBLE, dec_util DOUBLE"
+GPU_DMON = row(
+    date=S,
+    time=S,
+    gpu=I,
+    power_w=D,
+    gpu_temp_c=D,
+    mem_temp_c=D,
+    sm_util=D,
+    mem_util=D,
+    enc_util=D,
+    dec_util=D,
 )
 
 GPU_CSV_FIELDS = [
-    ("gpu_index", "INT"),
-    ("util_percent", "DOUBLE"),
-    ("mem_util_percent", "DOUBLE"),
-    ("mem_used_mb", "DOUBLE"),
-    ("mem_total_mb", "DOUBLE"),
-    ("temp_c", "DOUBLE"),
-    ("power_draw_w", "DOUBLE"),
-    ("power_limit_w", "DOUBLE"),
+    ("gpu_index", "int"),
+    ("util_percent", "double"),
+    ("mem_util_percent", "double"),
+    ("mem_used_mb", "double"),
+    ("mem_total_mb", "double"),
+    ("temp_c", "double"),
+    ("power_draw_w", "double"),
+    ("power_limit_w", "double"),
 ]
 
-PERF_COUNTER = _schema("run_id STRING, event STRING, value DOUBLE, annotation STRING")
+PERF_COUNTER = row(run_id=S, event=S, value=D, annotation=S)
 
-SYSCALL_ROW = _schema(
-    "run_id STRING, syscall STRING, percent_time DOUBLE, seconds DOUBLE, usecs_per_call DOUBLE,"
-    " calls BIGINT, errors BIGINT, is_total BOOLEAN"
+SYSCALL_ROW = row(
+    run_id=S,
+    syscall=S,
+    percent_time=D,
+    seconds=D,
+    usecs_per_call=D,
+    calls=L,
+    errors=L,
+    is_total=B,
 )
 
-PROFILE_RUN = _schema(
-    "benchmark STRING, num_agents INT, config_path STRING, command STRING,"
-    " start_time_utc STRING, end_time_utc STRING, return_code INT,"
-    " tools STRUCT<perf: BOOLEAN, strace: BOOLEAN, bpftrace: BOOLEAN>,"
-    " outputs STRUCT<stdout_log: STRING, stderr_log: STRING, perf_stat: STRING,"
-    " strace_summary: STRING, bpftrace_output: STRING, system_metrics: STRING>,"
-    " perf_metrics MAP<STRING, STRUCT<value: STRING, annotation: STRING>>,"
-    " strace_metrics ARRAY<STRUCT<syscall: STRING, percent_time: STRING, seconds: STRING,"
-    " usecs_per_call: STRING, calls: STRING, errors: STRING>>,"
-    " system_metrics_summary STRUCT<samples: BIGINT, cpu_percent_avg: DOUBLE,"
-    " cpu_percent_max: DOUBLE, mem_percent_avg: DOUBLE, mem_percent_max: DOUBLE,"
-    " gpu_util_percent_avg: DOUBLE, gpu_util_percent_max: DOUBLE>"
+PROFILE_RUN = row(
+    benchmark=S,
+    num_agents=I,
+    config_path=S,
+    command=S,
+    start_time_utc=S,
+    end_time_utc=S,
+    return_code=I,
+    tools=row(perf=B, strace=B, bpftrace=B),
+    outputs=row(
+        stdout_log=S,
+        stderr_log=S,
+        perf_stat=S,
+        strace_summary=S,
+        bpftrace_output=S,
+        system_metrics=S,
+    ),
+    perf_metrics=T.MapType(S, row(value=S, annotation=S)),
+    strace_metrics=T.ArrayType(
+        row(syscall=S, percent_time=S, seconds=S, usecs_per_call=S, calls=S, errors=S)
+    ),
+    system_metrics_summary=row(
+        samples=L,
+        cpu_percent_avg=D,
+        cpu_percent_max=D,
+        mem_percent_avg=D,
+        mem_percent_max=D,
+        gpu_util_percent_avg=D,
+        gpu_util_percent_max=D,
+    ),
 )
 
-PHASE_METRICS = _schema(
-    "run_id STRING, phase STRING, avg_latency_s DOUBLE, throughput_rps DOUBLE, successes DOUBLE,"
-    " gpu_idle DOUBLE, context_switches_per_sec DOUBLE, cpu_util DOUBLE,"
-    " voluntary_cswch DOUBLE, nonvoluntary_cswch DOUBLE, avg_sched_latency_us DOUBLE,"
-    " runtime_s DOUBLE"
+PHASE_METRICS = row(
+    run_id=S,
+    phase=S,
+    avg_latency_s=D,
+    throughput_rps=D,
+    successes=D,
+    gpu_idle=D,
+    context_switches_per_sec=D,
+    cpu_util=D,
+    voluntary_cswch=D,
+    nonvoluntary_cswch=D,
+    avg_sched_latency_us=D,
+    runtime_s=D,
 )
 
-TRACE_EVENT = _schema(
-    "timestamp DOUBLE, task_id STRING, stage STRING,"
-    " payload STRUCT<reasoning: STRING, latency_s: DOUBLE, success: BOOLEAN,"
-    " completion_preview: STRING, message: STRING, need_reflection: BOOLEAN,"
-    " attempt: INT, enabled: BOOLEAN>"
+TRACE_EVENT = row(
+    timestamp=D,
+    task_id=S,
+    stage=S,
+    payload=row(
+        reasoning=S,
+        latency_s=D,
+        success=B,
+        completion_preview=S,
+        message=S,
+        need_reflection=B,
+        attempt=I,
+        enabled=B,
+    ),
 )
 
-ATTEMPT = _schema(
-    "run_id STRING, agent_id BIGINT, task_id STRING, attempt INT, gpu_id INT,"
-    " started_at TIMESTAMP, ended_at TIMESTAMP, completion STRING, latency_s DOUBLE,"
-    " ok BOOLEAN, is_reflection BOOLEAN"
+ATTEMPT = row(
+    run_id=S,
+    agent_id=L,
+    task_id=S,
+    attempt=I,
+    gpu_id=I,
+    started_at=TS,
+    ended_at=TS,
+    completion=S,
+    latency_s=D,
+    ok=B,
+    is_reflection=B,
 )
 
-OUTCOME = _schema("agent_id BIGINT, task_id STRING, sample BIGINT, passed BOOLEAN")
+OUTCOME = row(agent_id=L, task_id=S, sample=L, passed=B)
 
-SCHED_EVENT = _schema("ts TIMESTAMP, tid BIGINT, comm STRING")
+SCHED_EVENT = row(ts=TS, tid=L, comm=S)
 
-PROCESS_SAMPLE = _schema(
-    "ts TIMESTAMP, pid BIGINT, name STRING, cmdline STRING, cpu_percent DOUBLE,"
-    " rss_bytes BIGINT, vol_switches BIGINT, nonvol_switches BIGINT"
+PROCESS_SAMPLE = row(
+    ts=TS,
+    pid=L,
+    name=S,
+    cmdline=S,
+    cpu_percent=D,
+    rss_bytes=L,
+    vol_switches=L,
+    nonvol_switches=L,
 )
