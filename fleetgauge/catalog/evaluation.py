@@ -13,6 +13,7 @@ from fleetgauge.catalog.adapters import (
 from fleetgauge.catalog.registry import query
 from fleetgauge.functions.numbers import pass_at_k
 from fleetgauge.operators import evaluation as ev
+from fleetgauge.plans.evaluation_run import agent_evaluation
 
 _FIRST = """first AS (
   SELECT agent_id, task_id, coalesce(ok, false) AS ok,
@@ -37,7 +38,7 @@ _PASS_K = """CASE WHEN n - c < {k} THEN 1.0::DOUBLE WHEN c = 0 THEN 0.0::DOUBLE
 FROM (SELECT task_id, count(*) AS n, count(*) FILTER (passed) AS c FROM attempts GROUP BY 1) t""",
 )
 def pass_at_k_by_task(t):
-    n, c = F.col("n").cast("int"), F.col("c").cast("int")
+    n, c = F.col("n"), F.col("c")
     return ev.task_counts(attempts(t), []).select(
         "task_id",
         "n",
@@ -65,7 +66,7 @@ def pass_at_k_by_brand(t):
     branded = counts.join(
         t.part.select(F.col("p_partkey").alias("task_id"), "p_brand"), "task_id", "inner"
     )
-    n, c = F.col("n").cast("int"), F.col("c").cast("int")
+    n, c = F.col("n"), F.col("c")
     return branded.groupBy("p_brand").agg(
         F.count(F.lit(1)).alias("tasks"),
         *[
@@ -77,10 +78,14 @@ def pass_at_k_by_brand(t):
 
 def agent_scores(t):
     """The headline result: attempts to per-agent summaries with pass@k."""
+    return agent_evaluation(attempts(t), problems(t))
+
+
+def composed_agent_scores(t):
+    """The same rows from the separate operators."""
     tries = attempts(t)
-    summary = ev.agent_summary(ev.first_success(tries))
-    scores = ev.pass_at_ks(tries, problems(t))
-    return ev.with_scores(summary, scores)
+    summary = ev.agent_summary(ev.first_success(tries, with_completion=False))
+    return ev.with_scores(summary, ev.pass_at_ks(tries, problems(t)))
 
 
 _AGENTS = f"""{_FIRST},
@@ -121,13 +126,14 @@ def agent_scores_query(t):
 @query(
     "overall_score",
     "A4",
+    "J8",
     sql=with_(ATTEMPTS, _AGENTS)
     + """SELECT round(avg(coalesce(p1, 0)), 9) AS pass_1, count(*) AS num_agents,
   round(avg(avg_latency_s), 9) AS avg_latency_s, round(avg(throughput_rps), 9) AS avg_throughput_rps
 FROM agents a LEFT JOIN scores s ON s.agent_id = a.agent_id""",
 )
 def overall_score(t):
-    score = ev.overall_score(agent_scores(t))
+    score = ev.overall_score(composed_agent_scores(t))
     return score.select(
         F.round("`pass@1`", 9).alias("pass_1"),
         "num_agents",

@@ -11,7 +11,7 @@ from fleetgauge.fixed_values import (
     PREFACES,
 )
 from fleetgauge.functions import numbers, present, text
-from fleetgauge.functions.text import WHITESPACE, WS_CLASS, WS_INLINE_CLASS
+from fleetgauge.functions.whitespace import WHITESPACE, WS_CLASS, WS_INLINE_CLASS
 
 _W = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fleetgauge.fixed_values import MIN_SECONDS
+from fleetgauge.functions.whitespace import WS_CLASS, strip
 
 _TWO_62 = 4611686018427387904
 
@@ -35,9 +36,12 @@ def to_gibibytes(size: Column) -> Column:
 
 
 def clean_number(text: Column) -> Column:
-    """``1,234`` and ``12.5%`` as doubles; anything else null."""
-    bare = F.regexp_replace(F.regexp_replace(text, ",", ""), "%+$", "")
-    return F.when(bare.rlike(r"^-?[0-9]*\.?[0-9]+$|^-?[0-9]+\.$"), bare).try_cast("double")
+    """``1,234`` and ``12.5%`` as doubles; anything else null.
+
+    Plain string functions only: this runs on every word of profiler logs.
+    """
+    bare = F.rtrim(F.translate(text, ",", ""), F.lit("%"))
+    return F.when(F.translate(bare, "-.0123456789", "") == "", bare.try_cast("double"))
 
 
 def first_number(line: Column) -> Column:
@@ -57,8 +61,11 @@ def bucket_midpoint(text: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    """Whitespace-separated words of a line, without empty ones."""
-    return F.filter(F.split(line, r"\s+"), lambda t: t != "")
+    """Whitespace-separated words of a line; an empty line has none."""
+    bare = strip(line)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(
+        F.split(bare, f"{WS_CLASS}+")
+    )
 
 
 def rest_of(words: Column, start: int) -> Column:
@@ -67,17 +74,17 @@ def rest_of(words: Column, start: int) -> Column:
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
-    """Unbiased estimate that one of ``k`` draws from ``n`` samples, ``c`` correct, passes."""
-    product = F.aggregate(
-        F.sequence(n - c + 1, n),
+    """Unbiased estimate that one of ``k`` draws from ``n`` samples, ``c`` correct, passes.
+
+    The chance that all draws miss is a product of ``k`` ratios, so the work per task does not
+    grow with its number of samples.
+    """
+    all_miss = F.aggregate(
+        F.sequence(F.lit(0), F.lit(k - 1)),
         F.lit(1.0),
-        lambda acc, i: acc * (F.lit(1.0) - F.lit(float(k)) / i),
-    )
-    return (
-        F.when(n - c < k, F.lit(1.0))
-        .when(c == 0, F.lit(0.0))
-        .otherwise(F.lit(1.0) - product)
+        lambda acc, j: acc * ((n - c - j) / (n - j)),
     )
+    return F.when(n - c < k, F.lit(1.0)).otherwise(F.lit(1.0) - all_miss)
 
 
 def let(value: Column, use) -> Column:
@@ -85,13 +92,8 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fixed_point(x: Column, digits: int | Column) -> Column:
-    """Text of ``x`` with ``digits`` (0 to 6) decimals, rounding the binary value half to even.
-
-    ``format_string`` rounds the shortest decimal rendering half up, so 2.675 and 0.125 would
-    differ from logs written by C or Python formatting. The fraction is scaled to an integer
-    (exact for doubles) and rounded with decimal arithmetic instead.
-    """
+def _exact_point(x: Column, digits: int | Column) -> Column:
+    """The fraction is scaled to an integer (exact for doubles) and rounded as a decimal."""
     places = F.lit(digits) if isinstance(digits, int) else digits
     powers = F.array(*[F.lit(10**i).cast("bigint") for i in range(7)])
     two62 = F.lit(_TWO_62).cast("decimal(20,0)")
@@ -123,3 +125,24 @@ def fixed_point(x: Column, digits: int | Column) -> Column:
         F.element_at(powers, places.cast("int") + 1).alias("scale"),
     )
     return let(parts, scaled)
+
+
+def fixed_point(x: Column, digits: int | Column) -> Column:
+    """Text of ``x`` with ``digits`` (0 to 6) decimals, rounding the binary value half to even.
+
+    ``format_string`` rounds the shortest decimal rendering half up, so 2.675 and 0.125 would
+    differ from logs written by C or Python formatting. The two can only disagree when that
+    rendering is itself a tie (one digit more than asked, and a 5); those rare values, and ones
+    in exponent notation, take the exact route.
+    """
+    plain = x.cast("string")
+    places = F.lit(digits) if isinstance(digits, int) else digits
+    doubtful = plain.contains("E") | (
+        plain.endswith("5") & (F.length(F.substring_index(plain, ".", -1)) == places + 1)
+    )
+    choices = [digits] if isinstance(digits, int) else range(7)
+    quick = F.lit(None).cast("string")
+    for d in choices:
+        text = F.format_string(f"%.{d}f", x)
+        quick = text if isinstance(digits, int) else F.when(places == d, text).otherwise(quick)
+    return F.when(x.isNull(), F.lit(None)).when(doubtful, _exact_point(x, digits)).otherwise(quick)

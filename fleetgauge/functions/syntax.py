@@ -7,7 +7,7 @@ so copies of one text cannot pile up in a task, and repeats inside a batch are p
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.text import strip
+from fleetgauge.functions.whitespace import strip
 
 EMPTY_ERROR = "Empty completion"
 

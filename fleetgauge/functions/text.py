@@ -1,6 +1,7 @@
 """Completion clean-up as column expressions: no Python runs per row.
 
 Whitespace means what Python's ``str.strip`` means, which is wider than Spark's ``trim``.
+Patterns treat only the line feed as a line end.
 """
 
 from pyspark.sql import Column
@@ -17,33 +18,7 @@ from fleetgauge.fixed_values import (
     STUB_BODY,
 )
 from fleetgauge.functions.numbers import let
-
-# The characters str.strip() removes.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
-    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000"
-)
-# The same set as a regular-expression class body, with and without the line feed.
-_WS_INLINE = (
-    r"\t\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}"
-    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-WS_CLASS = rf"[\n{_WS_INLINE}]"
-WS_INLINE_CLASS = rf"[{_WS_INLINE}]"
-
-
-def strip(x: Column) -> Column:
-    return F.btrim(x, F.lit(WHITESPACE))
-
-
-def lstrip(x: Column) -> Column:
-    return F.ltrim(x, F.lit(WHITESPACE))
-
-
-def rstrip(x: Column) -> Column:
-    return F.rtrim(x, F.lit(WHITESPACE))
-
+from fleetgauge.functions.whitespace import WS_CLASS, WS_INLINE_CLASS, lstrip, rstrip, strip
 
 def lines_of(x: Column) -> Column:
     return F.split(x, "\n", -1)
@@ -108,7 +83,7 @@ def drop_docstrings(x: Column) -> Column:
     single = "|".join(pairs + other)
     quote = r'(?:"""|\'\'\')'
     block = rf"{quote}[^\n]*(?:\z|\n(?:[\s\S]*?\n)??{ws}{quote}[^\n]*|[\s\S]*\z)"
-    return F.regexp_replace(x, rf"(?m)^{ws}(?:{single}|{block})\n?", "")
+    return F.regexp_replace(x, rf"(?md)^{ws}(?:{single}|{block})\n?", "")
 
 
 def cut_explanation(x: Column, compat: bool = False) -> Column:
@@ -119,29 +94,21 @@ def cut_explanation(x: Column, compat: bool = False) -> Column:
     """
     words = "|".join(EXPLANATION_WORDS)
     edge = "" if compat else r"(?:[^\p{L}\p{N}_]|\z)"
-    stop = rf"^(?:```|(?i:{words}){edge})"
-
-    def keep(lines: Column) -> Column:
-        stops = F.transform(lines, lambda line: strip(line).rlike(stop))
-        first = F.array_position(stops, F.lit(True)).cast("int")
-        return F.slice(lines, 1, F.when(first == 0, F.size(lines)).otherwise(first - 1))
-
-    return rstrip(joined(let(lines_of(x), keep)))
-
-
-def _indent_width(line: Column) -> Column:
-    return F.length(line) - F.length(lstrip(line))
+    stop = rf"(?md)^{WS_INLINE_CLASS}*(?:```|(?i:{words}){edge})[\s\S]*\z"
+    return rstrip(F.regexp_replace(x, stop, ""))
 
 
 def _shift(lines: Column, base: int, full_only: bool) -> Column:
     """Lines moved sideways together so the shallowest non-blank one starts at ``base``."""
 
     def moved(measured: Column) -> Column:
-        least = F.array_min(F.transform(measured, lambda m: m["width"]))
+        least = F.array_min(
+            F.transform(measured, lambda m: F.when(m["rest"] != "", m["width"]))
+        )
         return F.transform(
             measured,
-            lambda m: F.when(m["width"].isNull(), F.lit("")).otherwise(
-                F.concat(F.repeat(F.lit(" "), m["width"] - least + base), lstrip(m["line"]))
+            lambda m: F.when(m["rest"] == "", F.lit("")).otherwise(
+                F.concat(F.repeat(F.lit(" "), m["width"] - least + base), m["rest"])
                 if full_only
                 else F.concat(
                     F.lit(" " * base), F.substring(m["line"], least + 1, F.length(m["line"]))
@@ -151,13 +118,17 @@ def _shift(lines: Column, base: int, full_only: bool) -> Column:
 
     measured = F.transform(
         lines,
-        lambda line: F.struct(
-            line.alias("line"),
-            F.when(strip(line) != "", _indent_width(line)).alias("width"),
+        lambda line: let(
+            lstrip(line),
+            lambda rest: F.struct(
+                line.alias("line"),
+                rest.alias("rest"),
+                (F.length(line) - F.length(rest)).alias("width"),
+            ),
         ),
     )
     if full_only:
-        measured = F.filter(measured, lambda m: m["width"].isNotNull())
+        measured = F.filter(measured, lambda m: m["rest"] != "")
     return let(measured, moved)
 
 
@@ -198,7 +169,8 @@ def extract_completion(x: Column, entry_point: Column, compat: bool = False) ->
 
 def _without_statements(x: Column) -> Column:
     starts = "|".join(DROPPED_LINE_PREFIXES)
-    return joined(F.filter(lines_of(x), lambda line: ~strip(line).rlike(f"^(?:{starts})")))
+    pattern = rf"(?md)^{WS_INLINE_CLASS}*(?:{starts})[^\n]*(?:\n|\z)"
+    return F.regexp_replace(x, pattern, "")
 
 
 def drop_leading_statements(x: Column) -> Column:

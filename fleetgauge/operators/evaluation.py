@@ -15,12 +15,8 @@ from fleetgauge.fixed_values import (
 )
 from fleetgauge.functions.numbers import pass_at_k, throughput
 from fleetgauge.functions.syntax import error_class, syntax_error
-from fleetgauge.functions.text import (
-    looks_like_code,
-    reindent,
-    rstrip,
-    sanitize_completion,
-)
+from fleetgauge.functions.text import looks_like_code, reindent, sanitize_completion
+from fleetgauge.functions.whitespace import rstrip
 from fleetgauge.plans.ordered import (
     DEFAULT_LIMITS,
     SliceLimits,
@@ -33,28 +29,42 @@ def all_columns(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.struct(*[c for c in df.columns if c not in keys])
 
 
-def first_success(attempts: DataFrame, keys: Sequence[str] = ("agent_id", "task_id")) -> DataFrame:
+def attempt_rank() -> Column:
+    """Sortable number per attempt: successful before failed, ordinary before corrective, then by
+    attempt number. A number keeps the aggregations that use it hash based."""
+    failed = F.when(F.coalesce("ok", F.lit(False)), F.lit(0)).otherwise(F.lit(1 << 62))
+    late = F.when(F.coalesce("is_reflection", F.lit(False)), F.lit(1 << 61)).otherwise(F.lit(0))
+    return failed.cast("bigint") + late.cast("bigint") + F.col("attempt").cast("bigint")
+
+
+def first_success(
+    attempts: DataFrame,
+    keys: Sequence[str] = ("agent_id", "task_id"),
+    with_completion: bool = True,
+) -> DataFrame:
     """One row per work item: its first successful attempt, else an empty failed one.
 
     Corrective attempts (``is_reflection``) come after every ordinary attempt, so they replace
-    the output only where no ordinary attempt succeeded.
+    the output only where no ordinary attempt succeeded. Without the completion text nothing but
+    numbers is aggregated.
     """
-    ranked = F.struct(
-        (~F.coalesce("ok", F.lit(False))).alias("failed"),
-        F.coalesce("is_reflection", F.lit(False)).alias("late"),
-        F.col("attempt"),
-    )
+    rank = attempt_rank()
+    ok = F.coalesce(F.bool_or("ok"), F.lit(False))
+    text = [F.min_by("completion", rank).alias("__text")] if with_completion else []
     chosen = attempts.groupBy(*keys).agg(
-        F.min_by(F.struct("attempt", "completion", "latency_s", "ok"), ranked).alias("w"),
+        *text,
+        F.min_by("latency_s", rank).alias("latency_s"),
+        F.min_by("attempt", rank).alias("attempt"),
+        ok.alias("ok"),
         F.count(F.lit(1)).alias("attempts_made"),
     )
-    ok = F.coalesce(F.col("w.ok"), F.lit(False))
+    shown = F.when(F.col("ok"), F.col("__text")).otherwise(F.lit(""))
     return chosen.select(
         *keys,
-        F.when(ok, F.col("w.completion")).otherwise(F.lit("")).alias("completion"),
-        F.col("w.latency_s").alias("latency_s"),
-        F.when(ok, F.col("w.attempt")).alias("attempt"),
-        ok.alias("ok"),
+        *([shown.alias("completion")] if with_completion else []),
+        "latency_s",
+        F.when(F.col("ok"), F.col("attempt")).alias("attempt"),
+        "ok",
         "attempts_made",
     )
 
@@ -82,7 +92,7 @@ def pass_at_ks(
     counts = task_counts(outcomes, keys)
     if problems is not None:
         counts = counts.join(problems.select("task_id").distinct(), "task_id", "left_semi")
-    n, c = F.col("n").cast("int"), F.col("c").cast("int")
+    n, c = F.col("n"), F.col("c")
     scored = counts.select(
         *keys, "n", *[pass_at_k(n, c, k).alias(f"__p{k}") for k in ks]
     )
@@ -159,7 +169,9 @@ def latency_summary(
             F.approx_percentile(value, PERCENTILE_95).alias("p95_s"),
         )
     copies = known.groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = with_running_sum(copies, keys, ["__v"], F.col("__c"), "__upto", "__n", limits)
+    ranked = with_running_sum(
+        copies, keys, ["__v"], F.col("__c"), "__upto", "__n", limits, at_most=known
+    )
     v, upto, n = F.col("__v"), F.col("__upto"), F.col("__n")
     low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
     p95 = F.greatest(F.floor(F.lit(PERCENTILE_95) * n), F.lit(1))
@@ -418,7 +430,10 @@ def peak_concurrency(
     net = steps.groupBy(*keys, "t").agg(
         F.sum("d").alias("d"), F.count_if(F.col("d") > 0).alias("s")
     )
-    running = with_running_sum(net, keys, ["t"], F.col("d"), "active", limits=limits)
+    ends = intervals.select(*keys).unionAll(intervals.select(*keys))
+    running = with_running_sum(
+        net, keys, ["t"], F.col("d"), "active", limits=limits, at_most=ends
+    )
     return running.groupBy(*keys).agg(
         F.max("active").alias("max_concurrent"), F.sum("s").alias("started")
     )

@@ -15,14 +15,13 @@ from fleetgauge.fixed_values import (
     STRACE_SKIPPED_PREFIXES,
 )
 from fleetgauge.functions.numbers import (
-    bucket_range,
     clean_number,
     divide_or,
     first_number,
     rest_of,
     tokens,
 )
-from fleetgauge.functions.text import strip
+from fleetgauge.functions.whitespace import strip
 from fleetgauge.operators.telemetry import latest
 
 
@@ -127,18 +126,20 @@ def pidstat_samples(
         )
     timed = rows.where(~F.col("__line").startswith("Average:"))
     clock = F.when(F.get(w, F.lit(1)).isin("AM", "PM"), 2).otherwise(1)
-    values = timed.withColumn("__w", F.slice(w, clock + 1, F.greatest(F.size(w), F.lit(1))))
-    numeric = F.transform(w, lambda t: clean_number(t).isNotNull())
-    first_text = F.array_position(numeric, F.lit(False)).cast("int")
-    run = F.when(first_text == 0, F.size(w)).otherwise(first_text - 1)
-    measured = values.withColumn("__n", run).where(F.col("__n") >= 4)
-    switching = F.col("__n") < 7
-    return measured.select(
+
+    def figure(i: int) -> Column:
+        return clean_number(F.get(w, F.col("__k") + i))
+
+    placed = timed.withColumn("__k", clock).where(figure(3).isNotNull())
+    switching = figure(4).isNull() | (F.size(w) == F.col("__k") + 5)
+    # Older releases report no %wait, which puts total CPU one word earlier.
+    total_cpu = F.when(figure(7).isNotNull(), figure(6)).otherwise(figure(5))
+    return placed.select(
         *keys,
         "ord",
-        F.when(switching, clean_number(w[2])).alias("cswch"),
-        F.when(switching, clean_number(w[3])).alias("nvcswch"),
-        F.when(~switching, clean_number(F.get(w, F.col("__n") - 2))).alias("cpu"),
+        F.when(switching, figure(2)).alias("cswch"),
+        F.when(switching, figure(3)).alias("nvcswch"),
+        F.when(~switching, total_cpu).alias("cpu"),
     )
 
 
@@ -157,19 +158,21 @@ def pidstat_metrics(samples: DataFrame, keys: Sequence[str] = ("run_id",)) -> Da
 def histogram_rows(lines: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Buckets ``lo -> hi : n`` or ``lo-hi : n`` and, apart, lines that state an average."""
     line = F.col("line")
-    pattern = r"^\s*([0-9]+(?:\s*(?:->|-)\s*[0-9]+)?)\s*:\s*([0-9]+)\s*(?:\|.*)?$"
-    bucket = F.regexp_extract(line, pattern, 1)
-    low, high = bucket_range(bucket)
-    is_bucket = bucket != ""
+    pattern = r"^\s*([0-9]+)(?:\s*(?:->|-)\s*([0-9]+))?\s*:\s*([0-9]+)\s*(?:\|.*)?$"
     says_avg = F.lower(line).contains("avg") | F.lower(line).contains("average")
-    return lines.select(
+    useful = lines.where(line.rlike(pattern) | says_avg)
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(line, pattern, group).try_cast("double")
+
+    return useful.select(
         *keys,
         "ord",
-        F.when(is_bucket, low).alias("low"),
-        F.when(is_bucket, high).alias("high"),
-        F.when(is_bucket, F.regexp_extract(line, pattern, 2).try_cast("bigint")).alias("count"),
-        F.when(~is_bucket & says_avg, first_number(line)).alias("stated_avg"),
-    ).where(F.col("count").isNotNull() | F.col("stated_avg").isNotNull())
+        part(1).alias("low"),
+        F.coalesce(part(2), part(1)).alias("high"),
+        part(3).cast("bigint").alias("count"),
+        F.when(says_avg & ~line.rlike(pattern), first_number(line)).alias("stated_avg"),
+    )
 
 
 def histogram_mean(

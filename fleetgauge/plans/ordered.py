@@ -58,9 +58,14 @@ def with_running_sum(
     name: str,
     total: str | None = None,
     limits: SliceLimits = DEFAULT_LIMITS,
+    at_most: DataFrame | None = None,
 ) -> DataFrame:
-    """Sum of ``value`` over the key's rows up to and including this one, in ``order``."""
-    sliced, keys, heavy = _slice(df, keys, order, limits)
+    """Sum of ``value`` over the key's rows up to and including this one, in ``order``.
+
+    ``at_most`` is a frame that is cheaper to count and has, per key, no fewer rows than ``df``
+    (what ``df`` was aggregated from); while its keys are moderate ``df`` itself is not counted.
+    """
+    sliced, keys, heavy = _slice(df, keys, order, limits, at_most)
     part = [*keys, _SLICE] if heavy else list(keys)
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -139,7 +144,22 @@ def _attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(right), same, "left").drop(*[f"__r_{c}" for c in on])
 
 
-def _slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], limits: SliceLimits):
+def _largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.agg(F.max("__n")).first()[0] or 0
+
+
+def _slice(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    limits: SliceLimits,
+    at_most: DataFrame | None = None,
+):
+    if at_most is not None and _largest_key(at_most, keys) <= limits.rows_per_task:
+        if not keys:
+            df, keys = df.withColumn("__all_rows", F.lit(0)), ["__all_rows"]
+        return df, list(keys), False
     if not keys:
         df, keys = df.withColumn("__all_rows", F.lit(0)), ["__all_rows"]
     keys = list(keys)

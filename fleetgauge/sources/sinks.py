@@ -31,15 +31,13 @@ def write_text(df: DataFrame, path: str, column: str = "report", by: Sequence[st
     df.select(*by, column).write.mode("overwrite").partitionBy(*by).text(path)
 
 
-def write_by_key(df: DataFrame, path: str, by: Sequence[str], splits_per_key: int = 16) -> None:
+def write_by_key(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """A folder per key value.
 
-    Rows meet by key before the write so a key has few files; the salt spreads a large key over
-    up to ``splits_per_key`` tasks instead of one.
+    The rebalance hint brings a key's rows together so it has few files, and lets the adaptive
+    planner cut a key that outgrows one partition into several and merge small ones.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(splits_per_key))
-    spread = df.repartition(*[F.col(c) for c in by], salt)
-    spread.write.mode("overwrite").partitionBy(*by).json(path)
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).json(path)
 
 
 def summary_documents(
