@@ -11,8 +11,14 @@ from fleetgauge.fixed_values import (
     PREFACES,
 )
 from fleetgauge.functions import numbers, present, text
-from fleetgauge.functions.whitespace import WHITESPACE, WS_CLASS, WS_INLINE_CLASS
+from fleetgauge.functions.whitespace import WHITESPACE
 
+# The whitespace set in the syntax of the comparison engine's regular expressions.
+WS_INLINE_CLASS = (
+    r"[\t\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}"
+    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+WS_CLASS = rf"[\n{WS_INLINE_CLASS[1:]}"
 _W = " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
 
 

@@ -36,12 +36,9 @@ def to_gibibytes(size: Column) -> Column:
 
 
 def clean_number(text: Column) -> Column:
-    """``1,234`` and ``12.5%`` as doubles; anything else null.
-
-    Plain string functions only: this runs on every word of profiler logs.
-    """
-    bare = F.rtrim(F.translate(text, ",", ""), F.lit("%"))
-    return F.when(F.translate(bare, "-.0123456789", "") == "", bare.try_cast("double"))
+    """``1,234`` and ``12.5%`` as doubles; anything else null."""
+    bare = F.rtrim(F.replace(text, F.lit(","), F.lit("")), F.lit("%"))
+    return F.when(text.rlike(r"^[-.,0-9]+%*$"), bare.try_cast("double"))
 
 
 def first_number(line: Column) -> Column:
@@ -61,11 +58,8 @@ def bucket_midpoint(text: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    """Whitespace-separated words of a line; an empty line has none."""
-    bare = strip(line)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(
-        F.split(bare, f"{WS_CLASS}+")
-    )
+    """Whitespace-separated words of a line, without empty ones."""
+    return F.array_remove(F.split(strip(line), f"{WS_CLASS}+"), "")
 
 
 def rest_of(words: Column, start: int) -> Column:

@@ -1,7 +1,8 @@
 """Profiler text to tidy counters, and the metrics derived from them.
 
 Every parser takes lines with an order column ``ord`` (anything sortable) and run columns, and
-keeps one row per useful line; nothing is read whole into a task.
+keeps one row per useful line; nothing is read whole into a task. Which lines are useful is one
+regular expression per format, so the filter looks at the raw line once.
 """
 
 from collections.abc import Sequence
@@ -21,27 +22,37 @@ from fleetgauge.functions.numbers import (
     rest_of,
     tokens,
 )
-from fleetgauge.functions.whitespace import strip
+from fleetgauge.functions.whitespace import NON_WS_CLASS, WS_CLASS
 from fleetgauge.operators.telemetry import latest
 
 
-def starts_with_any(x: Column, prefixes: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for prefix in prefixes:
-        hit = hit | x.startswith(prefix)
-    return hit
+_WS, _WORD = f"{WS_CLASS}*", f"{NON_WS_CLASS}+"
+_GAP = f"{WS_CLASS}+"
+_FIGURE = r"[-.,0-9]+%*"
 
 
-def contains_any(x: Column, texts: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for text in texts:
-        hit = hit | x.contains(text)
-    return hit
+def _either(texts: Sequence[str]) -> str:
+    return "|".join(texts)
 
 
-def with_words(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("__line", strip(F.col("line"))).withColumn(
-        "__w", tokens(F.col("__line"))
+# A counter line: value (or a note in angle brackets) and event.
+PERF_LINE = rf"^{_WS}(?!{_either(PERF_SKIPPED_PREFIXES)})(?:<[^>]*>|{_WORD}){_GAP}{NON_WS_CLASS}"
+# A system-call line: at least five words.
+STRACE_LINE = rf"^{_WS}(?!{_either(STRACE_SKIPPED_PREFIXES)})(?:{_WORD}{_GAP}){{4}}{NON_WS_CLASS}"
+_NO_HEADING = rf"^(?!.*(?:{_either(PIDSTAT_SKIPPED_TEXTS)})){_WS}"
+# A process line: clock (and AM/PM), user, pid and at least two figures.
+PIDSTAT_LINE = (
+    rf"{_NO_HEADING}(?!Average:){_WORD}{_GAP}(?:(?:AM|PM){_GAP})?{_WORD}{_GAP}{_WORD}{_GAP}"
+    rf"{_FIGURE}{_GAP}{_FIGURE}(?:{WS_CLASS}|$)"
+)
+PIDSTAT_ANY_LINE = rf"{_NO_HEADING}{NON_WS_CLASS}"
+
+
+def words_of(lines: DataFrame, pattern: str, keys: Sequence[str], line: Column | None = None):
+    """Words ``w`` of the lines that match."""
+    line = F.col("line") if line is None else line
+    return lines.where(F.col("line").rlike(pattern)).select(
+        *keys, "ord", tokens(line).alias("w")
     )
 
 
@@ -50,38 +61,24 @@ def perf_counters(lines: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFr
 
     ``<not supported>`` and ``<not counted>`` give a null value under the event's own name.
     """
-    rows = with_words(lines).where(
-        (F.col("__line") != "") & ~starts_with_any(F.col("__line"), PERF_SKIPPED_PREFIXES)
-    )
-    missing = F.col("__line").startswith("<") & F.col("__line").contains(">")
-    words = F.when(
-        missing,
-        F.concat(
-            F.array(F.lit("")), tokens(F.regexp_replace(F.col("__line"), r"^<[^>]*>", ""))
-        ),
-    ).otherwise(F.col("__w"))
-    named = rows.withColumn("__w", words).where(F.size("__w") >= 2)
-    picked = named.select(
+    noted = F.regexp_replace("line", rf"^{_WS}<[^>]*>", "<>")
+    w = F.col("w")
+    picked = words_of(lines, PERF_LINE, keys, noted).select(
         *keys,
         "ord",
-        F.col("__w")[1].alias("event"),
-        clean_number(F.col("__w")[0]).alias("value"),
-        rest_of(F.col("__w"), 3).alias("annotation"),
+        w[1].alias("event"),
+        clean_number(w[0]).alias("value"),
+        rest_of(w, 3).alias("annotation"),
     )
     return latest(picked, [*keys, "event"], ["ord"]).drop("ord")
 
 
 def syscall_rows(lines: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Typed rows of a system-call summary; the closing total row is marked."""
-    rows = with_words(lines).where(
-        (F.col("__line") != "")
-        & ~starts_with_any(F.col("__line"), STRACE_SKIPPED_PREFIXES)
-        & (F.size("__w") >= 5)
-    )
-    w = F.col("__w")
+    w = F.col("w")
     short = F.size(w) == 5
     syscall = F.when(short, w[4]).otherwise(F.get(w, F.lit(5)))
-    return rows.select(
+    return words_of(lines, STRACE_LINE, keys).select(
         *keys,
         "ord",
         syscall.alias("syscall"),
@@ -104,34 +101,29 @@ def pidstat_samples(
     Averages are skipped. ``compat`` reads the fourth and fifth word of every line instead, for
     both switches and CPU.
     """
-    rows = with_words(lines).where(
-        (F.col("__line") != "") & ~contains_any(F.col("line"), PIDSTAT_SKIPPED_TEXTS)
-    )
-    w = F.col("__w")
+    w = F.col("w")
     if compat:
-        fourth = F.get(w, F.lit(3))
-        plain = F.regexp_replace(fourth, r"\.", "").rlike("^[0-9]+$")
-        percent = F.regexp_replace(fourth, r"[.%]", "").rlike("^[0-9]+$")
-        fifth = F.get(w, F.lit(4)).try_cast("double")
-        both = plain & (F.size(w) >= 5) & fifth.isNotNull()
-        return rows.select(
+        fourth, fifth = F.get(w, F.lit(3)), F.get(w, F.lit(4)).try_cast("double")
+        both = fourth.rlike(r"^[.0-9]*[0-9][.0-9]*$") & fifth.isNotNull()
+        return words_of(lines, PIDSTAT_ANY_LINE, keys).select(
             *keys,
             "ord",
             F.when(both, fourth.try_cast("double")).alias("cswch"),
             F.when(both, fifth).alias("nvcswch"),
             F.when(
-                percent & (F.size(w) >= 4),
+                fourth.rlike(r"^[.%0-9]*[0-9][.%0-9]*$"),
                 F.regexp_replace(fourth, "%", "").try_cast("double"),
             ).alias("cpu"),
         )
-    timed = rows.where(~F.col("__line").startswith("Average:"))
-    clock = F.when(F.get(w, F.lit(1)).isin("AM", "PM"), 2).otherwise(1)
+    clock = F.when(w[1].isin("AM", "PM"), 2).otherwise(1)
+    placed = words_of(lines, PIDSTAT_LINE, keys).select(
+        *keys, "ord", F.slice("w", clock + 1, F.size("w")).alias("w")
+    )
 
     def figure(i: int) -> Column:
-        return clean_number(F.get(w, F.col("__k") + i))
+        return clean_number(F.get(w, F.lit(i)))
 
-    placed = timed.withColumn("__k", clock).where(figure(3).isNotNull())
-    switching = figure(4).isNull() | (F.size(w) == F.col("__k") + 5)
+    switching = figure(4).isNull() | (F.size(w) == 5)
     # Older releases report no %wait, which puts total CPU one word earlier.
     total_cpu = F.when(figure(7).isNotNull(), figure(6)).otherwise(figure(5))
     return placed.select(
