@@ -199,10 +199,13 @@ def _slice_bounds(df, heavy, keys, order, threshold) -> DataFrame:
 
 
 def _sortable(df: DataFrame, column: str) -> Column:
-    """Timestamps become microseconds so bounds survive the trip through the driver."""
+    """Times become numbers or durations, so bounds survive the trip through the driver whatever
+    the session's time zone does."""
     kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(F.col(column))
+    if isinstance(kind, T.TimestampNTZType):
+        return F.col(column) - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
     return F.col(column)
 
 
