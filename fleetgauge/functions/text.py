@@ -105,16 +105,15 @@ def _shift(lines: Column, base: int, full_only: bool) -> Column:
         least = F.array_min(
             F.transform(measured, lambda m: F.when(m["rest"] != "", m["width"]))
         )
-        return F.transform(
-            measured,
-            lambda m: F.when(m["rest"] == "", F.lit("")).otherwise(
-                F.concat(F.repeat(F.lit(" "), m["width"] - least + base), m["rest"])
-                if full_only
-                else F.concat(
-                    F.lit(" " * base), F.substring(m["line"], least + 1, F.length(m["line"]))
-                )
-            ),
-        )
+        return let(least, lambda shared: F.transform(measured, lambda m: placed(m, shared)))
+
+    def placed(m: Column, shared: Column) -> Column:
+        if full_only:
+            line = F.concat(F.repeat(F.lit(" "), m["width"] - shared + base), m["rest"])
+        else:
+            rest = F.substring(m["line"], shared + 1, F.length(m["line"]))
+            line = F.concat(F.lit(" " * base), rest)
+        return F.when(m["rest"] == "", F.lit("")).otherwise(line)
 
     measured = F.transform(
         lines,

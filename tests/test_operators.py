@@ -174,7 +174,8 @@ def test_placement_and_capacity(spark):
 
 def test_gpu_wide_and_cores(spark):
     gpu = ("r", [(0, "g", None, 10.0, None, 100.0, 10.0, None), (1, "h", 5.0, 1.0, 2.0, 3.0, 4.0, 60.0)])
-    df = spark.createDataFrame([gpu, ("s", None)], f"run_id string, gpu_info array<{schemas.GPU_INFO.simpleString()}>")
+    kind = schemas.row(run_id=schemas.S, gpu_info=schemas.RESOURCE_SAMPLE["gpu_info"].dataType)
+    df = spark.createDataFrame([gpu, ("s", None)], kind)
     got = {r.run_id: r for r in telemetry.gpu_wide(df, 3).collect()}
     assert (got["r"].gpu_count, got["r"].gpu_0_load_percent, got["r"].gpu_0_memory_free_mb) == (2, 0.0, 90.0)
     assert (got["r"].gpu_1_temperature_c, got["r"].gpu_2_name) == (60.0, None)

@@ -141,9 +141,10 @@ def test_extract_keeps_nesting(spark):
 def test_extraction_is_idempotent_on_clean_bodies(spark, bodies):
     values = ["\n".join(lines) for lines in bodies]
     once = run(spark, values, text.extract_completion(X, E))
-    # A cleaned body loses its base indent only to get it back.
-    again = run(spark, [v[4:] if v.startswith("    ") and "\n" not in v else v for v in once], text.reindent(X))
-    assert again == once
+    assert run(spark, once, text.reindent(X)) == once
+    assert run(spark, once, text.sanitize_completion(X)) == [
+        v if len(v.strip()) >= 5 else "    pass" for v in once
+    ]
 
 
 def test_sanitize(spark):
