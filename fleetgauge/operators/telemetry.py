@@ -13,7 +13,7 @@ from fleetgauge.fixed_values import (
     STAGES,
     WARM_CELSIUS,
 )
-from fleetgauge.functions.numbers import divide_or, used_percent, utilisation
+from fleetgauge.functions.numbers import used_percent, utilisation
 from fleetgauge.functions.present import number_or_na, padded
 from fleetgauge.plans.ordered import DEFAULT_LIMITS, SliceLimits, with_previous
 
@@ -158,12 +158,15 @@ def counter_rates(
 def least_loaded(devices: DataFrame, keys: Sequence[str], by_free: bool = False) -> DataFrame:
     """Device with least memory used (or most free) per key; lowest id wins ties.
 
-    Keys whose devices are all unknown get ``cpu``.
+    Keys whose devices are all unknown get ``cpu``. Samples first collapse to one number per key
+    and device, which is hash aggregation over primitives; only those few rows are compared as
+    (load, id) pairs.
     """
     measure = -F.col("free") if by_free else F.col("used")
-    known = F.col("gpu_id").isNotNull() & measure.isNotNull()
-    best = devices.groupBy(*keys).agg(
-        F.min(F.when(known, F.struct(measure.alias("load"), F.col("gpu_id")))).alias("__best")
+    each = devices.groupBy(*keys, "gpu_id").agg(F.min(measure).alias("__load"))
+    known = F.col("gpu_id").isNotNull() & F.col("__load").isNotNull()
+    best = each.groupBy(*keys).agg(
+        F.min(F.when(known, F.struct("__load", "gpu_id"))).alias("__best")
     )
     return best.select(
         *keys,
@@ -374,7 +377,3 @@ def with_memory_use(df: DataFrame) -> DataFrame:
             "used_percent": used_percent(used, F.col("total_bytes")),
         }
     )
-
-
-def mean_ratio(num: str, den: str) -> Column:
-    return divide_or(F.sum(num), F.sum(den))
