@@ -382,3 +382,29 @@ def trace_log_round_trip(t):
         F.coalesce(F.sum("payload.latency_s"), F.lit(0.0)).alias("latency_s"),
         F.count_if(F.coalesce("payload.success", F.lit(False))).alias("successes"),
     )
+
+
+@query(
+    "comparison_documents",
+    "K4",
+    "J6",
+    sql=with_(PHASES)
+    + """SELECT run_id, max(avg_latency_s) FILTER (phase = 'before') AS before_latency_s,
+  max(avg_latency_s) FILTER (phase = 'after') AS after_latency_s,
+  max(successes) FILTER (phase = 'before') AS before_successes,
+  max(successes) FILTER (phase = 'after') AS after_successes
+FROM phases GROUP BY 1""",
+)
+def comparison_documents(t):
+    path = fresh_path(t.spark, "comparisons")
+    sinks.write_documents(sinks.comparison_documents(phases(t), order=["avg_latency_s"]), path)
+    metrics = schemas.row(avg_latency_s=schemas.D, successes=schemas.D)
+    kind = schemas.row(run_id=schemas.S, before=metrics, after=metrics, timestamp=schemas.D)
+    back = json_files.read_jsonl_strict(t.spark, path, kind)
+    return back.where(F.col("timestamp").isNotNull()).select(
+        "run_id",
+        F.col("before.avg_latency_s").alias("before_latency_s"),
+        F.col("after.avg_latency_s").alias("after_latency_s"),
+        F.col("before.successes").alias("before_successes"),
+        F.col("after.successes").alias("after_successes"),
+    )

@@ -181,6 +181,13 @@ def _without_leading_blank_lines(x: Column) -> Column:
     return F.regexp_replace(x, rf"\A{WS_CLASS}*\n", "")
 
 
+def validated_body(x: Column) -> Column:
+    """Text to evaluate once it parsed: a function on its own at the margin, a body at four
+    spaces; nesting and blank lines between stay."""
+    kept = rstrip(_without_leading_blank_lines(x))
+    return F.when(strip(x).startswith("def "), dedent(kept)).otherwise(indent(kept))
+
+
 def has_error_marker(x: Column) -> Column:
     hit = F.lit(False)
     for marker in ERROR_MARKERS:

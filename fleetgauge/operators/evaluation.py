@@ -15,8 +15,7 @@ from fleetgauge.fixed_values import (
 )
 from fleetgauge.functions.numbers import pass_at_k, throughput
 from fleetgauge.functions.syntax import error_class, syntax_error
-from fleetgauge.functions.text import looks_like_code, reindent, sanitize_completion
-from fleetgauge.functions.whitespace import rstrip
+from fleetgauge.functions.text import looks_like_code, sanitize_completion, validated_body
 from fleetgauge.plans.ordered import (
     DEFAULT_LIMITS,
     SliceLimits,
@@ -247,7 +246,7 @@ def prevalidate(completions: DataFrame) -> DataFrame:
     flagged = flag_invalid(
         checked.withColumnRenamed("syntax_error", "__error"),
         F.col("__error").isNull(),
-        reindent(rstrip(F.col("completion"))),
+        validated_body(F.col("completion")),
     )
     return flagged.drop("__error")
 

@@ -226,14 +226,23 @@ def sweep_index(
         *keys, *[F.col(c).cast("double").alias(c) for c in measures]
     ).unpivot(list(keys), measures, "name", "value")
     perf = counters.select(*keys, F.col("event").alias("name"), "value")
-    calls = syscalls.where(~F.col("is_total")).select(
-        *keys, F.col("syscall").alias("name"), F.col("calls").cast("double").alias("value")
+    calls = syscalls.select(
+        *keys, F.col("syscall").alias("name"), F.col("calls").cast("double").alias("value"), "is_total"
     )
     parts = [
         part.withColumn("section", F.lit(section))
         for section, part in (("system", system), ("perf", perf), ("strace", calls))
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy(*keys, "section", "name").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("value").alias("value")
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True)
+    # The closing total line is dropped after the aggregation: a filter before it would make the
+    # parser split every line twice.
+    return (
+        rows.groupBy(*keys, "section", "name")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.sum("value").alias("value"),
+            F.count_if(F.coalesce("is_total", F.lit(False))).alias("__totals"),
+        )
+        .where(F.col("__totals") == 0)
+        .drop("__totals")
     )

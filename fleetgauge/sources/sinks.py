@@ -73,6 +73,24 @@ def summary_documents(
     )
 
 
+def comparison_documents(
+    phases: DataFrame, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ("runtime_s",)
+) -> DataFrame:
+    """One document per run with its ``before`` and ``after`` metrics and the time of writing.
+
+    Of several rows of a phase the last by ``order`` is taken.
+    """
+    fields = [c for c in phases.columns if c not in keys]
+    sides = [
+        F.max_by(
+            F.struct(*fields), F.when(F.col("phase") == side, F.struct(*order))
+        ).alias(side)
+        for side in ("before", "after")
+    ]
+    stamped = phases.groupBy(*keys).agg(*sides)
+    return stamped.withColumn("timestamp", F.unix_micros(F.current_timestamp()) / 1e6)
+
+
 def write_documents(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).json(path)

@@ -183,3 +183,21 @@ def test_syntax_error_names_the_completions_own_line(spark):
     assert run(spark, ["x = 1\ny = = 2"], syntax_error(X)) == ["SyntaxError: invalid syntax on line 2 (y = = 2)"]
     deep = "(" * 5000 + ")" * 5000
     assert run(spark, [deep], syntax_error(X))[0] is not None
+
+
+def test_prevalidated_rows_are_flagged_not_dropped(spark):
+    from fleetgauge.operators import evaluation as ev
+
+    data = [
+        ("a", "if x:\n    return 1\n\nreturn 2"),
+        ("b", "    def f():\n        return 1"),
+        ("c", "x = ("),
+        ("d", "\n\n  y = 1\n    \n  return y\n"),
+    ]
+    df = spark.createDataFrame(data, "task_id string, completion string")
+    got = {r.task_id: r for r in ev.prevalidate(df).collect()}
+    assert got["a"].completion == "    if x:\n        return 1\n\n    return 2"
+    assert got["b"].completion == "def f():\n    return 1"
+    assert (got["c"].completion, got["c"].passed, got["c"].result, got["c"].syntax_error) == ("x = (", False, "syntax_error", "syntax_error")
+    assert got["d"].completion == "    y = 1\n\n    return y"
+    assert (got["d"].passed, got["d"].result) == (None, None)
