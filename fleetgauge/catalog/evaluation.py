@@ -209,7 +209,7 @@ FROM supplier s LEFT JOIN ("""
     + _LATENCY.format(
         keys="agent_id,",
         part="PARTITION BY agent_id",
-        group="WHERE agent_id % 10 <> 3 GROUP BY agent_id",
+        group="GROUP BY agent_id",
     )
     + ") q ON q.agent_id = s.s_suppkey",
 )
@@ -220,9 +220,7 @@ def run_metrics_summary(t):
         F.lit(100).cast("bigint").alias("total"),
         F.floor("s_acctbal").cast("double").alias("runtime_s"),
     )
-    # A tenth of the agents logged no latencies; they still report a row.
-    logged = attempts(t).where(F.col("agent_id") % 10 != 3)
-    return ev.run_metrics_summary(logged, runs, ["agent_id"])
+    return ev.run_metrics_summary(attempts(t), runs, ["agent_id"])
 
 
 _FLAGGED = """flagged AS (SELECT d.source, d.doc_id % 100 AS task_id,
@@ -560,18 +558,23 @@ def completion_rows(t):
 @query(
     "failed_agent_rows",
     "P21",
-    sql=with_(ATTEMPTS, _FIRST)
+    sql=with_(
+        ATTEMPTS.replace("attempts AS", "all_attempts AS"),
+        "attempts AS (SELECT * FROM all_attempts WHERE NOT is_reflection)",
+        _FIRST,
+    )
     + """SELECT w.agent_id, w.task_id,
   CASE WHEN f.agent_id IS NULL THEN '    pass' ELSE completion END AS completion, latency_s,
   coalesce(ok, false) AS ok
-FROM (SELECT DISTINCT agent_id, task_id FROM attempts) w
-LEFT JOIN (SELECT * FROM first WHERE agent_id % 5 <> 2) f
+FROM (SELECT DISTINCT agent_id, task_id FROM all_attempts) w
+LEFT JOIN first f
   ON f.agent_id = w.agent_id AND f.task_id = w.task_id""",
 )
 def failed_agent_rows(t):
     tries = attempts(t)
     work = tries.select("agent_id", "task_id").distinct()
-    results = ev.first_success(tries.where(F.col("agent_id") % 5 != 2))
+    # Items that only a corrective attempt reached count as failed here.
+    results = ev.first_success(tries.where(~F.col("is_reflection")))
     return ev.with_failed_agents(
         work, results.select("agent_id", "task_id", "completion", "latency_s", "ok")
     )
@@ -583,7 +586,7 @@ _RUNS = """scores AS (SELECT s_suppkey AS run_id, s_nationkey / 32.0::DOUBLE AS
 agents AS (SELECT l_suppkey AS run_id, CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_quantity END AS avg_latency_s,
     CAST(l_linenumber - 1 AS DOUBLE) AS throughput_rps, CAST(l_linenumber AS BIGINT) AS successes,
     CAST(l_linenumber AS BIGINT) AS total_tasks
-  FROM lineitem WHERE l_suppkey % 4 <> 1)"""
+  FROM lineitem)"""
 
 
 def _run_documents(t):
@@ -594,8 +597,7 @@ def _run_documents(t):
         F.col("s_nationkey").cast("double").alias("avg_latency_s"),
         (F.col("s_nationkey") * 2).cast("double").alias("avg_throughput_rps"),
     )
-    # A quarter of the runs wrote no agent summary.
-    agents = t.lineitem.where(F.col("l_suppkey") % 4 != 1).select(
+    agents = t.lineitem.select(
         F.col("l_suppkey").alias("run_id"),
         F.when(F.col("l_returnflag") == "A", 0.0).otherwise(F.col("l_quantity")).alias("avg_latency_s"),
         (F.col("l_linenumber") - 1).cast("double").alias("throughput_rps"),

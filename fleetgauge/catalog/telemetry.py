@@ -13,8 +13,10 @@ from fleetgauge.catalog.adapters import (
     with_,
 )
 from fleetgauge.catalog.registry import query
+from fleetgauge.fixed_values import PROGRESS_EVERY, REPORT_EVERY
 from fleetgauge.operators import grid
 from fleetgauge.operators import telemetry as tm
+from fleetgauge.plans.ordered import with_running_sum
 
 SUMMARY = """count(*) AS samples, avg(coalesce(cpu_percent, 0)) AS cpu_percent_avg,
   max(coalesce(cpu_percent, 0)) AS cpu_percent_max, avg(mem_percent) AS mem_percent_avg,
@@ -148,8 +150,6 @@ def counter_rates(t):
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS counter FROM events""",
 )
 def cumulative_counters(t):
-    from fleetgauge.plans.ordered import with_running_sum
-
     rows = t.events.select("user_id", "ts", "event_id", F.floor("value").cast("double").alias("v"))
     summed = with_running_sum(rows, ["user_id"], ["ts", "event_id"], F.col("v"), "counter")
     return summed.select("user_id", "event_id", "counter")
@@ -383,13 +383,15 @@ _NTH = """SELECT user_id, event_id, rn AS ordinal FROM (SELECT user_id, event_id
 @query("every_tenth_task", "F6", sql=_NTH.format(w="rn % 10 = 0"))
 def every_tenth_task(t):
     rows = t.events.select("user_id", "ts", "event_id")
-    return grid.every_nth(rows, ["user_id"], ["ts", "event_id"], 10).drop("ts")
+    return grid.every_nth(rows, ["user_id"], ["ts", "event_id"], PROGRESS_EVERY).drop("ts")
 
 
 @query("every_sixth_tick", "F6", sql=_NTH.format(w="(rn - 1) % 6 = 0"))
 def every_sixth_tick(t):
     rows = t.events.select("user_id", "ts", "event_id")
-    return grid.every_nth(rows, ["user_id"], ["ts", "event_id"], 6, from_first=True).drop("ts")
+    return grid.every_nth(
+        rows, ["user_id"], ["ts", "event_id"], REPORT_EVERY, from_first=True
+    ).drop("ts")
 
 
 @query(

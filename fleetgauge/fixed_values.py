@@ -101,6 +101,7 @@ HOT_CELSIUS = 80.0
 CAPACITY_THRESHOLD = 0.9
 PROGRESS_EVERY = 10
 REPORT_EVERY = 6
+MAIN_COMMAND = "main.py"
 
 # --- Fixed values: tall metric names (name, column) ---------------------------------------
 SNAPSHOT_METRICS = [

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetgauge.fixed_values import (
     CAPACITY_THRESHOLD,
     HOT_CELSIUS,
+    MAIN_COMMAND,
     RESOURCE_METRICS,
     SNAPSHOT_METRICS,
     STAGES,
@@ -332,7 +333,7 @@ def count_by_device(placements: DataFrame, device: str = "device") -> DataFrame:
 
 
 def process_totals(
-    samples: DataFrame, name: str, keys: Sequence[str] = ("ts",), main: str = "main.py"
+    samples: DataFrame, name: str, keys: Sequence[str] = ("ts",), main: str = MAIN_COMMAND
 ) -> DataFrame:
     """Matching processes per sample: count, CPU, resident GB, and the main one's switches."""
     matching = samples.where(F.lower("name").contains(name.lower()))

@@ -341,3 +341,22 @@ def test_trace_outcomes(spark):
     steps = {(r.task_id, r.stage): (r.previous_stage, r.stage_latency_s) for r in trace.stage_latency(df).collect()}
     assert steps["once", "reasoning"] == (None, None)
     assert steps["fixed", "reflection"] == ("observation", 3.0)
+
+
+def test_missing_tools_and_latencies(spark):
+    logs = spark.createDataFrame([("r", "before", 2.0), ("s", "after", 3.0)], "run_id string, phase string, avg_latency_s double")
+    pid = spark.createDataFrame([("r", "before", 5.0)], "run_id string, phase string, cpu_util double")
+    hist = spark.createDataFrame([("s", "after", 7.0)], "run_id string, phase string, avg_sched_latency_us double")
+    assert rows(pf.phase_metrics(logs, pid, hist), "run_id") == [
+        ("r", "before", 2.0, 5.0, 0.0),
+        ("s", "after", 3.0, 0.0, 7.0),
+    ]
+    runs = spark.createDataFrame([("r", 1, 2, 4.0), ("s", 0, 3, 0.0)], "run_id string, successes long, total long, runtime_s double")
+    lat = spark.createDataFrame([("r", 1.0), ("r", 3.0), ("r", None)], "run_id string, latency_s double")
+    assert rows(ev.run_metrics_summary(lat, runs, ["run_id"]), "run_id") == [
+        ("r", 2, 2.0, 2.0, 1.0, 0.5, 1, 2),
+        ("s", 0, None, None, None, 0.0, 0, 3),
+    ]
+    agents = spark.createDataFrame([("r", 3)], "run_id string, total_tasks long")
+    sizes = spark.createDataFrame([("r", 2, 3), ("s", 0, 3)], "run_id string, num_agents long, num_tasks long")
+    assert rows(ev.progress(sizes, agents), "run_id") == [("r", 3, 6, 50.0), ("s", 0, 0, 0.0)]
