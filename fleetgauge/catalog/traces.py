@@ -1,7 +1,5 @@
 """Trace queries."""
 
-from pyspark.sql import functions as F
-
 from fleetgauge.catalog.adapters import TRACE, trace_events, with_
 from fleetgauge.catalog.registry import query
 from fleetgauge.operators import trace as tr
