@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.sources.scratch import fresh_path
@@ -29,16 +29,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def null_safe(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
-
-
-def attach(rows: DataFrame, facts: DataFrame, key: str, salts: int = 32) -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, key: str, spread_by: str, salts: int = 32) -> DataFrame:
     """Left join of ``facts`` (one row per key, few columns) to rows of which one key may hold most.
 
-    Rows are dealt by (key, salt) and each fact is repeated once per salt, so a hot key is spread
-    over ``salts`` tasks before adaptive splitting, and a group never meets in one.
+    Rows are dealt by (key, salt), the salt from the column ``spread_by``, and each fact is repeated
+    once per salt, so a hot key is spread over ``salts`` tasks before adaptive splitting, and a group
+    never meets in one.
     """
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [key, "_salt"], "left").drop("_salt")

@@ -5,18 +5,43 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetgauge.llm.chunked_bpe import chunk_reuse_encoding
 from fleetgauge.llm.common import table
 from fleetgauge.llm.packing import harmonic_packing
+from fleetgauge.llm.warc import warc_round_trip
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_round_trip(table(spark, folder, "pages"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return harmonic_packing(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op10_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk_reuse_encoding(table(spark, folder, "documents"), TOKENIZER)
+
+
 QUERIES = {
+    "op4_warc": op4_warc,
     "op9_packing": op9_packing,
+    "op10_chunked_bpe": op10_chunked_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op4_warc": """
+        WITH sized AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                sha1(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        ranked AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS largest FROM sized)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END
+                AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN largest END AS refers_to
+        FROM ranked""",
+}
