@@ -8,15 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetgauge.llm.chunked_bpe import chunk_reuse_encoding
 from fleetgauge.llm.common import table
 from fleetgauge.llm.packing import harmonic_packing
+from fleetgauge.llm.paragraph_sketch import document_fingerprints
+from fleetgauge.llm.quality import quality_scores
 from fleetgauge.llm.warc import warc_round_trip
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return document_fingerprints(table(spark, folder, "documents"))
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc_round_trip(table(spark, folder, "pages"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return harmonic_packing(table(spark, folder, "documents"), TOKENIZER)
 
@@ -26,7 +36,9 @@ def op10_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op4_warc": op4_warc,
+    "op5_quality": op5_quality,
     "op9_packing": op9_packing,
     "op10_chunked_bpe": op10_chunked_bpe,
 }
