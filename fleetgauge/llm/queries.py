@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetgauge.llm.chunked_bpe import chunk_reuse_encoding
 from fleetgauge.llm.common import table
+from fleetgauge.llm.nearest import nearest_by_inner_product
 from fleetgauge.llm.packing import harmonic_packing
 from fleetgauge.llm.paragraph_sketch import document_fingerprints
+from fleetgauge.llm.preferences import echoed_answers, preference_pairs
 from fleetgauge.llm.quality import quality_scores
 from fleetgauge.llm.warc import warc_round_trip
 
@@ -19,6 +21,10 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return document_fingerprints(table(spark, folder, "documents"))
 
 
+def op3_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    return preference_pairs(*echoed_answers(table(spark, folder, "conversations")))
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc_round_trip(table(spark, folder, "pages"))
 
@@ -27,6 +33,11 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_multiprobe(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return nearest_by_inner_product(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return harmonic_packing(table(spark, folder, "documents"), TOKENIZER)
 
@@ -37,13 +48,41 @@ def op10_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
+    "op3_preferences": op3_preferences,
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
+    "op6_multiprobe": op6_multiprobe,
     "op9_packing": op9_packing,
     "op10_chunked_bpe": op10_chunked_bpe,
 }
 
 SQL = {
+    "op3_preferences": """
+        WITH turns AS (
+            SELECT conv_id, turn, role, text,
+                max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last_answer,
+                min(turn) OVER (PARTITION BY conv_id) AS first_turn
+            FROM conversations),
+        openings AS (SELECT conv_id, min(text) AS opening FROM turns WHERE turn = first_turn GROUP BY conv_id),
+        sides AS (
+            SELECT conv_id AS pair_id, turn, role, coalesce(text, '') AS chosen,
+                coalesce(CASE WHEN turn = last_answer AND role = 'assistant' THEN opening ELSE text END, '')
+                    AS rejected
+            FROM turns JOIN openings USING (conv_id)
+            WHERE last_answer IS NULL OR turn <= last_answer),
+        ends AS (
+            SELECT pair_id, min(CASE WHEN chosen <> rejected THEN turn END) AS ended FROM sides GROUP BY pair_id),
+        parts AS (
+            SELECT pair_id, turn, role, 'prompt' AS part, chosen AS said FROM sides JOIN ends USING (pair_id)
+            WHERE ended IS NULL OR turn < ended
+            UNION ALL
+            SELECT pair_id, turn, role, 'chosen', chosen FROM sides JOIN ends USING (pair_id) WHERE turn >= ended
+            UNION ALL
+            SELECT pair_id, turn, role, 'rejected', rejected FROM sides JOIN ends USING (pair_id)
+            WHERE turn >= ended)
+        SELECT pair_id, part, turn, CAST(1 AS INTEGER) AS copy, role, '<|' || role || '|>' || chr(10) AS header,
+            said || chr(10) AS body, part <> 'prompt' AND role = 'assistant' AS trained
+        FROM parts""",
     "op4_warc": """
         WITH sized AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
