@@ -12,6 +12,7 @@ from fleetgauge.llm.packing import harmonic_packing
 from fleetgauge.llm.paragraph_sketch import document_fingerprints
 from fleetgauge.llm.preferences import echoed_answers, preference_pairs
 from fleetgauge.llm.quality import quality_scores
+from fleetgauge.llm.secrets import secret_findings
 from fleetgauge.llm.warc import warc_round_trip
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +39,10 @@ def op6_multiprobe(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_by_inner_product(rows, rows.filter("vec_id % 20 = 0"))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_findings(table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return harmonic_packing(table(spark, folder, "documents"), TOKENIZER)
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_multiprobe": op6_multiprobe,
+    "op7_secrets": op7_secrets,
     "op9_packing": op9_packing,
     "op10_chunked_bpe": op10_chunked_bpe,
 }
