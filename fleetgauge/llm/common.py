@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,33 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, spread_by: str, salts: i
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+#: A filter of keys has this many words of 64 bits, whatever the number of keys. A full filter lets
+#: keys through that aren't members and never stops one that is.
+FILTER_WORDS = 1 << 20
+
+
+def member_filter(keys: DataFrame) -> Callable[[int], bool]:
+    """A test whether a 64-bit key may be in the only column of ``keys``, for use inside tasks.
+
+    At most FILTER_WORDS rows come to the driver and a table of 8 MB goes out.
+    """
+    name = keys.columns[0]
+    place = F.pmod(F.col(name), F.lit(FILTER_WORDS * 64))
+    words = (
+        keys.select((place / 64).cast("long").alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
+        .groupBy("word")
+        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+        .collect()
+    )
+    table = np.zeros(FILTER_WORDS, np.uint64)
+    for word, bits in words:
+        table[word] = np.uint64(bits & ((1 << 64) - 1))
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    def may_hold(key: int) -> bool:
+        word, bit = divmod(key % (FILTER_WORDS * 64), 64)
+        return bool((int(shared.value[word]) >> bit) & 1)
+
+    return may_hold

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetgauge.llm.chunked_bpe import chunk_reuse_encoding
 from fleetgauge.llm.common import table
 from fleetgauge.llm.nearest import nearest_by_inner_product
+from fleetgauge.llm.ngram_join import ngram_components
 from fleetgauge.llm.packing import harmonic_packing
 from fleetgauge.llm.paragraph_sketch import document_fingerprints
 from fleetgauge.llm.preferences import echoed_answers, preference_pairs
@@ -18,6 +19,10 @@ from fleetgauge.llm.warc import warc_round_trip
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(table(spark, folder, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return document_fingerprints(table(spark, folder, "documents"))
 
@@ -52,6 +57,7 @@ def op10_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_fingerprints": op2_fingerprints,
     "op3_preferences": op3_preferences,
     "op4_warc": op4_warc,
