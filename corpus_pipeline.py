@@ -5,19 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import stored, table
+from fleetgauge.llm.ngram_join import one_of_each_group
 from fleetgauge.llm.packing import harmonic_packing
+from fleetgauge.llm.quality import score, train
 from fleetgauge.llm.queries import TOKENIZER
+from fleetgauge.llm.secrets import redacted
+from fleetgauge.llm.suffix_dedup import without_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars after a stage that changes texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network takes for good text."""
+    net = train(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(score(F.col("text"), net) >= 0.3)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, similarity 0.8 or more."""
+    return one_of_each_group(docs, width=5, percent=80)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 200-byte strings that stand in more than one place."""
+    return _counted(without_repeats(docs, length=200))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with secrets masked."""
+    return _counted(redacted(docs))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
     return harmonic_packing(docs, TOKENIZER)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("secret scans", secret_scans),
     ("packing", packing),
 ]
 

@@ -455,3 +455,15 @@ def ngram_components(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size")
     )
     return full.select(columns).unionByName(empty)
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near copies: of each component one row stays, whole.
+
+    Rows are known by a digest of id and text, and the row of the smallest digest stays. Rows that
+    repeat id and text are copies as well; texts without words have no copies but such rows.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = ngram_components(keyed.select("_key", "text"), width, percent, "_key")
+    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return keyed.join(stored(stays, "stays"), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)

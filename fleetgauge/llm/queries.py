@@ -14,6 +14,7 @@ from fleetgauge.llm.paragraph_sketch import document_fingerprints
 from fleetgauge.llm.preferences import echoed_answers, preference_pairs
 from fleetgauge.llm.quality import quality_scores
 from fleetgauge.llm.secrets import secret_findings
+from fleetgauge.llm.suffix_dedup import suffix_array_dedup
 from fleetgauge.llm.warc import warc_round_trip
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +49,10 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_findings(table(spark, folder, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_array_dedup(table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return harmonic_packing(table(spark, folder, "documents"), TOKENIZER)
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_multiprobe": op6_multiprobe,
     "op7_secrets": op7_secrets,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_chunked_bpe": op10_chunked_bpe,
 }
