@@ -20,7 +20,8 @@ _FIRST = """first AS (
          CASE WHEN ok THEN completion ELSE '' END AS completion, latency_s,
          CASE WHEN ok THEN attempt END AS attempt, made AS attempts_made
   FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, task_id
-                 ORDER BY NOT ok, is_reflection, attempt) AS rn,
+                 ORDER BY NOT ok, is_reflection,
+                   CASE WHEN ok THEN attempt ELSE -attempt END) AS rn,
                count(*) OVER (PARTITION BY agent_id, task_id) AS made
         FROM attempts) r WHERE rn = 1)"""
 
@@ -480,12 +481,14 @@ def executor_map(t):
     "J5",
     "U2",
     "U3",
-    sql="""SELECT p_partkey AS task_id, p_name AS prompt, replace(p_brand, '#', '_') AS entry_point
-FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)""",
+    sql="""SELECT doc_id AS task_id, text AS prompt, lang AS entry_point
+FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""",
 )
 def attempted_problems(t):
-    tried = t.lineitem.where(F.col("l_discount") > 0.09).select(F.col("l_partkey").alias("task_id"))
-    return ev.attempted_problems(problems(t), tried)
+    known = t.documents.select(
+        F.col("doc_id").alias("task_id"), F.col("text").alias("prompt"), F.col("lang").alias("entry_point")
+    )
+    return ev.attempted_problems(known, t.labels.select(F.col("doc_id").alias("task_id")))
 
 
 @query(
@@ -504,12 +507,11 @@ def distinct_ids(t):
 @query(
     "known_and_attempted_ids",
     "U3",
-    sql="""SELECT p_partkey AS task_id FROM part WHERE p_size > 10
-INTERSECT SELECT l_partkey FROM lineitem""",
+    sql="SELECT doc_id AS task_id FROM documents INTERSECT SELECT doc_id FROM labels",
 )
 def known_and_attempted_ids(t):
-    known = t.part.where(F.col("p_size") > 10).select(F.col("p_partkey").alias("task_id"))
-    return known.intersect(t.lineitem.select(F.col("l_partkey").alias("task_id")))
+    known = t.documents.select(F.col("doc_id").alias("task_id"))
+    return known.intersect(t.labels.select(F.col("doc_id").alias("task_id")))
 
 
 def _agent_results(t):
@@ -528,7 +530,7 @@ def _agent_results(t):
 
 
 def _prompt_list(t):
-    return t.region.where("r_regionkey < 3").select(
+    return t.region.select(
         F.col("r_regionkey").alias("position"), F.col("r_name").alias("task_id")
     )
 
@@ -549,7 +551,7 @@ _RESULT_ROWS = """rows AS (SELECT p_partkey AS agent_id, i AS position, outputs[
     sql=with_(_RESULT_ROWS)
     + """SELECT agent_id, position,
   coalesce(nullif(tid, ''), r_name, 'HumanEval/' || position) AS task_id, output, latency_s
-FROM rows LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON r_regionkey = position""",
+FROM rows LEFT JOIN region ON r_regionkey = position""",
 )
 def completion_rows(t):
     return ev.completion_rows(_agent_results(t), _prompt_list(t))
@@ -558,26 +560,22 @@ def completion_rows(t):
 @query(
     "failed_agent_rows",
     "P21",
-    sql=with_(
-        ATTEMPTS.replace("attempts AS", "all_attempts AS"),
-        "attempts AS (SELECT * FROM all_attempts WHERE NOT is_reflection)",
-        _FIRST,
-    )
-    + """SELECT w.agent_id, w.task_id,
-  CASE WHEN f.agent_id IS NULL THEN '    pass' ELSE completion END AS completion, latency_s,
-  coalesce(ok, false) AS ok
-FROM (SELECT DISTINCT agent_id, task_id FROM all_attempts) w
-LEFT JOIN first f
-  ON f.agent_id = w.agent_id AND f.task_id = w.task_id""",
+    sql="""SELECT source AS agent_id, d.doc_id AS task_id,
+  CASE WHEN l.doc_id IS NULL THEN '    pass' ELSE lang END AS completion,
+  CAST(quality AS DOUBLE) AS latency_s, coalesce(quality = 1, false) AS ok
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def failed_agent_rows(t):
-    tries = attempts(t)
-    work = tries.select("agent_id", "task_id").distinct()
-    # Items that only a corrective attempt reached count as failed here.
-    results = ev.first_success(tries.where(~F.col("is_reflection")))
-    return ev.with_failed_agents(
-        work, results.select("agent_id", "task_id", "completion", "latency_s", "ok")
+    # Labels cover some documents only: the others are work that gave nothing.
+    work = t.documents.select(F.col("source").alias("agent_id"), F.col("doc_id").alias("task_id"))
+    results = t.labels.join(t.documents, "doc_id").select(
+        F.col("source").alias("agent_id"),
+        F.col("doc_id").alias("task_id"),
+        F.col("lang").alias("completion"),
+        F.col("quality").cast("double").alias("latency_s"),
+        (F.col("quality") == 1).alias("ok"),
     )
+    return ev.with_failed_agents(work, results)
 
 
 _RUNS = """scores AS (SELECT s_suppkey AS run_id, s_nationkey / 32.0::DOUBLE AS p1, CAST(64 AS BIGINT) AS total,

@@ -112,19 +112,17 @@ def scan_completions(t):
     "K3",
     "L1",
     "J5",
-    sql="""SELECT CAST(p_partkey AS VARCHAR) AS task_id, p_name AS prompt, p_brand AS entry_point FROM part
-WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)""",
+    sql="""SELECT CAST(doc_id AS VARCHAR) AS task_id, text AS prompt, lang AS entry_point FROM documents
+WHERE doc_id IN (SELECT doc_id FROM labels)""",
 )
 def scan_problems_gzip(t):
     path = fresh_path(t.spark, "problems")
-    known = t.part.select(
-        F.col("p_partkey").cast("string").alias("task_id"),
-        F.col("p_name").alias("prompt"),
-        F.col("p_brand").alias("entry_point"),
-    )
-    tried = t.lineitem.where(F.col("l_discount") > 0.09).select(
-        F.col("l_partkey").cast("string").alias("task_id")
+    known = t.documents.select(
+        F.col("doc_id").cast("string").alias("task_id"),
+        F.col("text").alias("prompt"),
+        F.col("lang").alias("entry_point"),
     )
+    tried = t.labels.select(F.col("doc_id").cast("string").alias("task_id"))
     sinks.write_gzip_jsonl(ev.attempted_problems(known, tried), path)
     listed = grid.first_tasks(json_files.read_problems(t.spark, path), 0)
     return listed.select("task_id", "prompt", "entry_point")

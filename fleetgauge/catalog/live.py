@@ -77,14 +77,15 @@ def live_run_summary(t):
 @query(
     "live_task_outcomes",
     "X4",
-    sql=with_(TRACE, OUTCOMES)
-    + "SELECT * FROM outcomes WHERE task_id < (SELECT max(conv_id) FROM conversations)",
+    sql=with_(TRACE, OUTCOMES) + "SELECT * FROM outcomes",
 )
 def live_task_outcomes(t):
-    rows = trace_events(_streams(t))
-    rows = rows.withColumn("ts", _at(F.col("timestamp")))
-    closed = live.live_task_outcomes(rows)
-    state = live.drained(closed, "append", ["run_id", "task_id", "session_start", "session_end"])
+    def outcomes(tables):
+        rows = trace_events(tables).withColumn("ts", _at(F.col("timestamp")))
+        return live.live_task_outcomes(rows)
+
+    keys = ["run_id", "task_id", "session_start", "session_end"]
+    state = live.drained(outcomes(_streams(t)), "append", keys, outcomes(t))
     return state.drop("session_start", "session_end")
 
 

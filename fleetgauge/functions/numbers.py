@@ -27,14 +27,6 @@ def utilisation(used: Column, total: Column) -> Column:
     return F.when(total > 0, used / total).otherwise(F.lit(1.0))
 
 
-def to_mebibytes(size: Column) -> Column:
-    return size / float(1024**2)
-
-
-def to_gibibytes(size: Column) -> Column:
-    return size / float(1024**3)
-
-
 def clean_number(text: Column) -> Column:
     """``1,234`` and ``12.5%`` as doubles; anything else null."""
     bare = F.rtrim(F.replace(text, F.lit(","), F.lit("")), F.lit("%"))
@@ -103,11 +95,13 @@ def _exact_point(x: Column, digits: int | Column) -> Column:
         # The last kept digit is the fraction's, or the whole number's without decimals.
         last = F.when(v["places"] == 0, F.floor(v["size"])).otherwise(part)
         up = (p % two62 > half) | ((p % two62 == half) & (last % 2 == 1))
-        units = F.floor(v["size"]) * v["scale"] + part + F.when(up, 1).otherwise(0)
-        return let(units.cast("bigint"), lambda u: text(v, u))
+        # A decimal, as the units of a large number are more than a long holds.
+        whole = F.floor(v["size"]).cast("decimal(16,0)") * v["scale"].cast("decimal(7,0)")
+        units = whole + part.cast("decimal(20,0)") + F.when(up, 1).otherwise(0)
+        return let(units.cast("decimal(38,0)"), lambda u: text(v, u))
 
     def text(v: Column, u: Column) -> Column:
-        whole = ((u - u % v["scale"]) / v["scale"]).cast("bigint").cast("string")
+        whole = F.floor(u / v["scale"].cast("decimal(7,0)")).cast("string")
         tail = F.lpad((u % v["scale"]).cast("string"), v["places"], F.lit("0"))
         decimals = F.when(v["places"] == 0, F.lit("")).otherwise(F.concat(F.lit("."), tail))
         return F.concat(F.when(v["minus"], F.lit("-")).otherwise(F.lit("")), whole, decimals)
@@ -127,12 +121,13 @@ def fixed_point(x: Column, digits: int | Column) -> Column:
     ``format_string`` rounds the shortest decimal rendering half up, so 2.675 and 0.125 would
     differ from logs written by C or Python formatting. The two can only disagree when that
     rendering is itself a tie (one digit more than asked, and a 5); those rare values, and ones
-    in exponent notation, take the exact route.
+    in exponent notation, take the exact route. From 2**53 on doubles have no fraction.
     """
     plain = x.cast("string")
     places = F.lit(digits) if isinstance(digits, int) else digits
-    doubtful = plain.contains("E") | (
-        plain.endswith("5") & (F.length(F.substring_index(plain, ".", -1)) == places + 1)
+    doubtful = (F.abs(x) < float(1 << 53)) & (
+        plain.contains("E")
+        | (plain.endswith("5") & (F.length(F.substring_index(plain, ".", -1)) == places + 1))
     )
     choices = [digits] if isinstance(digits, int) else range(7)
     quick = F.lit(None).cast("string")

@@ -24,16 +24,15 @@ from fleetgauge.plans.ordered import (
 )
 
 
-def all_columns(df: DataFrame, keys: Sequence[str]) -> Column:
-    return F.struct(*[c for c in df.columns if c not in keys])
-
-
 def attempt_rank() -> Column:
-    """Sortable number per attempt: successful before failed, ordinary before corrective, then by
-    attempt number. A number keeps the aggregations that use it hash based."""
-    failed = F.when(F.coalesce("ok", F.lit(False)), F.lit(0)).otherwise(F.lit(1 << 62))
+    """Sortable number per attempt: successful before failed, ordinary before corrective; of
+    successes the earliest attempt first, of failures the last, as that is the one that was returned.
+    A number keeps the aggregations that use it hash based."""
+    ok = F.coalesce("ok", F.lit(False))
+    failed = F.when(ok, F.lit(0)).otherwise(F.lit(1 << 62))
     late = F.when(F.coalesce("is_reflection", F.lit(False)), F.lit(1 << 61)).otherwise(F.lit(0))
-    return failed.cast("bigint") + late.cast("bigint") + F.col("attempt").cast("bigint")
+    number = F.col("attempt").cast("bigint")
+    return failed.cast("bigint") + late.cast("bigint") + F.when(ok, number).otherwise(-number)
 
 
 def first_success(
@@ -415,8 +414,10 @@ def peak_concurrency(
     """Largest number of intervals open at once, and how many were started.
 
     Starts and ends collapse to one net change per instant, so ends count before starts of the
-    same instant and repeated instants cost one row.
+    same instant and repeated instants cost one row. An interval without an end stays open; one
+    without a start never began and is left out.
     """
+    intervals = intervals.where(F.col(start).isNotNull())
     steps = intervals.select(
         *keys,
         F.inline(
@@ -426,7 +427,7 @@ def peak_concurrency(
             )
         ),
     )
-    net = steps.groupBy(*keys, "t").agg(
+    net = steps.where(F.col("t").isNotNull()).groupBy(*keys, "t").agg(
         F.sum("d").alias("d"), F.count_if(F.col("d") > 0).alias("s")
     )
     ends = intervals.select(*keys).unionAll(intervals.select(*keys))

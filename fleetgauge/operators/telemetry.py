@@ -231,7 +231,8 @@ _WIDE_FIELDS = [
 def gpu_wide(samples: DataFrame, slots: int, column: str = "gpu_info") -> DataFrame:
     """Device array as ``gpu_{i}_*`` columns for ``slots`` devices, plus ``gpu_count``.
 
-    A projection per row: nothing is exploded, pivoted or shuffled.
+    A projection per row: nothing is exploded, pivoted or shuffled. A row with more devices than
+    ``slots`` is an error, as the devices beyond would be lost.
     """
     ready = samples.withColumn("__gpus", gpu_defaults(F.coalesce(column, F.array())))
     wide = [
@@ -239,8 +240,12 @@ def gpu_wide(samples: DataFrame, slots: int, column: str = "gpu_info") -> DataFr
         for i in range(slots)
         for f in _WIDE_FIELDS
     ]
+    count = F.size("__gpus")
+    too_many = F.raise_error(F.concat(count.cast("string"), F.lit(f" devices for {slots} slots")))
     return ready.select(
-        *samples.columns, F.size("__gpus").alias("gpu_count"), *wide
+        *samples.columns,
+        F.when(count > slots, too_many.cast("int")).otherwise(count).alias("gpu_count"),
+        *wide,
     )
 
 
@@ -297,10 +302,12 @@ def with_elapsed(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFram
     """Seconds since the run's first row (full precision).
 
     The start is aggregated and joined back instead of windowed, so a long run is not gathered.
+    Rows whose run is null are one run.
     """
-    start = df.groupBy(*keys).agg(F.min(ts).alias("__start"))
+    start = df.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(F.min(ts).alias("__start"))
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
     return (
-        df.join(start, list(keys), "inner")
+        df.join(start, same, "left")
         .withColumn("elapsed_s", F.col(ts) - F.col("__start"))
         .select(*df.columns, "elapsed_s")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge import schemas
+from fleetgauge.functions.whitespace import strip
 
 _CORRUPT = "_corrupt_record"
 
@@ -24,10 +25,10 @@ def with_corrupt(schema: T.StructType) -> T.StructType:
 def parse_jsonl(lines: DataFrame, schema: T.StructType, keep=(), column: str = "line") -> DataFrame:
     """Text lines as rows; malformed lines and lines that are not objects keep their text in
     ``_corrupt_record``. Blank lines give no row."""
-    text = F.trim(F.col(column))
+    text = strip(F.col(column))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     parsed = lines.where(text != "").select(
-        *keep, F.from_json(F.col(column), with_corrupt(schema), options).alias("__r"), text.alias("__t")
+        *keep, F.from_json(text, with_corrupt(schema), options).alias("__r"), text.alias("__t")
     )
     row = F.col("__r")
     bad = F.when(~F.col("__t").startswith("{"), F.col("__t")).otherwise(row[_CORRUPT])

@@ -1,8 +1,9 @@
 """Where intermediate tables and stream checkpoints go.
 
 Executors can be lost, so anything kept between jobs is written to the folder the cluster
-shares. The session names it in ``spark.checkpoint.dir``; a private temporary folder is used
-only when that setting is absent, which is the case in single-process tests.
+shares. The session names it in ``spark.checkpoint.dir``. A private temporary folder stands in for
+it only in a single process; on a cluster executors would not see each other's files, so there a
+missing setting is an error.
 """
 
 import tempfile
@@ -19,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     )
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="fleetgauge-"))
     return _fallback[0]

@@ -75,7 +75,7 @@ def live_latest(
     samples: DataFrame, keys: Sequence[str], values: Sequence[str], ts: str = "ts"
 ) -> DataFrame:
     """Latest values per device, refreshed with every trigger (update mode)."""
-    newest = F.max_by(F.struct(ts, *values), F.col(ts)).alias("v")
+    newest = F.max(F.struct(ts, *values)).alias("v")  # rows of one time have an order too
     return samples.groupBy(*keys).agg(newest).select(*keys, "v.*")
 
 
@@ -114,13 +114,15 @@ def run_to_table(
     """Starts ``stream`` into a parquet table in the shared folder; returns (query, path).
 
     Every batch is a folder named after it and rewritten on retry, so a batch that runs twice
-    leaves one copy.
+    leaves one copy. Batches without rows leave no folder, but for the first.
     """
     spark = stream.sparkSession
     path = path or fresh_path(spark, "live")
     checkpoint = checkpoint or fresh_path(spark, "live-state")
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch.isEmpty():
+            return
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     query = (
@@ -133,11 +135,32 @@ def run_to_table(
     return query, path
 
 
-def drained(stream: DataFrame, mode: str, keys: Sequence[str]) -> DataFrame:
-    """Runs the stream over what is there now and returns its table, newest row per key."""
+def late_rows(query) -> int:
+    """Rows that came after their window was closed and are in no result."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
+def drained(
+    stream: DataFrame, mode: str, keys: Sequence[str], batch: DataFrame | None = None
+) -> DataFrame:
+    """Runs the stream over what is there now and returns its table, newest row per key.
+
+    ``batch`` is the same view over a batch frame. It completes what the stream alone can't tell: rows
+    of sessions that are still open, and everything where rows came too late for their window. Without
+    it late rows are an error rather than a silent loss.
+    """
     query, path = run_to_table(stream, mode, trigger={"availableNow": True})
     query.awaitTermination()
-    return current_state(stream.sparkSession, path, stream.schema, keys)
+    state = current_state(stream.sparkSession, path, stream.schema, keys)
+    if late := late_rows(query):
+        if batch is None:
+            raise RuntimeError(f"{late} rows came too late for their window")
+        return batch.select(*state.columns)
+    if batch is None:
+        return state
+    known = state.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return state.unionByName(batch.select(*state.columns).join(known, same, "left_anti"))
 
 
 def current_state(
