@@ -1,19 +1,18 @@
 """Row numbers, running sums and previous values per key, without trusting key sizes.
 
-A plain window puts every row of a key into one task. That is the right plan while keys are
-moderate and the wrong one when a single run, agent or task owns a third of the table. The
-functions here first measure the largest key with one partial aggregation. If it is moderate the
-plain window is used. Otherwise each heavy key is cut into consecutive slices of its own order:
-
-* slice bounds come from a sorted sample of the heavy keys only;
-* the window runs per (key, slice), so one task never sees more than about one slice;
-* what a slice inherits from the slices before it is a tiny per-slice total, broadcast back.
-
-Heavy keys are those above ``total / max_heavy_keys`` rows, so there are fewer than
-``max_heavy_keys`` of them and, together, at most twice that many slices: the collected bounds
-and the broadcast totals have a fixed ceiling that does not grow with the data.
-
-``order`` must identify a row within its key; rows that tie on all of it are not splittable.
+A plain window puts every row of a key into one task, which fails when a single run, agent or task
+owns a third of the table. Here rows are dealt by ranges of (key, order) instead, so a key of any
+size is cut into consecutive slices of its own order and one plan serves tables of every size:
+
+* ranges hold about ``rows_per_task`` rows at most, whatever the key, as their number follows the
+  number of rows;
+* the window runs per (key, slice);
+* what a slice inherits from the slices before it is one total per (key, slice), carried over by a
+  window on those totals and joined back; only keys that were cut have any.
+
+The dealt rows are written to the shared folder once, which fixes the slices: bounds are sampled, and
+a second sampling may differ. ``order`` must identify a row within its key; rows that tie on all of it
+are not splittable.
 """
 
 from collections.abc import Mapping, Sequence
@@ -21,18 +20,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from fleetgauge.sources.scratch import fresh_path
 
 _SLICE = "__slice"
-_BOUNDS = "__bounds"
-_SAMPLES_PER_BOUND = 50
-_SEARCH_STEPS = 15
 
 
 @dataclass(frozen=True)
 class SliceLimits:
     rows_per_task: int = 2_000_000
-    max_heavy_keys: int = 10_000
 
 
 DEFAULT_LIMITS = SliceLimits()
@@ -62,41 +58,30 @@ def with_running_sum(
 ) -> DataFrame:
     """Sum of ``value`` over the key's rows up to and including this one, in ``order``.
 
-    ``at_most`` is a frame that is cheaper to count and has, per key, no fewer rows than ``df``
-    (what ``df`` was aggregated from); while its keys are moderate ``df`` itself is not counted.
+    ``at_most`` is a frame that is cheaper to count and has no fewer rows than ``df`` (what ``df`` was
+    aggregated from).
     """
-    sliced, keys, heavy = _slice(df, keys, order, limits, at_most)
-    part = [*keys, _SLICE] if heavy else list(keys)
+    sliced, keys = _slice(df, keys, order, limits, at_most)
+    part = [*keys, _SLICE]
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    out = sliced.withColumn(name, F.sum(value).over(upto))
+    per_slice = sliced.groupBy(*part).agg(F.sum(value).alias("__part"))
+    by_slice = Window.partitionBy(*keys).orderBy(_SLICE)
+    before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    carried = per_slice.select(
+        *part,
+        F.sum("__part").over(before).alias("__carry"),
+        F.sum("__part").over(whole).alias("__all"),
+        F.count(F.lit(1)).over(whole).alias("__cuts"),
+    ).where("__cuts > 1")
+    out = _attach(sliced.withColumn(name, F.sum(value).over(upto)), carried, part)
     if total:
-        out = out.withColumn(total, F.sum(value).over(Window.partitionBy(*part)))
-    if heavy:
-        per_slice = (
-            sliced.where(F.col(_BOUNDS).isNotNull())
-            .groupBy(*keys, _SLICE)
-            .agg(F.sum(value).alias("__part"))
-        )
-        by_slice = Window.partitionBy(*keys).orderBy(_SLICE)
-        carried = per_slice.select(
-            *keys,
-            _SLICE,
-            F.coalesce(
-                F.sum("__part").over(
-                    by_slice.rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ).alias("__carry"),
-            F.sum("__part").over(Window.partitionBy(*keys)).alias("__all"),
-        )
-        out = _attach(out, carried, [*keys, _SLICE])
-        out = out.withColumn(name, F.col(name) + F.coalesce("__carry", F.lit(0)))
-        if total:
-            out = out.withColumn(total, F.coalesce("__all", total))
-    extra = [name] + ([total] if total else [])
-    return out.select(*df.columns, *extra)
+        own = F.sum(value).over(Window.partitionBy(*part))
+        out = out.withColumn(total, F.coalesce("__all", own))
+    out = out.withColumn(name, F.col(name) + F.coalesce("__carry", F.lit(0)))
+    return out.select(*df.columns, name, *([total] if total else []))
 
 
 def with_previous(
@@ -107,46 +92,33 @@ def with_previous(
     limits: SliceLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Adds ``new`` = value of ``source`` on the row before, for each ``new: source``."""
-    sliced, keys, heavy = _slice(df, keys, order, limits)
-    part = [*keys, _SLICE] if heavy else list(keys)
+    sliced, keys = _slice(df, keys, order, limits)
+    part = [*keys, _SLICE]
     by_order = Window.partitionBy(*part).orderBy(*order)
     out = sliced.withColumns({n: F.lag(s).over(by_order) for n, s in columns.items()})
-    if heavy:
-        out = out.withColumn("__first", F.row_number().over(by_order) == 1)
-        held = F.struct(*[F.col(s).alias(f"__{n}") for n, s in columns.items()])
-        last = (
-            sliced.where(F.col(_BOUNDS).isNotNull())
-            .groupBy(*keys, _SLICE)
-            .agg(F.max_by(held, F.struct(*order)).alias("__last"))
-        )
-        carried = last.select(
-            *keys,
-            _SLICE,
-            F.lag("__last").over(Window.partitionBy(*keys).orderBy(_SLICE)).alias("__carry"),
-        )
-        out = _attach(out, carried, [*keys, _SLICE])
-        out = out.withColumns(
-            {
-                n: F.when(F.col("__first"), F.col("__carry")[f"__{n}"]).otherwise(F.col(n))
-                for n in columns
-            }
-        )
+    out = out.withColumns(
+        {"__first": F.row_number().over(by_order) == 1, "__last": F.lead(F.lit(1)).over(by_order).isNull()}
+    )
+    held = F.struct(*[F.col(s).alias(f"__{n}") for n, s in columns.items()])
+    by_slice = Window.partitionBy(*keys).orderBy(_SLICE)
+    carried = out.where("__last").select(*part, F.lag(held).over(by_slice).alias("__carry"))
+    out = _attach(out, carried.where("__carry is not null"), part)
+    out = out.withColumns(
+        {
+            n: F.when(F.col("__first"), F.col("__carry")[f"__{n}"]).otherwise(F.col(n))
+            for n in columns
+        }
+    )
     return out.select(*df.columns, *columns)
 
 
 def _attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join a frame whose row count is capped by ``max_heavy_keys`` (see module text)."""
     right = small.select(
         *[F.col(c).alias(f"__r_{c}") for c in on],
         *[c for c in small.columns if c not in on],
     )
     same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on]
-    return df.join(F.broadcast(right), same, "left").drop(*[f"__r_{c}" for c in on])
-
-
-def _largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return sizes.agg(F.max("__n")).first()[0] or 0
+    return df.join(right, same, "left").drop(*[f"__r_{c}" for c in on])
 
 
 def _slice(
@@ -155,73 +127,14 @@ def _slice(
     order: Sequence[str],
     limits: SliceLimits,
     at_most: DataFrame | None = None,
-):
-    if at_most is not None and _largest_key(at_most, keys) <= limits.rows_per_task:
-        if not keys:
-            df, keys = df.withColumn("__all_rows", F.lit(0)), ["__all_rows"]
-        return df, list(keys), False
+) -> tuple[DataFrame, list[str]]:
+    """The rows with their slice, and the keys, of which there is one at least."""
+    spark = df.sparkSession
     if not keys:
         df, keys = df.withColumn("__all_rows", F.lit(0)), ["__all_rows"]
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total, largest = sizes.agg(F.sum("__n"), F.max("__n")).first()
-    threshold = max(limits.rows_per_task, -(-(total or 0) // limits.max_heavy_keys))
-    if (largest or 0) <= threshold:
-        return df, keys, False
-    bounds = _slice_bounds(df, sizes.where(F.col("__n") > threshold), keys, order, threshold)
-    cut = _attach(df, bounds, keys)
-    row = F.struct(*[_sortable(df, c).alias(c) for c in order])
-    position = F.when(F.col(_BOUNDS).isNull(), F.lit(0)).otherwise(
-        _bounds_not_above(F.col(_BOUNDS), row)
-    )
-    return cut.withColumn(_SLICE, position), keys, True
-
-
-def _slice_bounds(df, heavy, keys, order, threshold) -> DataFrame:
-    """One array of ascending bounds per heavy key, held by the driver so it never changes."""
-    spark = df.sparkSession
-    heavy = spark.createDataFrame(heavy.collect(), heavy.schema)  # < max_heavy_keys rows
-    wanted = F.ceil(F.col("__n") / threshold) * _SAMPLES_PER_BOUND
-    sample = (
-        _attach(df, heavy, keys)
-        .where(F.col("__n").isNotNull() & (F.rand(17) < wanted / F.col("__n")))
-        .select(*keys, *[_sortable(df, c).alias(c) for c in order])
-        .distinct()
-    )
-    every = Window.partitionBy(*keys).orderBy(*order)
-    bounds = (
-        sample.withColumn("__rn", F.row_number().over(every))
-        .where(F.col("__rn") % _SAMPLES_PER_BOUND == 0)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(*order))).alias(_BOUNDS))
-    )
-    return spark.createDataFrame(bounds.collect(), bounds.schema)
-
-
-def _sortable(df: DataFrame, column: str) -> Column:
-    """Times become numbers or durations, so bounds survive the trip through the driver whatever
-    the session's time zone does."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(column))
-    if isinstance(kind, T.TimestampNTZType):
-        return F.col(column) - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-    return F.col(column)
-
-
-def _bounds_not_above(bounds: Column, row: Column) -> Column:
-    """How many of the ascending ``bounds`` are <= ``row``, by binary search."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-
-    def step(state: Column, _: Column) -> Column:
-        mid = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
-        upper = F.get(bounds, mid) <= row
-        open_ = state["lo"] < state["hi"]
-        return F.struct(
-            F.when(open_ & upper, mid + 1).otherwise(state["lo"]).alias("lo"),
-            F.when(open_ & ~upper, mid).otherwise(state["hi"]).alias("hi"),
-        )
-
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(_SEARCH_STEPS)), start, step, lambda s: s["lo"]
-    )
+    rows = (df if at_most is None else at_most).count()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // limits.rows_per_task))
+    dealt = df.repartitionByRange(ranges, *keys, *order).withColumn(_SLICE, F.spark_partition_id())
+    path = fresh_path(spark, "slices")
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path), list(keys)

@@ -10,7 +10,7 @@ from fleetgauge.operators import grid, telemetry
 from fleetgauge.plans import ordered
 from fleetgauge.plans.ordered import SliceLimits, with_ordinal, with_previous, with_running_sum
 
-TINY = SliceLimits(rows_per_task=40, max_heavy_keys=100)
+TINY = SliceLimits(rows_per_task=40)
 
 
 @pytest.fixture(scope="module")
@@ -66,21 +66,22 @@ def test_previous_crosses_slices(rows):
     assert {r.id: (r.p, r.pid) for r in got} == want
 
 
-def test_hot_keys_are_cut(rows):
-    _, df = rows
-    cut, keys, heavy = ordered._slice(df, ["k"], ["ts", "id"], TINY)
-    assert heavy
-    sizes = cut.groupBy(*keys, "__slice").count().collect()
-    assert max(r["count"] for r in sizes) <= 5 * TINY.rows_per_task
-    assert len({r["__slice"] for r in sizes if r["k"] == "hot"}) > 5
-    # Moderate keys stay whole.
-    assert {r["__slice"] for r in sizes if r["k"] == "k3"} == {0}
+@pytest.mark.parametrize("size", [2_000, 20_000])
+def test_slices_are_bounded_for_any_size(spark, size):
+    df = spark.range(size).select(F.lit("hot").alias("k"), F.xxhash64("id").alias("ts"), "id")
+    limits = SliceLimits(rows_per_task=200)
+    cut, keys = ordered._slice(df, ["k"], ["ts", "id"], limits)
+    sizes = [r["count"] for r in cut.groupBy(*keys, "__slice").count().collect()]
+    assert sum(sizes) == size and max(sizes) <= 2 * limits.rows_per_task
+    got = with_ordinal(df, ["k"], ["ts", "id"], "n", limits=limits)
+    assert got.agg(F.max("n"), F.count_distinct("n")).first() == (size, size)
 
 
-def test_moderate_keys_use_one_window(rows):
+def test_keys_in_one_slice_carry_nothing(rows):
     _, df = rows
-    assert ordered._slice(df, ["k"], ["ts", "id"], SliceLimits())[2] is False
-    assert ordered._slice(df, ["k"], ["ts"], TINY, at_most=df.where("k = 'k3'"))[2] is False
+    cut, _ = ordered._slice(df, ["k"], ["ts", "id"], TINY)
+    pieces = cut.where("k like 'k%'").groupBy("k").agg(F.count_distinct("__slice").alias("n"))
+    assert pieces.where("n > 2").isEmpty()
 
 
 def test_time_order_columns(spark, rows):
@@ -98,7 +99,7 @@ def test_percentile_rank(spark, size):
     random.Random(size).shuffle(values)
     df = spark.createDataFrame([(float(v),) for v in values], "latency_s double")
     rank = {1: 1, 2: 1, 19: 18, 20: 19, 21: 19, 40: 38, 100: 95, 180: 171}[size]
-    for limits in (SliceLimits(), SliceLimits(rows_per_task=10, max_heavy_keys=50)):
+    for limits in (SliceLimits(), SliceLimits(rows_per_task=10)):
         r = ev.latency_summary(df, limits=limits).first()
         ordered_values = sorted(values)
         middle = (ordered_values[(size - 1) // 2] + ordered_values[size // 2]) / 2
