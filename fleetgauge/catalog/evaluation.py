@@ -124,6 +124,37 @@ def agent_scores_query(t):
     )
 
 
+_BY_RUN = (
+    _AGENTS.replace("agent_id", "run_id, agent_id")
+    .replace("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)")
+    .replace("GROUP BY 1)", "GROUP BY 1, 2)")
+)
+
+
+@query(
+    "agent_scores_by_run",
+    "A3",
+    "J8",
+    sql=with_(
+        ATTEMPTS.replace("attempts AS", "tries AS"),
+        "attempts AS (SELECT *, attempt // 64 % 3 AS run_id FROM tries)",
+        _BY_RUN,
+    )
+    + """SELECT a.run_id, a.agent_id, total_tasks, successes, avg_latency_s, total_time_s, throughput_rps,
+  round(coalesce(p1, 0), 9) AS pass_1, round(coalesce(p10, 0), 9) AS pass_10,
+  round(coalesce(p100, 0), 9) AS pass_100
+FROM agents a LEFT JOIN scores s ON s.agent_id = a.agent_id AND s.run_id = a.run_id""",
+)
+def agent_scores_by_run(t):
+    """Three runs in which the same agents appear, never mixed."""
+    tries = attempts(t).withColumn("run_id", F.floor(F.col("attempt") / 64) % 3)
+    both = agent_evaluation(tries, problems(t), run=["run_id"])
+    return both.select(
+        *[c for c in both.columns if not c.startswith("pass@")],
+        *[F.round(F.col(f"`pass@{k}`"), 9).alias(f"pass_{k}") for k in (1, 10, 100)],
+    )
+
+
 @query(
     "overall_score",
     "A4",
@@ -134,7 +165,7 @@ def agent_scores_query(t):
 FROM agents a LEFT JOIN scores s ON s.agent_id = a.agent_id""",
 )
 def overall_score(t):
-    score = ev.overall_score(composed_agent_scores(t))
+    score = ev.overall_score(agent_evaluation(attempts(t), problems(t)))
     return score.select(
         F.round("`pass@1`", 9).alias("pass_1"),
         "num_agents",

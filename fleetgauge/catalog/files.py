@@ -17,7 +17,7 @@ from fleetgauge.catalog.adapters import (
     trace_events,
     with_,
 )
-from fleetgauge.catalog.profiles import perf_lines
+from fleetgauge.catalog.profiles import REPORT_SQL, perf_lines
 from fleetgauge.catalog.registry import query
 from fleetgauge.operators import compare, grid
 from fleetgauge.operators import evaluation as ev
@@ -346,21 +346,17 @@ def latency_csv(t):
     return back.groupBy("latency_s").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query(
-    "report_files",
-    "K6",
-    sql=with_(PHASES)
-    + "SELECT run_id, count(*) AS phases FROM phases GROUP BY 1",
-)
+@query("report_files", "K6", sql=REPORT_SQL)
 def report_files(t):
     path = fresh_path(t.spark, "reports")
     reports = compare.report_text(compare.comparison_table(phases(t)))
     tagged = reports.withColumn("run", F.translate("run_id", " ", "_"))
     sinks.write_text(tagged, path, "report", ["run"])
-    back = text_files.read_lines(t.spark, path)
-    run = F.translate(F.regexp_extract("source_file", "run=([^/]*)/", 1), "_", " ")
-    heads = back.where(F.col("line").startswith("=")).groupBy(run.alias("run_id"))
-    return heads.agg(F.count(F.lit(1)).alias("phases"))
+    back = t.spark.read.text(path, wholetext=True)
+    # The writer ends each file with one more line break.
+    return back.select(
+        F.translate("run", "_", " ").alias("run_id"), F.regexp_replace("value", r"\n\z", "").alias("report")
+    )
 
 
 @query(

@@ -338,17 +338,18 @@ def comparison_table(t):
     return compare.comparison_table(phases(t))
 
 
-@query(
-    "comparison_report",
-    "K6",
-    "I20",
-    sql=with_(PHASES, _PAIRS, _TABLE)
+#: The report of each run as one text.
+REPORT_SQL = (
+    with_(PHASES, _PAIRS, _TABLE)
     + f"""SELECT run_id, repeat('=', 80) || chr(10) || '{REPORT_TITLE}' || chr(10) || repeat('=', 80) || chr(10) || chr(10)
   || rpad('Metric', 25, ' ') || ' ' || rpad('Before', 20, ' ') || ' ' || rpad('After', 20, ' ') || ' ' || rpad('Δ Improvement', 15, ' ')
   || chr(10) || repeat('-', 80) || chr(10)
   || string_agg(rpad(metric, 25, ' ') || ' ' || rpad(before_text, 20, ' ') || ' ' || rpad(after_text, 20, ' ') || ' '
      || rpad(improvement, 15, ' '), chr(10) ORDER BY position) || chr(10) || repeat('-', 80) || chr(10) AS report
-FROM report GROUP BY run_id""",
+FROM report GROUP BY run_id"""
 )
+
+
+@query("comparison_report", "K6", "I20", sql=REPORT_SQL)
 def comparison_report(t):
     return compare.report_text(compare.comparison_table(phases(t)))

@@ -104,14 +104,17 @@ def pass_at_ks(
 
 
 def agent_summary(
-    results: DataFrame, spans: DataFrame | None = None, min_seconds: float = MIN_SECONDS
+    results: DataFrame,
+    spans: DataFrame | None = None,
+    min_seconds: float = MIN_SECONDS,
+    keys: Sequence[str] = ("agent_id",),
 ) -> DataFrame:
-    """Count, mean latency, runtime, throughput and successes per agent.
+    """Count, mean latency, runtime, throughput and successes per agent, or per run and agent.
 
     ``results`` has (agent_id, latency_s, ok). Without ``spans`` (agent_id, total_time_s) the
     runtime is the summed latency.
     """
-    base = results.groupBy("agent_id").agg(
+    base = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_tasks"),
         F.count_if(F.coalesce("ok", F.lit(False))).alias("successes"),
         F.coalesce(F.avg("latency_s"), F.lit(0.0)).alias("avg_latency_s"),
@@ -120,17 +123,22 @@ def agent_summary(
     if spans is None:
         base = base.withColumn("total_time_s", F.col("__latency"))
     else:
-        base = base.join(spans.select("agent_id", "total_time_s"), "agent_id", "left")
+        base = base.join(spans.select(*keys, "total_time_s"), list(keys), "left")
         base = base.withColumn("total_time_s", F.coalesce("total_time_s", F.lit(0.0)))
     return base.withColumn(
         "throughput_rps", throughput(F.col("total_tasks"), F.col("total_time_s"), min_seconds)
     ).drop("__latency")
 
 
-def with_scores(summary: DataFrame, scores: DataFrame, ks: Sequence[int] = tuple(PASS_KS)):
+def with_scores(
+    summary: DataFrame,
+    scores: DataFrame,
+    ks: Sequence[int] = tuple(PASS_KS),
+    keys: Sequence[str] = ("agent_id",),
+):
     """Adds pass@k to agent summaries; an agent whose evaluation is missing scores 0."""
     names = [f"pass@{k}" for k in ks]
-    joined = summary.join(scores.select("agent_id", *[f"`{n}`" for n in names]), "agent_id", "left")
+    joined = summary.join(scores.select(*keys, *[f"`{n}`" for n in names]), list(keys), "left")
     return joined.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names})
 
 
@@ -272,11 +280,14 @@ def attempted_problems(problems: DataFrame, completions: DataFrame) -> DataFrame
     return problems.join(completions.select("task_id").distinct(), "task_id", "left_semi")
 
 
-def completion_rows(results: DataFrame, prompts: DataFrame) -> DataFrame:
+def completion_rows(
+    results: DataFrame, prompts: DataFrame, run: Sequence[str] = ()
+) -> DataFrame:
     """Aligned arrays of an agent result as rows, each with a task id.
 
     A missing or empty id falls back to the prompt at the same position, then to a numbered
-    name. ``prompts`` has (position, task_id), positions from 0.
+    name. ``prompts`` has (position, task_id), positions from 0; ``run`` names columns of both
+    tables that keep the prompt lists of different runs apart.
     """
     rows = results.select(
         *[c for c in results.columns if c not in ("outputs", "task_ids", "latencies")],
@@ -287,9 +298,9 @@ def completion_rows(results: DataFrame, prompts: DataFrame) -> DataFrame:
         ).alias("position", "item"),
     )
     listed = prompts.select(
-        F.col("position").cast("int").alias("position"), F.col("task_id").alias("__listed")
+        *run, F.col("position").cast("int").alias("position"), F.col("task_id").alias("__listed")
     )
-    return rows.join(listed, "position", "left").select(
+    return rows.join(listed, [*run, "position"], "left").select(
         *[c for c in rows.columns if c not in ("position", "item")],
         "position",
         F.coalesce(

@@ -50,17 +50,23 @@ def numbered_tasks(
 def work_items(tasks: DataFrame, num_agents: int, devices: int | None = None) -> DataFrame:
     """Every agent with every task, agent-major, dealt to devices in turn.
 
-    The pairs are a range of indexes split over the cluster; agent and task position are
-    arithmetic on the index and the task row arrives by an equi join, so neither side needs to
-    fit in memory. ``tasks`` has ``task_idx`` (0-based, gapless).
+    Agents are generated beside each task, in blocks so that no row holds a list of all of them;
+    nothing is shuffled and neither side needs to fit in memory. ``tasks`` has ``task_idx``
+    (0-based, gapless).
     """
-    count = tasks.count()
-    pairs = tasks.sparkSession.range(num_agents * count).select(
-        F.floor(F.col("id") / max(count, 1)).cast("bigint").alias("agent_id"),
-        (F.col("id") % max(count, 1)).alias("task_idx"),
-        F.col("id").alias("work_index"),
+    if num_agents <= 0:
+        tasks, num_agents = tasks.limit(0), 1
+    count, block = tasks.count(), 10_000
+    last = (num_agents - 1) // block
+    items = (
+        tasks.withColumn("__block", F.explode(F.expr(f"sequence(0L, {last}L)")))
+        if last
+        else tasks.withColumn("__block", F.lit(0).cast("bigint"))
     )
-    items = pairs.join(tasks, "task_idx", "inner")
+    first = F.col("__block") * block
+    upto = F.least(first + block - 1, F.lit(num_agents - 1))
+    items = items.withColumn("agent_id", F.explode(F.sequence(first, upto))).drop("__block")
+    items = items.withColumn("work_index", F.col("agent_id") * count + F.col("task_idx"))
     if devices:
         items = items.withColumn("gpu_id", F.pmod("work_index", F.lit(devices)).cast("int"))
     return items

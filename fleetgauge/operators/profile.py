@@ -150,20 +150,22 @@ def pidstat_metrics(samples: DataFrame, keys: Sequence[str] = ("run_id",)) -> Da
 def histogram_rows(lines: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Buckets ``lo -> hi : n`` or ``lo-hi : n`` and, apart, lines that state an average."""
     line = F.col("line")
-    pattern = r"^\s*([0-9]+)(?:\s*(?:->|-)\s*([0-9]+))?\s*:\s*([0-9]+)\s*(?:\|.*)?$"
+    pattern = r"^\s*[0-9]+(?:\s*(?:->|-)\s*[0-9]+)?\s*:\s*[0-9]+\s*(?:\|.*)?$"
     says_avg = F.lower(line).contains("avg") | F.lower(line).contains("average")
-    useful = lines.where(line.rlike(pattern) | says_avg)
-
-    def part(group: int) -> Column:
-        return F.regexp_extract(line, pattern, group).try_cast("double")
-
+    judged = lines.select(*keys, "ord", "line", line.rlike(pattern).alias("__bucket"))
+    # A bucket line has two or three numbers before its bar; they are picked out once.
+    figures = F.when(
+        F.col("__bucket"), F.regexp_extract_all(F.substring_index(line, "|", 1), F.lit("[0-9]+"), F.lit(0))
+    )
+    useful = judged.where(F.col("__bucket") | says_avg).withColumn("__n", figures)
+    n = F.col("__n")
     return useful.select(
         *keys,
         "ord",
-        part(1).alias("low"),
-        F.coalesce(part(2), part(1)).alias("high"),
-        part(3).cast("bigint").alias("count"),
-        F.when(says_avg & ~line.rlike(pattern), first_number(line)).alias("stated_avg"),
+        F.get(n, F.lit(0)).try_cast("double").alias("low"),
+        F.get(n, F.when(F.size(n) == 3, F.lit(1)).otherwise(F.lit(0))).try_cast("double").alias("high"),
+        F.get(n, F.size(n) - 1).try_cast("double").cast("bigint").alias("count"),
+        F.when(~F.col("__bucket"), first_number(line)).alias("stated_avg"),
     )
 
 

@@ -15,8 +15,9 @@ def agent_evaluation(
     problems: DataFrame | None = None,
     ks: Sequence[int] = tuple(PASS_KS),
     min_seconds: float = MIN_SECONDS,
+    run: Sequence[str] = (),
 ) -> DataFrame:
-    """Per agent: tasks, successes, latency, throughput and pass@k.
+    """Per agent, or per run and agent where ``run`` names run columns: tasks, successes, latency, throughput and pass@k.
 
     Attempts are scanned once and shuffled once, already reduced to one row of numbers per
     (agent, task): the chosen attempt's latency, whether it succeeded, samples and correct
@@ -25,7 +26,8 @@ def agent_evaluation(
     from two scans. A pass@k that cannot be reported, or an agent without known tasks, scores 0.
     """
     passed = F.coalesce("passed", F.lit(False))
-    items = attempts.groupBy("agent_id", "task_id").agg(
+    keys = [*run, "agent_id"]
+    items = attempts.groupBy(*keys, "task_id").agg(
         F.min_by("latency_s", attempt_rank()).alias("latency_s"),
         F.coalesce(F.bool_or("ok"), F.lit(False)).alias("ok"),
         F.count(F.lit(1)).alias("n"),
@@ -38,7 +40,7 @@ def agent_evaluation(
         items = items.join(ids, "task_id", "left")
     known, n, c = F.col("known"), F.col("n"), F.col("c")
     scored = items.select(
-        "agent_id",
+        *keys,
         "latency_s",
         "ok",
         F.when(known, n).alias("n"),
@@ -46,7 +48,7 @@ def agent_evaluation(
     )
     total = F.count(F.lit(1))
     seconds = F.coalesce(F.sum("latency_s"), F.lit(0.0))
-    return scored.groupBy("agent_id").agg(
+    return scored.groupBy(*keys).agg(
         total.alias("total_tasks"),
         F.count_if("ok").alias("successes"),
         F.coalesce(F.avg("latency_s"), F.lit(0.0)).alias("avg_latency_s"),
