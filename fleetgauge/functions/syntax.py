@@ -10,13 +10,21 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from fleetgauge.functions.numbers import let
 from fleetgauge.functions.whitespace import strip
 
 EMPTY_ERROR = "Empty completion"
-_FINDING = "parsed boolean, message string, line int, source string"
+_FINDING = T.StructType(
+    [
+        T.StructField("parsed", T.BooleanType()),
+        T.StructField("message", T.StringType()),
+        T.StructField("line", T.IntegerType()),
+        T.StructField("source", T.StringType()),
+    ]
+)
 _SEPARATE = "def "
 _OPENING = "def _completion():"
 

@@ -1,5 +1,9 @@
 """Rows and values that once went missing or came out wrong."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,3 +111,16 @@ def test_late_rows_are_not_lost_silently(spark, tmp_path):
     batch = view(spark.read.schema(schema).parquet(str(tmp_path / "in")))
     got = live.drained(view(stream), "append", ["run_id", "start"], batch)
     assert got.count() == 2
+
+
+def test_queries_are_listed_without_a_session():
+    said = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"],
+        capture_output=True,
+        text=True,
+        cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
+        timeout=120,
+    )
+    assert said.returncode == 0, said.stderr[-500:]
+    known, with_sql = map(int, said.stdout.split())
+    assert known >= with_sql > 100
