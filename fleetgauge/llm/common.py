@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +47,13 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, spread_by: str, salts: i
 
 #: A filter of keys has this many words of 64 bits, whatever the number of keys. A full filter lets
 #: keys through that aren't members and never stops one that is.
-FILTER_WORDS = 1 << 20
+FILTER_WORDS, PAGE = 1 << 20, 1 << 12
 
 
 def member_filter(keys: DataFrame) -> Callable[[int], bool]:
     """A test whether a 64-bit key may be in the only column of ``keys``, for use inside tasks.
 
-    At most FILTER_WORDS rows come to the driver and a table of 8 MB goes out.
+    The table comes to the driver in at most FILTER_WORDS / PAGE pages, 8 MB together, and goes out.
     """
     name = keys.columns[0]
     place = F.pmod(F.col(name), F.lit(FILTER_WORDS * 64))
@@ -60,11 +61,29 @@ def member_filter(keys: DataFrame) -> Callable[[int], bool]:
         keys.select((place / 64).cast("long").alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-        .collect()
     )
-    table = np.zeros(FILTER_WORDS, np.uint64)
-    for word, bits in words:
-        table[word] = np.uint64(bits & ((1 << 64) - 1))
+
+    def paged(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            word, bits = (c.to_numpy() for c in batch.columns)
+            for page in np.unique(word // PAGE).tolist():
+                own = word // PAGE == page
+                table = held.setdefault(page, np.zeros(PAGE, np.int64))
+                table[word[own] % PAGE] |= bits[own]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "page": pa.array(list(held), pa.int64()),
+                "bits": pa.array([x.tobytes() for x in held.values()], pa.binary()),
+            }
+        )
+
+    tasks = 16
+    dealt = words.repartition(tasks, (F.col("word") / PAGE).cast("long"))
+    table = np.zeros(FILTER_WORDS, np.int64)
+    for page, bits in dealt.mapInArrow(paged, "page long, bits binary").collect():
+        table[page * PAGE : (page + 1) * PAGE] = np.frombuffer(bits, np.int64)
+    table = table.view(np.uint64)
     shared = keys.sparkSession.sparkContext.broadcast(table)
 
     def may_hold(key: int) -> bool:
