@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by suffix arrays that the difference-cover algorithm builds.
 
-A string of ``length`` bytes is known by its anchor, the smallest hash among its 16-byte pieces, so
+A string of ``length`` bytes is known by its anchor, the smallest hash among its 64-byte pieces, so
 equal strings have equal anchors at equal places. Suffixes are dealt by the anchor of their first
 ``length`` bytes; what lies about an anchor in one document, some hundred bytes, travels as one block.
 Anchors met once drop out, and blocks met twice as a whole are repeats throughout. The rest goes to
@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import id_and_text, member_filter, stored
 
-PIECE = 16
+PIECE = 64
 #: Window starts that are looked at together; positions inside take 20 bits.
 STRETCH = 1 << 19
 #: An anchor with more different blocks than this is dealt by string.
 CROWD = 2000
 #: Bytes of blocks that one suffix array takes.
-ARRAY_BYTES = 4_000_000
+ARRAY_BYTES = 1_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +91,7 @@ def suffix_order(text: np.ndarray, reach: int) -> np.ndarray:
     positions = np.arange(n + (n % 3 == 1))  # so that the first kind ends with an empty triple
     sample = np.r_[positions[positions % 3 == 1], positions[positions % 3 == 2]]
     size = int(padded.max()) + 1
-    if size < 1 << 20:
+    if size < 1 << 21:
         triples = (padded[sample] * size + padded[sample + 1]) * size + padded[sample + 2]
     else:
         _, pairs = np.unique(padded[sample] * size + padded[sample + 1], return_inverse=True)
@@ -112,11 +112,11 @@ def suffix_order(text: np.ndarray, reach: int) -> np.ndarray:
     sorted_ = sorted_[sorted_ < n]
     ones, twos = sorted_[sorted_ % 3 == 1], sorted_[sorted_ % 3 == 2]
     before_ones = np.searchsorted(padded[ones] * wide + rank[ones + 1], rest_key)
-    _, pair = np.unique(
-        np.r_[padded[twos] * size + padded[twos + 1], padded[rest] * size + padded[rest + 1]], return_inverse=True
-    )
-    two_key = pair[: len(twos)] * wide + rank[twos + 2]
-    before_twos = np.searchsorted(two_key, pair[len(twos) :] * wide + rank[rest + 2])
+    two_pair, rest_pair = padded[twos] * size + padded[twos + 1], padded[rest] * size + padded[rest + 1]
+    if size * size >= (1 << 62) // int(wide):
+        _, both = np.unique(np.r_[two_pair, rest_pair], return_inverse=True)
+        two_pair, rest_pair = both[: len(twos)], both[len(twos) :]
+    before_twos = np.searchsorted(two_pair * wide + rank[twos + 2], rest_pair * wide + rank[rest + 2])
     place = np.arange(len(rest)) + before_ones + before_twos
     whole = np.empty(n, np.int64)
     free = np.ones(n, bool)
