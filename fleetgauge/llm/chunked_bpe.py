@@ -20,15 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import attach, id_and_text, stored
+from fleetgauge.llm.common import id_and_text, member_filter, stored
 from fleetgauge.llm.subwords import Subwords, first_cut, last_cut, subwords
 
 WINDOW = 32
 _GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 32, 256, np.uint32)
-#: The filter of shared chunks has this many bits whatever the size of the corpus. A full filter
-#: costs movement of chunks met once, never a wrong result.
-FILTER_WORDS = 1 << 20
-
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -54,9 +50,8 @@ def chunks(text: str, bits: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _slot(digest: bytes) -> tuple[int, int]:
-    number = int.from_bytes(digest[:4], "little")
-    return number % FILTER_WORDS, (number // FILTER_WORDS) % 64
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def stored_as(encoder: Subwords) -> str:
@@ -138,39 +133,21 @@ def chunk_reuse_encoding(
     encoded as one join.
     """
     rows = id_and_text(docs, id_col, text_col)
-    spark = rows.sparkSession
 
     def digest_rows(batches):
         for _, texts in _texts(batches):
             found = [xxhash.xxh3_128_digest(c) for x in texts for c in chunks(x, bits)]
             yield _batch({"digest": (found, pa.binary())})
 
-    def slot_rows(batches):
+    def numbers(batches):
         for batch in batches:
-            slots = [_slot(x) for x in batch.column(0).to_pylist()]
-            yield _batch(
-                {
-                    "word": ([w for w, _ in slots], pa.int64()),
-                    "bit": ([b for _, b in slots], pa.int32()),
-                }
-            )
+            yield _batch({"number": ([_number(x) for x in batch.column(0).to_pylist()], pa.int64())})
 
     repeated = rows.mapInArrow(digest_rows, "digest binary").groupBy("digest").count().filter("count > 1")
-    words = (
-        repeated.select("digest")
-        .mapInArrow(slot_rows, "word long, bit int")
-        .groupBy("word")
-        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-        .collect()  # at most FILTER_WORDS rows
-    )
-    bitmap = np.zeros(FILTER_WORDS, np.uint64)
-    for word, value in words:
-        bitmap[word] = np.uint64(value & ((1 << 64) - 1))
-    shared_filter = spark.sparkContext.broadcast(bitmap)
+    may_hold = member_filter(repeated.select("digest").mapInArrow(numbers, "number long"))
 
     def may_be_shared(digest: bytes) -> bool:
-        word, bit = _slot(digest)
-        return bool((int(shared_filter.value[word]) >> bit) & 1)
+        return may_hold(_number(digest))
 
     def digested(text: str) -> tuple[list[bytes], list[bytes], list[bool]]:
         parts = chunks(text, bits)
@@ -235,23 +212,44 @@ def chunk_reuse_encoding(
             yield _batch({"key": (keys, pa.binary()), "digest": (digests, pa.binary())})
 
     def moved_texts(batches):
-        seen: set[bytes] = set()
-        for _, texts in _texts(batches):
-            found = {}
-            for text in texts:
-                if any(digested(text)[2]) and (key := key_of(text)) not in seen:
-                    seen.add(key)
-                    found[key] = text
-            if len(seen) > 500_000:
-                seen = set()
-            yield _batch({"key": (list(found), pa.binary()), "text": (list(found.values()), pa.string())})
+        """Each text once for all rows of some megabytes that have it, with their ids."""
+        found: dict[bytes, tuple[str, list]] = {}
+        size = 0
+
+        def flush():
+            return _batch(
+                {
+                    "key": (list(found), pa.binary()),
+                    "text": ([text for text, _ in found.values()], pa.string()),
+                    "doc_ids": ([ids for _, ids in found.values()], pa.list_(pa.int64())),
+                }
+            )
+
+        for ids, texts in _texts(batches):
+            for doc, text in zip(ids, texts):
+                if any(digested(text)[2]):
+                    key = key_of(text)
+                    if key not in found:
+                        found[key] = (text, [])
+                        size += len(text)
+                    found[key][1].append(doc)
+            if size > 16_000_000:
+                yield flush()
+                found, size = {}, 0
+        yield flush()
 
     def assemble(batches):
         encoder = subwords(tokenizer)
         summary = Summary(encoder)
+        last, result = None, None  # rows of one text follow one another
         for batch in batches:
-            keys, results = [], []
+            ids, results = [], []
             for k in range(batch.num_rows):
+                documents = batch.column(3)[k].as_py()
+                ids += documents
+                if (key := batch.column(0)[k].as_py()) == last:
+                    results += [result] * len(documents)
+                    continue
                 known = {
                     x["digest"]: Core(x["before"], np.frombuffer(x["ids"], stored_as(encoder)).astype(np.uint32), x["after"])
                     if x["ids"] is not None
@@ -262,16 +260,16 @@ def chunk_reuse_encoding(
                 own = [(i, d) for i, d in enumerate(digests) if d not in known]
                 for (_, digest), core in zip(own, cores(encoder, [parts[i].decode() for i, _ in own])):
                     known[digest] = core
-                (ids,) = join_cores(encoder, [[known[d] for d in digests]])
-                keys.append(batch.column(0)[k].as_py())
-                results.append(summary(ids))
-            yield _results(keys, pa.binary(), "key", results)
+                (coded,) = join_cores(encoder, [[known[d] for d in digests]])
+                last, result = key, summary(coded)
+                results += [result] * len(documents)
+            yield _results(ids, results)
 
-    def _results(ids, kind, name, results):
+    def _results(ids, results):
         n, listed, decoded = zip(*results) if results else ((), (), ())
         return _batch(
             {
-                name: (ids, kind),
+                "doc_id": (ids, pa.int64()),
                 "n_tokens": (list(n), pa.int64()),
                 "ids_sha256": (list(listed), pa.string()),
                 "decoded_sha256": (list(decoded), pa.string()),
@@ -289,12 +287,7 @@ def chunk_reuse_encoding(
                 split.append(coded[at : at + len(parts)])
                 at += len(parts)
             results = [summary(x) for x in join_cores(encoder, split)]
-            yield _results([doc for doc, _ in alone], pa.int64(), "doc_id", results)
-
-    def moved_ids(batches):
-        for ids, texts in _texts(batches):
-            found = [(doc, key_of(x)) for doc, x in zip(ids, texts) if any(digested(x)[2])]
-            yield _batch({"doc_id": ([d for d, _ in found], pa.int64()), "key": ([k for _, k in found], pa.binary())})
+            yield _results([doc for doc, _ in alone], results)
 
     references = rows.mapInArrow(reference_rows, "key binary, digest binary").distinct()
     per_text = (
@@ -303,11 +296,9 @@ def chunk_reuse_encoding(
         .agg(F.collect_list(F.struct("digest", "before", "ids", "after")).alias("cores"))
     )
     assembled = (
-        rows.mapInArrow(moved_texts, "key binary, text string")
+        rows.mapInArrow(moved_texts, "key binary, text string, doc_ids array<long>")
         .join(per_text, "key")
-        .select("key", "text", "cores")
-        .mapInArrow(assemble, f"key binary, {RESULT}")
-        .dropDuplicates(["key"])
+        .select("key", "text", "cores", "doc_ids")
+        .mapInArrow(assemble, f"doc_id long, {RESULT}")
     )
-    moved = attach(rows.mapInArrow(moved_ids, "doc_id long, key binary"), assembled, "key", "doc_id")
-    return rows.mapInArrow(in_place, f"doc_id long, {RESULT}").unionByName(moved.drop("key"))
+    return rows.mapInArrow(in_place, f"doc_id long, {RESULT}").unionByName(assembled)
