@@ -284,7 +284,7 @@ def warc_round_trip(
     pages: DataFrame,
     least_bytes: int = 1000,
     per_archive: int = 16 << 20,
-    level: int = 4,
+    level: int = 6,
     date: str = "2000-01-01T00:00:00Z",
 ) -> DataFrame:
     """Writes a record per page, normalises the archives, and reads every record back.
@@ -306,8 +306,10 @@ def warc_round_trip(
     )
     whole, by_record = fresh_path(spark, "warc-whole"), fresh_path(spark, "warc-records")
     archives = stored(write_monolithic(_revisits(rows, least_bytes), whole, per_archive, level, date), "warc-manifest")
-    index = stored(normalise_archives(archives.repartition("archive"), by_record, level), "warc-index")
-    records = read_records(index)
+    files = max(1, archives.count())
+    index = stored(normalise_archives(archives.repartition(files, "archive"), by_record, level), "warc-index")
+    by_range = index.repartition(files, "archive").sortWithinPartitions("archive", "offset")
+    records = stored(read_records(by_range), "warc-records")
     sizes = (
         records.filter("record_type = 'response'")
         .select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"))
