@@ -7,10 +7,10 @@ enough in its lists. As in DivideSkip, a few of the longest lists of a class, fe
 are set aside: what occurs in the short ones is merged and counted, and the long ones are only probed
 for what that leaves. Lists of equal members are one list with a weight.
 
-A class most of whose lists are long for the whole corpus goes to a second search of such classes
-alone, in the order of rarity among them. What still has only long lists is nearly equal to very
-many classes: neighbours in its lists are verified, components are built, and only pairs of
-different components are left. Candidates are verified on their full sets.
+A class too many of whose lists are long for the whole corpus goes to a further search of such
+classes alone, with what is frequent among them last in the order. What still has only long lists is
+nearly equal to very many classes: neighbours in its lists are verified, components are built, and
+only pairs of components that share enough are left. Candidates are verified on their full sets.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import id_and_text, member_filter, stored
@@ -340,13 +340,13 @@ class Corpus:
         return self._mapped(make, "cid long, found array<long>").dropDuplicates(["cid"])
 
 
-def _verified(corpus: Corpus, pairs: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
+def _verified(sets_of: Callable[[DataFrame], DataFrame], pairs: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar. ``sets_of`` gives the sets of wanted classes."""
     pairs = stored(pairs, "to-verify")
     ends = stored(
         pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "ends"
     )
-    sets = stored(corpus.sets(ends), "sets")
+    sets = sets_of(ends)
     left = sets.select(F.col("cid").alias("a"), F.col("found").alias("x"))
     right = sets.select(F.col("cid").alias("b"), F.col("found").alias("y"))
 
@@ -364,22 +364,31 @@ def _verified(corpus: Corpus, pairs: DataFrame, like: Likeness) -> DataFrame:
     return stored(joined.mapInArrow(check, "a long, b long"), "links")
 
 
-def _rarest_first(sets: DataFrame, like: Likeness) -> DataFrame:
-    """Postings of the first shingles by how few of these sets hold them."""
-    rows = sets.select("cid", F.explode("found").alias("token"))
-    counted = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n_sets"))
-    ordered = (
-        rows.join(counted, "token")
-        .groupBy("cid")
-        .agg(F.array_sort(F.collect_list(F.struct("n_sets", "token"))).alias("found"))
-    )
-    n = F.size("found")
-    least = F.ceil(F.lit(like.percent) * n / 100)
-    share = F.greatest(F.lit(1), F.ceil(F.lit(like.share) * n - F.lit(1e-9)))
-    first = F.slice("found", 1, F.least(n, n - least + share).cast("int"))
-    return ordered.select("cid", n.cast("long").alias("n"), F.explode(first).alias("x")).select(
-        F.col("x.token").alias("token"), "cid", "n", (F.col("x.n_sets") > HOT).alias("hot")
-    )
+def _rare_first(sets: DataFrame, like: Likeness) -> DataFrame:
+    """Postings of the first shingles, those that many of these sets hold coming last.
+
+    The order needs to be one for all sets, not exact: what is frequent is told by a filter of fixed size.
+    """
+    counted = sets.select(F.explode("found").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    frequent = member_filter(counted.filter(F.col("n") > LONG).select("token"))
+    very = member_filter(counted.filter(F.col("n") > HOT).select("token"))
+
+    def postings(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
+                tokens, cids, sizes, hot = [], [], [], []
+                for cid, found in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    first = sorted(found, key=lambda x: (frequent(x), x))[: like.prefix(len(found))]
+                    tokens += first
+                    cids += [cid] * len(first)
+                    sizes += [len(found)] * len(first)
+                    hot += [very(x) for x in first]
+                yield _arrow(
+                    token=(tokens, pa.int64()), cid=(cids, pa.int64()), n=(sizes, pa.int64()), hot=(hot, pa.bool_())
+                )
+
+    return sets.select("cid", "found").mapInArrow(postings, "token long, cid long, n long, hot boolean")
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -387,18 +396,29 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
 
-def ngram_links(corpus: Corpus, like: Likeness) -> DataFrame:
+def ngram_links(corpus: Corpus, like: Likeness, levels: int = 3) -> DataFrame:
     """Links (a, b) between classes that join exactly the classes which similarity joins."""
-    pairs, dense = _candidates(_inverted_lists(corpus.postings(like)), like)
-    links = _verified(corpus, pairs, like)
-    if dense.isEmpty():
-        return links
-    sets = stored(corpus.sets(dense).join(dense.select("cid"), "cid", "left_semi"), "dense-sets")
-    lists = _inverted_lists(_rarest_first(sets, like))
-    pairs, crowd = _candidates(lists, like)
-    links = links.unionByName(_verified(corpus, pairs, like))
+    pairs, crowd = _candidates(_inverted_lists(corpus.postings(like)), like)
+    links = _verified(lambda ends: stored(corpus.sets(ends), "sets"), pairs, like)
     if crowd.isEmpty():
         return links
+    sets = stored(corpus.sets(crowd).join(crowd.select("cid"), "cid", "left_semi"), "crowd-sets")
+
+    def sets_of(ends):
+        return sets.join(ends, "cid", "left_semi")
+
+    lists, before = None, None
+    for _ in range(levels):  # what is frequent is judged anew among fewer
+        within = sets_of(crowd.select("cid"))
+        lists = _inverted_lists(_rare_first(within, like))
+        pairs, crowd = _candidates(lists, like)
+        links = links.unionByName(_verified(sets_of, pairs, like))
+        left = crowd.count()
+        if not left:
+            return links
+        if before is not None and left > 0.7 * before:
+            break
+        before = left
     rows = lists.filter("long").select("token", F.explode(F.arrays_zip("members", "sizes")).alias("x"))
     rows = rows.select("token", F.col("x.members").alias("cid"), F.col("x.sizes").alias("n"))
     rows = stored(rows.join(crowd.select("cid"), "cid", "left_semi"), "crowded")
@@ -411,18 +431,59 @@ def ngram_links(corpus: Corpus, like: Likeness) -> DataFrame:
 
     chained = rows.repartitionByRange("token", "n", "cid").sortWithinPartitions("token", "n", "cid")
     chain = chained.select("token", "n", "cid").mapInArrow(neighbours, "a long, b long").distinct()
-    links = stored(links.unionByName(_verified(corpus, chain, like)), "links")
-    # What is in the largest component of a list needs no more pairs among itself.
-    known = stored(_labelled(rows, links), "crowded")
-    sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"))
-    few = known.join(main.select("token", F.col("m.component").alias("main")), "token").filter("component <> main")
-    few = few.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    other = known.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    links = stored(links.unionByName(_verified(sets_of, chain, like)), "links")
+    # A pair that no short list decided shares long ones only, and as many as any pair needs. So
+    # components that share too few hold no similar pair; others are paired in full and counted.
+    known = stored(_labelled(rows.drop("component"), links), "crowded")
+    sizes = known.groupBy("component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    each = known.select("token", "component").distinct().join(sizes, "component")
+    one = each.select("token", F.col("component").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    two = each.select("token", F.col("component").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    sizes_meet = (like.percent * F.col("la") <= 100 * F.col("hb")) & (like.percent * F.col("lb") <= 100 * F.col("ha"))
+    low, high = F.least("la", "lb"), F.greatest("ha", "hb")
+    near = (
+        one.join(two, (one.token == two.token) & (F.col("ca") < F.col("cb")) & sizes_meet)
+        .groupBy("ca", "cb", low.alias("low"), high.alias("high"))
+        .agg(F.count(F.lit(1)).alias("both"))
+        # Over all sizes of the two, the fewest shared shingles are needed at the ends of their range.
+        .filter(F.col("both") >= F.greatest(_share(like, F.col("low")), _needed(like, F.col("low"), F.col("high")) - 2))
+    )
+    near = stored(near.select("ca", "cb"), "near-components")
+    left = known.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    right = known.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     fits = (F.lit(like.percent) * F.greatest("na", "nb")) <= 100 * F.least("na", "nb")
-    rest = few.join(other, "token").filter("ca <> cb").filter(fits)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.unionByName(_verified(corpus, rest, like))
+    rest = stored(
+        left.join(near, "ca")
+        .join(right, ["token", "cb"])
+        .filter(fits)
+        .groupBy("a", "b", "na", "nb")
+        .agg(F.count(F.lit(1)).alias("both"))
+        .filter(F.col("both") >= _needed(like, F.least("na", "nb"), F.greatest("na", "nb")))
+        .select("a", "b", "both"),
+        "crowded-pairs",
+    )
+    # The likeliest partners of each class first: pairs that they join need no look at their sets.
+    for partners in (2, 4, 8):
+        likeliest = Window.partitionBy("a").orderBy(F.desc("both"), "b")
+        best = rest.withColumn("rank", F.row_number().over(likeliest)).filter(F.col("rank") <= partners)
+        links = stored(links.unionByName(_verified(sets_of, best.select("a", "b"), like)), "links")
+        parts = _labelled(known.select("cid").distinct(), links)
+        ends = [parts.select(F.col("cid").alias(k), F.col("component").alias(f"c{k}")) for k in "ab"]
+        apart = rest.join(ends[0], "a").join(ends[1], "b").filter("ca <> cb")
+        rest = stored(apart.select("a", "b", "both"), "crowded-pairs")
+        if rest.isEmpty():
+            return links
+    return links.unionByName(_verified(sets_of, rest.select("a", "b"), like))
+
+
+def _share(like: Likeness, n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.lit(like.share) * n - F.lit(1e-9)))
+
+
+def _needed(like: Likeness, smaller: Column, larger: Column) -> Column:
+    """``Likeness.needed`` as a column."""
+    overlap = F.ceil(F.lit(like.percent) * (smaller + larger) / (100 + like.percent))
+    return F.greatest(F.lit(1), overlap - F.ceil(F.lit(like.percent) * larger / 100) + _share(like, smaller))
 
 
 def ngram_components(
