@@ -322,7 +322,7 @@ class Corpus:
         return self._mapped(make, "token long, cid long, n long, hot boolean")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """cid, found: the sets of the classes of a column ``cid``, once each."""
+        """cid, found: the sets of the classes of a column ``cid``, once each, as packed longs."""
         may_want = member_filter(wanted.select("cid"))
 
         def make(parts):
@@ -335,9 +335,9 @@ class Corpus:
                         out[cid] = found
                 if len(seen) > 2_000_000:
                     seen = set()
-                yield _arrow(cid=(list(out), pa.int64()), found=(list(out.values()), pa.list_(pa.int64())))
+                yield _arrow(cid=(list(out), pa.int64()), found=([x.tobytes() for x in out.values()], pa.binary()))
 
-        return self._mapped(make, "cid long, found array<long>").dropDuplicates(["cid"])
+        return self._mapped(make, "cid long, found binary").dropDuplicates(["cid"])
 
 
 def _verified(sets_of: Callable[[DataFrame], DataFrame], pairs: DataFrame, like: Likeness) -> DataFrame:
@@ -355,7 +355,7 @@ def _verified(sets_of: Callable[[DataFrame], DataFrame], pairs: DataFrame, like:
             a, b, x, y = batch.columns
             kept = []
             for k in range(batch.num_rows):
-                one, two = (np.asarray(c[k].values) for c in (x, y))
+                one, two = (np.frombuffer(c[k].as_buffer(), np.int64) for c in (x, y))
                 common = np.intersect1d(one, two, assume_unique=True).size
                 kept.append(bool(common >= like.overlap(len(one), len(two))))
             yield pa.record_batch([a.filter(pa.array(kept)), b.filter(pa.array(kept))], names=["a", "b"])
@@ -369,7 +369,15 @@ def _rare_first(sets: DataFrame, like: Likeness) -> DataFrame:
 
     The order needs to be one for all sets, not exact: what is frequent is told by a filter of fixed size.
     """
-    counted = sets.select(F.explode("found").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+    def members(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                packed = b"".join(batch.column(0).slice(at, 1024).to_pylist())
+                yield _arrow(token=(np.frombuffer(packed, np.int64), pa.int64()))
+
+    each = sets.select("found").mapInArrow(members, "token long")
+    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     frequent = member_filter(counted.filter(F.col("n") > LONG).select("token"))
     very = member_filter(counted.filter(F.col("n") > HOT).select("token"))
 
@@ -378,7 +386,8 @@ def _rare_first(sets: DataFrame, like: Likeness) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
                 tokens, cids, sizes, hot = [], [], [], []
-                for cid, found in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                for cid, packed in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    found = np.frombuffer(packed, np.int64).tolist()
                     first = sorted(found, key=lambda x: (frequent(x), x))[: like.prefix(len(found))]
                     tokens += first
                     cids += [cid] * len(first)
