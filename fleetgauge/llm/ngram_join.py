@@ -117,7 +117,8 @@ def _arrow(**columns) -> pa.RecordBatch:
 def _inverted_lists(postings: DataFrame) -> DataFrame:
     """members, sizes, long: lists of two members or more; long ones come in pieces with their shingle.
 
-    ``postings``: token, cid, n, hot. A hot token is dealt by member and known to be long.
+    ``postings``: token, cid, n, hot. A hot token is dealt by member and known to be long. Where it may
+    be hot in one task and not in another, a row of n = 0 says so to the members that aren't dealt out.
     """
 
     def group(batches):
@@ -137,8 +138,9 @@ def _inverted_lists(postings: DataFrame) -> DataFrame:
             for a, b, known in zip(starts.tolist(), stops.tolist(), hot):
                 if b - a < 2 and not known:
                     continue
-                cid, first = np.unique(rows["cid"][a:b], return_index=True)
-                size = rows["n"][a:b][first]
+                own = rows[a:b][rows["n"][a:b] > 0]
+                cid, first = np.unique(own["cid"], return_index=True)
+                size = own["n"][first]
                 if len(cid) < 2 and not known:
                     continue
                 long = bool(known) or len(cid) > LONG
@@ -169,7 +171,8 @@ def _inverted_lists(postings: DataFrame) -> DataFrame:
         if made is not None:
             yield made
 
-    # A hot token's rows carry no group: they are long wherever they land.
+    # A hot token's rows carry no group: they are long wherever they land. Its mark, with cid 0, lands
+    # where the rows of tasks lie for which it isn't hot.
     dealt = postings.repartition(F.xxhash64("token", F.when(F.col("hot"), F.pmod("cid", F.lit(4096))).otherwise(0)))
     sorted_ = dealt.sortWithinPartitions("token", "cid").select("token", "cid", "n", "hot")
     schema = "token long, members array<long>, sizes array<long>, long boolean"
@@ -286,7 +289,10 @@ class Corpus:
         return self._mapped(make, "doc_id long, n_shingles long, cid long")
 
     def postings(self, like: Likeness) -> DataFrame:
-        """token, cid, n, hot of each class's first shingles in the order of their hashes."""
+        """token, cid, n, hot of each class's first shingles in the order of their hashes.
+
+        Each flush of a task judges by itself what is hot, and adds a row (token, 0, 0, true) for it.
+        """
 
         def make(parts):
             seen: set[int] = set()
@@ -294,13 +300,15 @@ class Corpus:
 
             def flush():
                 token = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-                _, place, counts = np.unique(token, return_inverse=True, return_counts=True)
+                known, place, counts = np.unique(token, return_inverse=True, return_counts=True)
                 each = [len(x) for x in tokens]
+                marks = known[counts >= HOT]
+                none = np.zeros(len(marks), np.int64)
                 return _arrow(
-                    token=(token, pa.int64()),
-                    cid=(np.repeat(np.array(cids, np.int64), each), pa.int64()),
-                    n=(np.repeat(np.array(sizes, np.int64), each), pa.int64()),
-                    hot=(counts[place] >= HOT if len(token) else [], pa.bool_()),
+                    token=(np.concatenate([token, marks]), pa.int64()),
+                    cid=(np.concatenate([np.repeat(np.array(cids, np.int64), each), none]), pa.int64()),
+                    n=(np.concatenate([np.repeat(np.array(sizes, np.int64), each), none]), pa.int64()),
+                    hot=(np.concatenate([counts[place] >= HOT, none == 0]), pa.bool_()),
                 )
 
             for _, sets in parts:

@@ -74,6 +74,34 @@ def test_ngram_join_with_crowded_lists(spark, monkeypatch):
     assert joined(documents(spark, rows)) == similar_groups(rows)
 
 
+def test_ngram_join_of_a_group_that_is_hot_in_one_task_only(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(200)]
+    rows = []
+    for i in range(50):
+        text = list(base)
+        text[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    monkeypatch.setattr(join, "LONG", 16)
+    monkeypatch.setattr(join, "HOT", 30)
+    one, two = (spark.sparkContext.parallelize(part, 1) for part in (rows[:42], rows[42:]))
+    two_tasks = spark.createDataFrame(one.union(two), "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        dealt = join.Corpus(two_tasks, 4).postings(join.Likeness(85))
+        lists = join._inverted_lists(dealt)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shared = {t: n for t, n in collections.Counter(r.token for r in dealt.filter("n > 0").collect()).items() if n > 42}
+    held = collections.Counter()
+    for r in lists.filter("long").collect():
+        held[r.token] += len(r.members)
+        assert all(n > 0 for n in r.sizes)
+    assert len(shared) > 20 and shared == {t: held[t] for t in shared}
+
+
 def test_t_occurrence_counts_weighted_lists():
     rng = random.Random(1)
     for _ in range(200):
