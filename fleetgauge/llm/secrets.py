@@ -1,8 +1,10 @@
 """Secret scans: a loose pattern finds candidates, a random forest removes the false ones.
 
-Candidates are runs of 16 or more characters that keys are made of. For each the scan takes its
-length, how often the kind of character changes, how many kinds there are, how much of it frequent
-words of the corpus cover, whether it looks like a path, and what words stand beside it. A forest
+Candidates are runs of 16 or more characters that keys are made of, and values of six or more of any
+characters that are assigned to a name of a secret. Such a value ends at its quote or, bare, at a quote,
+angle bracket, comma or semicolon; neither kind holds white space. For each the scan takes its length,
+how often the kind of character changes, how many kinds there are, how much of it frequent words of the
+corpus cover, whether it looks like a path, and what words stand beside it. A forest
 fitted on labelled findings gives the probability that a candidate is a secret. All steps are
 built-in functions of Spark and its own forest.
 """
@@ -15,11 +17,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 #: Words beside a candidate that speak for a secret, or for another meaning of a random string.
-TELLS_SECRET = r"(?i)(pass(word|wd|phrase)?|secret|token|api.?key|access.?key|private.?key|auth|credential|bearer)"
+TELLS_SECRET = (
+    r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|private.?key|auth|credential|bearer)"
+)
 TELLS_OTHER = r"(?i)(example|sample|dummy|test|hash|sha\d*|md5|commit|checksum|uuid|guid|digest|https?:|www\.)"
-ASSIGNED = r"""[=:]\s*["']?$"""
+ASSIGNED = r"""[=:]>?\s*["']?$"""
+#: Cheap looks back come first: few places follow a sign of assignment.
+_NAMED = (
+    r"""(?<=[=:>\s"'])(?<=[=:]>?\s{0,3}["']?)(?<="""
+    + TELLS_SECRET.replace("(?i)(", "(?i:")
+    + r"""[A-Za-z0-9_.-]{0,20}["']?\s{0,3}[=:]{1,2}>?\s{0,3}["']?)"""
+)
+_VALUE = r"""(?<=")[^"\s]{6,}(?=")|(?<=')[^'\s]{6,}(?=')|[^\s"'<>,;]{5,}[^\s"'<>,;.:?)\]}]"""
+CANDIDATE = f"{_NAMED}(?![=:])(?:{_VALUE})|[A-Za-z0-9+/_-]{{16,}}"
+#: Characters beside a candidate, whether they belong to other candidates or not. Candidates have
+#: LEAST characters or more, so that these come from the nearest few.
+LEAST = 6
 BESIDE_BEFORE, BESIDE_AFTER = 40, 20
 FEATURES = [
     "n_chars", "changes", "kinds", "digits", "uppers", "distinct", "covered", "path", "says_secret",
@@ -48,9 +62,19 @@ def candidates(docs: DataFrame) -> DataFrame:
         "(x, i) -> x - length(_found[i]))"
     )
     rows = found.withColumn("_lengths", lengths).withColumn("_places", places)
+    back, ahead = -(-BESIDE_BEFORE // LEAST), -(-BESIDE_AFTER // LEAST)
+    before = (
+        f"right(concat(array_join(transform(slice(_found, greatest(i - {back}, 0) + 1, least(i, {back})), (y, j) -> "
+        f"concat(right(_between[greatest(i - {back}, 0) + j], {BESIDE_BEFORE}), right(y, {BESIDE_BEFORE}))), ''), "
+        f"right(_between[i], {BESIDE_BEFORE})), {BESIDE_BEFORE})"
+    )
+    after = (
+        f"left(concat(left(_between[i + 1], {BESIDE_AFTER}), array_join(transform(slice(_found, i + 2, {ahead}), "
+        f"(y, j) -> concat(left(y, {BESIDE_AFTER}), left(_between[i + j + 2], {BESIDE_AFTER}))), '')), {BESIDE_AFTER})"
+    )
     each = F.expr(
         f"inline(transform(_found, (x, i) -> named_struct('place', _places[i], 'value', x, "
-        f"'before', right(_between[i], {BESIDE_BEFORE}), 'after', left(_between[i + 1], {BESIDE_AFTER}))))"
+        f"'before', {before}, 'after', {after})))"
     )
     return rows.select("doc_id", each)
 
@@ -70,8 +94,8 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     small = F.lower(value)
     known = "|".join(sorted(words, key=lambda w: (-len(w), w)))
     uncovered = F.length(F.regexp_replace(small, known, "")) if words else F.length(small)
-    kinds = ["[a-z]", "[A-Z]", "[0-9]", "[+/_-]"]
-    changes = _count(value, r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[+/_-])[^+/_-]")
+    kinds = ["[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"]
+    changes = _count(value, r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^A-Za-z0-9])[A-Za-z0-9]")
     flag = lambda column: F.coalesce(column, F.lit(False)).cast("double")
     return found.withColumns(
         {
@@ -83,7 +107,7 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
             "distinct": F.size(F.array_distinct(F.split(value, ""))) / length,
             "covered": 1 - uncovered / length,
             "path": _count(value, "/") / length + flag(before.rlike(r"[/.]$")) + flag(F.col("after").rlike(r"^\.[a-z]")),
-            "says_secret": flag(F.concat(before, value).rlike(TELLS_SECRET)),
+            "says_secret": flag(before.rlike(TELLS_SECRET)),
             "says_other": flag(before.rlike(TELLS_OTHER)),
             "assigned": flag(before.rlike(ASSIGNED)),
             "quoted": flag(before.rlike("[\"']$")) * flag(F.col("after").rlike("^[\"']")),
@@ -98,9 +122,9 @@ def labelled_by_form(found: DataFrame) -> DataFrame:
     secrets. Plain words, rules of one sign, bare numbers and digests named as such are not.
     """
     value, before = F.col("value"), F.col("before")
-    named = before.rlike(TELLS_SECRET + r"""["']?\s*[=:]\s*["']?$""") & value.rlike("[0-9]")
+    named = before.rlike(TELLS_SECRET + r"""["']?\s*[=:]{1,2}>?\s*["']?$""") & value.rlike("[0-9]")
     issued = value.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk_(live|test)_[A-Za-z0-9]{16,}$")
-    plain = value.rlike("^[A-Z]?[a-z]+([-_/][A-Za-z]?[a-z]+)*$|^[0-9+/_-]+$|^[A-Z]+$")
+    plain = value.rlike("^[A-Z]?[a-z]+([-_/][A-Za-z]?[a-z]+)*$|^[0-9+/_-]+$|^[A-Z]+([-_/][A-Z]+)*$")
     digest = before.rlike(r"(?i)(sha\d*|md5|commit|checksum|digest)[:=\s]+$")
     label = F.when(issued | (named & ~plain), 1).when(plain | digest, 0)
     return found.withColumn("label", label).filter("label is not null")

@@ -143,6 +143,36 @@ def test_secrets_are_found_and_masked(spark, docs, none):
     assert secrets.secret_findings(none).count() == 0
 
 
+def test_assigned_secrets_of_any_form_are_found(spark, docs):
+    keys = [hashlib.sha256(str(k).encode()).digest() for k in range(40)]
+    long = [base64.b64encode(k).decode()[:40].replace("=", "x") for k in keys]
+    short = [base64.b64encode(k).decode()[:9].replace("/", "a") + "r5" for k in keys]
+    signs = [f"{x[:5]}.!{x[5:9]}@$~{x[9:]}7" for x in short]
+    texts, places = {}, collections.defaultdict(dict)
+    for k in range(40):
+        text = f"汉 export AWS_SECRET_ACCESS_KEY={long[k]}\ndatabase_password: {signs[k]}\npassword = \"{short[k]}\" thou"
+        texts[800_000 + k] = text
+        for value in (long[k], signs[k], short[k]):
+            places[800_000 + k][text.index(value)] = value
+    df = documents(spark, list(texts.items())).unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    cut = {(r.doc_id, r.place): r for r in secrets.candidates(df).collect() if r.doc_id in texts}
+    for (doc, place), r in cut.items():
+        text, ends = texts[doc], place + len(r.value)
+        assert text[place:ends] == r.value
+        assert r.before == text[max(0, place - 40) : place] and r.after == text[ends : ends + 20]
+    found = {(r.doc_id, r.place): r for r in secrets.secret_findings(df).collect() if r.doc_id in texts}
+    assert set(found) == set(cut)
+    for doc in texts:
+        for place, value in places[doc].items():
+            assert cut[doc, place].value == value
+            assert found[doc, place].says_secret == 1 and found[doc, place].is_secret, value
+        name = found[doc, texts[doc].index("AWS_SECRET")]
+        assert name.says_secret == 0 and not name.is_secret
+    masked = {r.doc_id: r.text for r in secrets.redacted(df).collect() if r.doc_id in texts}
+    want = '汉 export AWS_SECRET_ACCESS_KEY=[SECRET]\ndatabase_password: [SECRET]\npassword = "[SECRET]" thou'
+    assert set(masked.values()) == {want}
+
+
 def test_quality_learns_what_labels_mark(spark, docs):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     rows = quality_scores(docs, labels.withColumn("text", F.lit("clash"))).join(labels, "doc_id").collect()
