@@ -115,8 +115,8 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     )
 
 
-def labelled_by_form(found: DataFrame) -> DataFrame:
-    """Findings whose form leaves no doubt, with label 1 or 0; others get none and are left out.
+def form_label() -> Column:
+    """1 or 0 for a finding whose form leaves no doubt, null for others.
 
     Issued keys with a fixed head, and values with digits that are assigned to a name of a secret, are
     secrets. Plain words, rules of one sign, bare numbers and digests named as such are not.
@@ -126,8 +126,12 @@ def labelled_by_form(found: DataFrame) -> DataFrame:
     issued = value.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk_(live|test)_[A-Za-z0-9]{16,}$")
     plain = value.rlike("^[A-Z]?[a-z]+([-_/][A-Za-z]?[a-z]+)*$|^[0-9+/_-]+$|^[A-Z]+([-_/][A-Z]+)*$")
     digest = before.rlike(r"(?i)(sha\d*|md5|commit|checksum|digest)[:=\s]+$")
-    label = F.when(issued | (named & ~plain), 1).when(plain | digest, 0)
-    return found.withColumn("label", label).filter("label is not null")
+    return F.when(issued | (named & ~plain), 1).when(plain | digest, 0)
+
+
+def labelled_by_form(found: DataFrame) -> DataFrame:
+    """Findings whose form leaves no doubt, with label 1 or 0; others are left out."""
+    return found.withColumn("label", form_label()).filter("label is not null")
 
 
 def fitted_forest(labelled: DataFrame, per_class: int = 3000, trees: int = 20, depth: int = 5, seed: int = 7):
@@ -154,11 +158,9 @@ def fitted_forest(labelled: DataFrame, per_class: int = 3000, trees: int = 20, d
 
 
 def judged(found: DataFrame, forest) -> DataFrame:
-    """Adds ``probability``. Without a forest, what the labelling by form says, and a half elsewhere."""
+    """Adds ``probability``. Without a forest, 1 for secrets by their form and 0 for what is undecided."""
     if forest is None:
-        value = F.col("value")
-        shape = F.when(value.rlike("^[A-Za-z]?[a-z]+$|^[0-9+/_-]+$"), 0.0).otherwise(F.greatest("assigned", F.lit(0.5)))
-        return found.withColumn("probability", shape)
+        return found.withColumn("probability", F.when(form_label() == 1, 1.0).otherwise(0.0))
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep").transform(found)
     forest = forest.copy()
     forest.setFeaturesCol("_features").setProbabilityCol("_probability").setRawPredictionCol("_raw").setPredictionCol(

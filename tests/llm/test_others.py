@@ -173,6 +173,17 @@ def test_assigned_secrets_of_any_form_are_found(spark, docs):
     assert set(masked.values()) == {want}
 
 
+def test_tables_without_sure_secrets_keep_their_texts(spark):
+    texts = ["see /usr/share/doc/readme-first/index ERSCHSCHBERBERTZ", "snake_case_word_of_text_1 and " + "0a1B" * 6]
+    clean = documents(spark, list(enumerate(texts)))
+    found = secrets.secret_findings(clean).collect()
+    assert len(found) == 4 and not any(r.is_secret for r in found)
+    assert {r.doc_id: r.text for r in secrets.redacted(clean).collect()} == dict(enumerate(texts))
+    # Secrets alone teach no forest either, and are told by their form.
+    sure = documents(spark, [(1, "AKIA" + "AB12" * 4)])
+    assert secrets.redacted(sure).first().text == secrets.MASK
+
+
 def test_quality_learns_what_labels_mark(spark, docs):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     rows = quality_scores(docs, labels.withColumn("text", F.lit("clash"))).join(labels, "doc_id").collect()
