@@ -7,6 +7,9 @@ peeled, which frees others, until every differing digest is recovered or no cell
 sketches of both texts are made anew, larger: digests are dealt over as many sketches as both texts'
 paragraphs ask for, and those of sketches that still fail are dealt again with other hashes.
 
+A paragraph is a line. A text without line breaks is one digest, so one changed character makes its
+likeness 0: near copies of one-line texts are lost.
+
 Only built-in functions run; a text's work is linear in its paragraphs but for dealing them out.
 """
 
