@@ -37,7 +37,7 @@ def test_first_success(attempts):
     assert got == [
         (1, "a", "first", 1.0, 1, True, 1),
         (1, "b", "good", 4.0, 3, True, 3),
-        (2, "a", "", 5.0, None, False, 2),
+        (2, "a", "", 6.0, None, False, 2),
         (2, "b", "fixed", 8.0, 2, True, 2),
     ]
 
