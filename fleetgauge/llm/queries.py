@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetgauge.llm.chunked_bpe import chunk_reuse_encoding
 from fleetgauge.llm.common import table
+from fleetgauge.llm.host_reputation import Rule, judged_pages
 from fleetgauge.llm.nearest import nearest_by_inner_product
 from fleetgauge.llm.ngram_join import ngram_components
 from fleetgauge.llm.packing import harmonic_packing
@@ -61,6 +62,21 @@ def op10_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_reuse_encoding(table(spark, folder, "documents"), TOKENIZER)
 
 
+URL_RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+#: Names below which anybody may register.
+OPEN_SUFFIXES = ("example.com", "example.net", "example.org")
+
+
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judged_pages(table(spark, folder, "pages"), URL_RULES, OPEN_SUFFIXES)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_fingerprints": op2_fingerprints,
@@ -72,6 +88,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_chunked_bpe": op10_chunked_bpe,
+    "op11_url_filter": op11_url_filter,
 }
 
 SQL = {
@@ -113,4 +130,72 @@ SQL = {
                 AS record_type,
             CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN largest END AS refers_to
         FROM ranked""",
+    "op11_url_filter": """
+        WITH cut AS (
+            SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0
+                THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+            FROM pages),
+        parts AS (
+            SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS given,
+                regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+            FROM cut),
+        hosted AS (
+            SELECT page_id, path, translate(given, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+            FROM parts),
+        rules(rule, ruled, rule_host, rule_path) AS (VALUES
+            ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
+            ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'),
+            ('com/de/', 'block', 'com', '/de/')),
+        marked AS (
+            SELECT h.*, (SELECT max_by(struct_pack(rule := rule, ruled := ruled), length(rule)) FROM rules
+                WHERE (h.host = rule_host OR ends_with(h.host, '.' || rule_host))
+                    AND starts_with(h.path, rule_path)) AS hit
+            FROM hosted h),
+        named AS (
+            SELECT *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS name FROM marked),
+        suffixed AS (
+            SELECT *, CASE
+                WHEN regexp_matches(name, '^[0-9.]+$') THEN name
+                WHEN regexp_matches(name, '(^|[.])example[.](com|net|org)$') THEN regexp_extract(name, 'example[.][a-z]+$')
+                WHEN regexp_matches(name, '(^|[.])(ac|co|com|edu|gov|net|org)[.][^.]{2}$')
+                    THEN regexp_extract(name, '[^.]+[.][^.]+$')
+                ELSE regexp_extract(name, '[^.]*$') END AS suffix
+            FROM named),
+        sited AS (
+            SELECT *, CASE WHEN length(name) > length(suffix) + 1
+                THEN regexp_extract(left(name, length(name) - length(suffix) - 1), '[^.]*$') || '.' || suffix
+                ELSE suffix END AS domain
+            FROM suffixed),
+        hosts AS (
+            SELECT host, domain, suffix, count(hit) AS n, count(*) FILTER (hit.ruled = 'allow') AS good
+            FROM sited GROUP BY ALL),
+        domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
+        tops AS (
+            SELECT suffix, sum(n) AS n, sum(good) AS good,
+                (sum(sum(good)) OVER () + 1.0) / (sum(sum(n)) OVER () + 2.0) AS m
+            FROM domains GROUP BY ALL),
+        top_weight AS (
+            SELECT sum((good - n * m) * (good - n * m) / n - m * (1 - m)) AS a, sum(m * (1 - m) * (n - 1)) AS p
+            FROM tops WHERE n > 0),
+        top_mean AS (
+            SELECT suffix, (good + w * m) / (n + w) AS m FROM tops, (SELECT CASE WHEN coalesce(p, 0) = 0 THEN 1.0
+                ELSE 1 / least(greatest(a / p, 0.001), 0.5) - 1 END AS w FROM top_weight)),
+        domain_prior AS (SELECT d.*, m FROM domains d JOIN top_mean USING (suffix)),
+        domain_weight AS (
+            SELECT sum((good - n * m) * (good - n * m) / n - m * (1 - m)) AS a, sum(m * (1 - m) * (n - 1)) AS p
+            FROM domain_prior WHERE n > 0),
+        domain_mean AS (
+            SELECT domain, (good + w * m) / (n + w) AS m FROM domain_prior, (SELECT CASE WHEN coalesce(p, 0) = 0
+                THEN 1.0 ELSE 1 / least(greatest(a / p, 0.001), 0.5) - 1 END AS w FROM domain_weight)),
+        host_prior AS (SELECT h.*, m FROM hosts h JOIN domain_mean USING (domain)),
+        host_weight AS (
+            SELECT sum((good - n * m) * (good - n * m) / n - m * (1 - m)) AS a, sum(m * (1 - m) * (n - 1)) AS p
+            FROM host_prior WHERE n > 0),
+        host_mean AS (
+            SELECT host, n + w AS size, (good + w * m) / (n + w) AS m FROM host_prior, (SELECT CASE
+                WHEN coalesce(p, 0) = 0 THEN 1.0 ELSE 1 / least(greatest(a / p, 0.001), 0.5) - 1 END AS w
+                FROM host_weight))
+        SELECT page_id, host, path, hit.rule AS rule, CASE WHEN hit IS NOT NULL THEN hit.ruled
+            WHEN m + 1.645 * sqrt(m * (1 - m) / (size + 1)) < 2.0 / 3 THEN 'block' ELSE 'allow' END AS verdict
+        FROM sited JOIN host_mean USING (host)""",
 }
