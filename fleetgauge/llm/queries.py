@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetgauge.llm.chunked_bpe import chunk_reuse_encoding
 from fleetgauge.llm.common import table
+from fleetgauge.llm.hard_negatives import hard_negatives
 from fleetgauge.llm.host_reputation import Rule, judged_pages
 from fleetgauge.llm.nearest import nearest_by_inner_product
 from fleetgauge.llm.ngram_join import ngram_components
@@ -77,6 +79,12 @@ def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged_pages(table(spark, folder, "pages"), URL_RULES, OPEN_SUFFIXES)
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_fingerprints": op2_fingerprints,
@@ -89,6 +97,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_chunked_bpe": op10_chunked_bpe,
     "op11_url_filter": op11_url_filter,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 SQL = {
@@ -198,4 +207,24 @@ SQL = {
         SELECT page_id, host, path, hit.rule AS rule, CASE WHEN hit IS NOT NULL THEN hit.ruled
             WHEN m + 1.645 * sqrt(m * (1 - m) / (size + 1)) < 2.0 / 3 THEN 'block' ELSE 'allow' END AS verdict
         FROM sited JOIN host_mean USING (host)""",
+    "op12_hard_negatives": """
+        WITH rows_ AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label,
+                CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM rows_ a JOIN rows_ b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER hard AS INTEGER) AS rank,
+            s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+            AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+        WINDOW hard AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+        QUALIFY row_number() OVER hard <= 3""",
 }
