@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +91,63 @@ def member_filter(keys: DataFrame) -> Callable[[int], bool]:
         return bool((int(shared.value[word]) >> bit) & 1)
 
     return may_hold
+
+
+class KeyFilter:
+    """Whether a 64-bit hash may be among given ones, for whole arrays inside tasks.
+
+    The table has 16 bits a key, sized by a count, and at most ``MOST_BITS`` (64 MB): beyond that it lets
+    more keys through that aren't members, and never stops one that is.
+    """
+
+    MOST_BITS, PROBES = 1 << 29, 4
+
+    def __init__(self, keys: int, bits: int, shared):
+        self.keys, self.bits, self.shared = keys, bits, shared
+
+    @staticmethod
+    def places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        low, step = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+        for probe in range(KeyFilter.PROBES):
+            yield ((low + np.uint64(probe) * step) & np.uint64(bits - 1)).astype(np.int64)
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> KeyFilter:
+        """From the only column of ``hashes``, of longs that are well mixed already."""
+        keys = hashes.count()
+        bits = 1 << 16
+        while bits < min(16 * keys, cls.MOST_BITS):
+            bits *= 2
+
+        def marked(batches):
+            for batch in batches:
+                for at in cls.places(batch.column(0).to_numpy().view(np.uint64), bits):
+                    yield pa.record_batch([pa.array(at >> 6), pa.array(at & 63)], names=["word", "bit"])
+
+        def paged(batches):
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                word, found = (c.to_numpy() for c in batch.columns)
+                for page in np.unique(word // PAGE).tolist():
+                    own = word // PAGE == page
+                    held.setdefault(page, np.zeros(PAGE, np.int64))[word[own] % PAGE] |= found[own]
+            pages, tables = list(held), [x.tobytes() for x in held.values()]
+            yield pa.record_batch([pa.array(pages, pa.int64()), pa.array(tables, pa.binary())], names=["page", "bits"])
+
+        words = hashes.mapInArrow(marked, "word long, bit long").groupBy("word")
+        words = words.agg(F.expr("bit_or(shiftleft(1L, cast(bit as int)))").alias("bits"))
+        dealt = words.repartition(16, (F.col("word") / PAGE).cast("long"))
+        table = np.zeros(max(bits // 64, PAGE), np.int64)
+        for page, found in dealt.mapInArrow(paged, "page long, bits binary").collect():
+            table[page * PAGE : (page + 1) * PAGE] = np.frombuffer(found, np.int64)
+        shared = hashes.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+        return cls(keys, bits, shared)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        table, found = self.shared.value, np.ones(len(hashes), bool)
+        for at in self.places(hashes, self.bits):
+            found &= (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+        return found
+
+    def free(self) -> None:
+        self.shared.unpersist()

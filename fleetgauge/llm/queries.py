@@ -14,6 +14,7 @@ from fleetgauge.llm.nearest import nearest_by_inner_product
 from fleetgauge.llm.ngram_join import ngram_components
 from fleetgauge.llm.packing import harmonic_packing
 from fleetgauge.llm.paragraph_sketch import document_fingerprints
+from fleetgauge.llm.phrase_mining import collocations
 from fleetgauge.llm.preferences import echoed_answers, preference_pairs
 from fleetgauge.llm.quality import quality_scores
 from fleetgauge.llm.secrets import secret_findings
@@ -85,6 +86,10 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 50 == 0)
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_fingerprints": op2_fingerprints,
@@ -98,6 +103,7 @@ QUERIES = {
     "op10_chunked_bpe": op10_chunked_bpe,
     "op11_url_filter": op11_url_filter,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 
 SQL = {
@@ -227,4 +233,39 @@ SQL = {
             AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
         WINDOW hard AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
         QUALIFY row_number() OVER hard <= 3""",
+    "op13_collocations": r"""
+        WITH texts AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents),
+        pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+        words AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+            FROM pieces),
+        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+        grams AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS size FROM starts),
+        known AS (
+            SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, any_value(w[i:i + size - 1]) AS w,
+                count(*) AS a
+            FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 100),
+        totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+        cuts AS (SELECT *, unnest(range(1, size)) AS k FROM known WHERE size > 1),
+        scored AS (
+            SELECT c.lang, c.phrase, c.size, c.k, c.a, x.a AS l, y.a AS r, n,
+                (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+            FROM cuts c JOIN totals USING (lang)
+            JOIN known x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+            JOIN known y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+            QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1),
+        held AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT *, unnest(range(1, size - m + 2)) AS i
+                FROM (SELECT *, unnest(range(2, size)) AS m FROM known WHERE size > 2))
+            GROUP BY ALL)
+        SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n,
+            CAST(score AS BIGINT) AS score
+        FROM scored LEFT JOIN held USING (lang, phrase)
+        WHERE longer IS NULL OR 100 * longer < 100 * a
+        WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+        QUALIFY row_number() OVER best <= 2000""",
 }
