@@ -151,15 +151,16 @@ class _Phrases:
         names = len(strings.dictionary)
         lang = langs.indices.to_numpy()[words.text].astype(np.int64)
         self.word, pairs = pd.factorize(lang * names + strings.indices.to_numpy())
-        self.langs = langs.dictionary.take(pa.array(pairs // names))
+        tongue = pairs // names
+        self.langs = langs.dictionary.take(pa.array(tongue))
         self.words = strings.dictionary.take(pa.array(pairs % names)).cast(pa.string())
         seen = np.empty(len(pairs), np.int64)
         seen[self.word] = np.arange(len(self.word))
         # A word's hash and its language's: the same words of another language are other phrases.
         own = words.hashes()[seen]
-        tongues = Words([x.encode().replace(b" ", b"_").replace(b"\n", b"_") or b"_" for x in self.langs.to_pylist()])
-        self.hash = _joined_hash(tongues.hashes(), own)
-        ordinal = np.arange(len(words)) - np.searchsorted(words.text, words.text)
+        spelled = (x.encode().replace(b" ", b"_").replace(b"\n", b"_") or b"_" for x in langs.dictionary.to_pylist())
+        self.hash = _joined_hash(Words(list(spelled)).hashes()[tongue], own)
+        ordinal = np.arange(len(words)) - np.searchsorted(words.starts, words.text_starts)[words.text]
         owned = batch.column(2).to_numpy()[words.text]
         self.weight = np.where(ordinal < owned, batch.column(3).to_numpy()[words.text], 0)
         self.length = 1
