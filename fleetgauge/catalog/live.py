@@ -1,5 +1,7 @@
 """Streaming queries, drained over what the given tables hold now."""
 
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from fleetgauge.catalog.adapters import (
@@ -15,13 +17,19 @@ from fleetgauge.catalog.adapters import (
 from fleetgauge.catalog.registry import Tables, query
 from fleetgauge.catalog.telemetry import SUMMARY
 from fleetgauge.catalog.traces import OUTCOMES
+from fleetgauge.sources import growing
+from fleetgauge.sources.scratch import fresh_path
 from fleetgauge.streaming import live
 
 
 class StreamingTables(Tables):
+    """Each table as a stream of several files, one a batch, with rows of all times in each."""
+
     def __getattr__(self, name):
-        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        return live.stream_table(self.spark, self.folder, f"{name}.parquet", schema)
+        table = super().__getattr__(name)
+        path = fresh_path(self.spark, f"files-{name}")
+        table.repartition(3).write.parquet(path)
+        return live.stream_table(self.spark, path, "*.parquet", table.schema, files_per_trigger=1)
 
 
 def _streams(t):
@@ -32,12 +40,38 @@ def _at(seconds):
     return F.timestamp_micros((seconds * 1000000).cast("bigint"))
 
 
-@query("live_samples", "X1", sql=with_(SAMPLES) + "SELECT event_id, run_id, mem_percent FROM samples")
+def _view(stream, keys, fold, **options):
+    """The folded view of all that is there now."""
+    running, table = live.folded(stream, keys, fold, trigger={"availableNow": True}, **options)
+    running.awaitTermination()
+    return table.read()
+
+
+def _log(rows, folder):
+    """Appends rows as the loggers of a fleet do: each to a file of its own that it goes on with."""
+
+    def write(part):
+        files, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        files.create_dir(path, recursive=True)
+        with files.open_append_stream(f"{path}/logger_{TaskContext.get().partitionId()}.jsonl") as f:
+            for row in part:
+                f.write((row.line + "\n").encode())
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("line")).foreachPartition(write)
+
+
+@query(
+    "live_samples", "X1", "K1", "S2", sql=with_(SAMPLES) + "SELECT event_id, run_id, mem_percent FROM samples"
+)
 def live_samples(t):
-    rows = samples(_streams(t)).select("event_id", "run_id", "mem_percent")
-    query_, path = live.run_to_table(rows, "append", trigger={"availableNow": True})
-    query_.awaitTermination()
-    return t.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+    """Samples logged in two sittings to the same files, followed and appended to a table in between."""
+    rows = samples(t).select("event_id", "run_id", "mem_percent")
+    logs, ranges, state, out = (fresh_path(t.spark, x) for x in ("logs", "ranges", "live-state", "live"))
+    for sitting in (0, 1):
+        _log(rows.where(F.pmod("event_id", F.lit(2)) == sitting), logs)
+        lines = growing.follow_jsonl(t.spark, logs, ranges, rows.schema, glob="*.jsonl").select(*rows.columns)
+        live.append_stream(lines, out, state, "parquet", trigger={"availableNow": True}).awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(out)
 
 
 @query(
@@ -48,9 +82,8 @@ def live_samples(t):
 FROM snapshots GROUP BY 1, 2""",
 )
 def live_latest_values(t):
-    rows = snapshots(_streams(t))
-    newest = live.live_latest(rows, ["run_id", "gpu_id"], ["gpu_vram_used_gb", "tag"])
-    return live.drained(newest, "update", ["run_id", "gpu_id"])
+    newest = live.latest_fold(["gpu_vram_used_gb", "tag"])
+    return _view(snapshots(_streams(t)), ["run_id", "gpu_id"], newest)
 
 
 @query(
@@ -63,9 +96,7 @@ def live_latest_values(t):
 def live_run_summary(t):
     rows = samples(_streams(t))
     rows = rows.withColumn("ts", _at(F.col("ts")))
-    state = live.drained(
-        live.live_run_summary(rows, window="1 hour"), "update", ["run_id", "window_start", "window_end"]
-    )
+    state = _view(rows, ["run_id"], live.summary_fold(), window="1 hour")
     return state.withColumns(
         {
             "window_start_s": F.unix_seconds("window_start"),
@@ -80,12 +111,8 @@ def live_run_summary(t):
     sql=with_(TRACE, OUTCOMES) + "SELECT * FROM outcomes",
 )
 def live_task_outcomes(t):
-    def outcomes(tables):
-        rows = trace_events(tables).withColumn("ts", _at(F.col("timestamp")))
-        return live.live_task_outcomes(rows)
-
-    keys = ["run_id", "task_id", "session_start", "session_end"]
-    state = live.drained(outcomes(_streams(t)), "append", keys, outcomes(t))
+    rows = trace_events(_streams(t)).withColumn("ts", _at(F.col("timestamp")))
+    state = _view(rows, ["run_id", "task_id"], live.outcome_fold(), gap=live.SESSION_GAP)
     return state.drop("session_start", "session_end")
 
 
@@ -102,8 +129,7 @@ def live_capacity(t):
         F.floor("value").cast("double").alias("used"),
         F.lit(500.0).alias("total"),
     )
-    gates = live.live_capacity(devices, window="1 hour", threshold=0.1)
-    state = live.drained(gates, "update", ["run_id", "window_start", "window_end"])
+    state = _view(devices, ["run_id"], live.capacity_fold(0.1), window="1 hour")
     return state.select(
         "run_id", F.unix_seconds("window_start").alias("window_start_s"), "available"
     )
@@ -117,4 +143,4 @@ def live_capacity(t):
 )
 def live_progress(t):
     rows = _streams(t).lineitem.select(F.col("l_suppkey").alias("run_id"))
-    return live.drained(live.live_progress(rows), "update", ["run_id"])
+    return _view(rows, ["run_id"], live.progress_fold())
