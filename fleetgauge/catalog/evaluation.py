@@ -13,7 +13,9 @@ from fleetgauge.catalog.adapters import (
 from fleetgauge.catalog.registry import query
 from fleetgauge.functions.numbers import pass_at_k
 from fleetgauge.operators import evaluation as ev
+from fleetgauge.operators import id_sets
 from fleetgauge.plans.evaluation_run import agent_evaluation
+from fleetgauge.sources.scratch import stored
 
 _FIRST = """first AS (
   SELECT agent_id, task_id, coalesce(ok, false) AS ok,
@@ -669,3 +671,74 @@ def progress(t):
         F.lit(100).cast("bigint").alias("num_tasks"),
     )
     return ev.progress(runs, _run_documents(t)[1])
+
+
+@query(
+    "distinct_ids_from_bitmaps",
+    "A12",
+    "U2",
+    sql="""SELECT l_returnflag, l_linestatus, count(DISTINCT l_partkey) AS tasks
+FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""",
+)
+def distinct_ids_from_bitmaps(t):
+    """One stored table of bitmaps answers three groupings."""
+    fine = stored(id_sets.id_bitmaps(t.lineitem, ["l_returnflag", "l_linestatus"], "l_partkey"), "bitmaps")
+    none = F.lit(None).cast("string")
+    by_flag = id_sets.set_sizes(id_sets.merged_bitmaps(fine, ["l_returnflag"]), ["l_returnflag"], "tasks")
+    overall = id_sets.set_sizes(id_sets.merged_bitmaps(fine), name="tasks")
+    columns = ["l_returnflag", "l_linestatus", "tasks"]
+    return (
+        id_sets.set_sizes(fine, ["l_returnflag", "l_linestatus"], "tasks")
+        .unionByName(by_flag.withColumn("l_linestatus", none).select(columns))
+        .unionByName(overall.withColumns({"l_returnflag": none, "l_linestatus": none}).select(columns))
+    )
+
+
+@query(
+    "common_ids_from_bitmaps",
+    "U3",
+    sql="""SELECT l_partkey AS task_id FROM lineitem WHERE l_returnflag = 'R'
+INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'""",
+)
+def common_ids_from_bitmaps(t):
+    """Tasks that failed in one group and were accepted in another."""
+    sides = [id_sets.id_bitmaps(t.lineitem.where(F.col("l_returnflag") == x), [], "l_partkey") for x in ("R", "A")]
+    return id_sets.members(id_sets.common_bitmaps(sides), name="task_id")
+
+
+@query(
+    "latency_rollup",
+    "A2",
+    "A12",
+    sql=with_(ATTEMPTS)
+    + """SELECT agent_id, count(latency_s) AS n, avg(latency_s) AS avg_latency_s, true AS p50_within,
+  true AS p95_within, true AS tasks_within
+FROM attempts GROUP BY agent_id""",
+)
+def latency_rollup(t):
+    """Sketches by agent and device, rolled up to agents; their errors against exact ranks and counts."""
+    rows = attempts(t)
+    rolled = ev.rolled_up(stored(ev.latency_sketches(rows, ["agent_id", "gpu_id"]), "latency-sketches"), ["agent_id"])
+    ranks = rows.join(rolled, "agent_id").groupBy("agent_id").agg(
+        F.max("n").alias("n"),
+        F.max("avg_latency_s").alias("avg_latency_s"),
+        *[F.count_if(F.col("latency_s") < F.col(q)).alias(f"{q}_below") for q in ("p50_s", "p95_s")],
+        *[F.count_if(F.col("latency_s") <= F.col(q)).alias(f"{q}_upto") for q in ("p50_s", "p95_s")],
+        F.count_distinct("task_id").alias("tasks"),
+        F.max("distinct_tasks").alias("sketched"),
+    )
+
+    def within(q, share):
+        # The quantile's own ranks run from the values below it to those up to it.
+        slack = 0.01 * F.col("n") + 1
+        at = share * F.col("n")
+        return (F.col(f"{q}_below") <= at + slack) & (F.col(f"{q}_upto") >= at - slack)
+
+    return ranks.select(
+        "agent_id",
+        "n",
+        "avg_latency_s",
+        within("p50_s", 0.5).alias("p50_within"),
+        within("p95_s", 0.95).alias("p95_within"),
+        (F.abs(F.col("sketched") - F.col("tasks")) <= 0.04 * F.col("tasks") + 1).alias("tasks_within"),
+    )

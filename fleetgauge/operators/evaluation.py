@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.fixed_values import (
@@ -22,6 +22,7 @@ from fleetgauge.plans.ordered import (
     with_ordinal,
     with_running_sum,
 )
+from fleetgauge.plans.selection import SKETCH_SIZE, values_at_ranks
 
 
 def attempt_rank() -> Column:
@@ -161,35 +162,64 @@ def latency_summary(
 ) -> DataFrame:
     """n, mean, median and 95th percentile by nearest rank (rank ``max(floor(.95 n), 1)``).
 
-    Rows first collapse to (key, value, copies), so repeated values cost nothing, and the ranks
-    come from a running count over those. ``exact=False`` trades both order statistics for
-    mergeable sketches with one shuffle less.
+    Ranks are found by ``plans/selection.py``: neither all values nor all distinct ones are shuffled.
+    ``exact=False`` takes both order statistics from one sketch per key, in one pass.
     """
     keys = list(keys)
-    known = df.where(F.col(value).isNotNull())
+    mean = (F.sum(value) / F.count(value)).alias("avg_latency_s")
     if not exact:
-        return known.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg(value).alias("avg_latency_s"),
-            F.approx_percentile(value, 0.5).alias("p50_s"),
-            F.approx_percentile(value, PERCENTILE_95).alias("p95_s"),
-        )
-    copies = known.groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = with_running_sum(
-        copies, keys, ["__v"], F.col("__c"), "__upto", "__n", limits, at_most=known
+        sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_SIZE)).alias("__sketch")
+        sketched = df.groupBy(*keys).agg(F.count(value).alias("n"), mean, sketch).where("n > 0")
+        return sketched.select(*keys, "n", "avg_latency_s", *_sketched_quantiles("__sketch"))
+    n = F.col("n")
+    ranks = {
+        "__low": (0.5, F.floor((n + 1) / 2)),
+        "__high": (0.5, F.floor(n / 2) + 1),
+        "p95_s": (PERCENTILE_95, F.greatest(F.floor(F.lit(PERCENTILE_95) * n), F.lit(1))),
+    }
+    found = values_at_ranks(df, keys, F.col(value), ranks, [mean], limits)
+    p50 = ((F.col("__low") + F.col("__high")) / 2).alias("p50_s")
+    return found.select(*keys, "n", "avg_latency_s", p50, "p95_s")
+
+
+def _sketched_quantiles(sketch: str) -> list[Column]:
+    return [
+        F.kll_sketch_get_quantile_double(sketch, F.lit(share)).alias(name)
+        for name, share in (("p50_s", 0.5), ("p95_s", PERCENTILE_95))
+    ]
+
+
+def latency_sketches(
+    attempts: DataFrame, keys: Sequence[str], value: str = "latency_s", task: str = "task_id"
+) -> DataFrame:
+    """Keys, n, latency_sum, latency_sketch, task_sketch: partial results to keep and to roll up.
+
+    Written once per run they answer for any coarser grouping, and for further runs, without the
+    attempts. NaN is left out of the latency sketch.
+    """
+    real = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    return attempts.groupBy(*keys).agg(
+        F.count(value).alias("n"),
+        F.sum(value).alias("latency_sum"),
+        F.kll_sketch_agg_double(real, F.lit(SKETCH_SIZE)).alias("latency_sketch"),
+        F.hll_sketch_agg(F.col(task), F.lit(14)).alias("task_sketch"),
     )
-    v, upto, n = F.col("__v"), F.col("__upto"), F.col("__n")
-    low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
-    p95 = F.greatest(F.floor(F.lit(PERCENTILE_95) * n), F.lit(1))
 
-    def at(rank: Column) -> Column:
-        return F.min(F.when(upto >= rank, v))
 
-    return ranked.groupBy(*keys).agg(
-        F.max(n).alias("n"),
-        (F.sum(v * F.col("__c")) / F.max(n)).alias("avg_latency_s"),
-        ((at(low) + at(high)) / 2).alias("p50_s"),
-        at(p95).alias("p95_s"),
+def rolled_up(sketches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """n, mean, median, 95th percentile and distinct tasks from ``latency_sketches`` of finer keys.
+
+    Ranks are off by some 0.4 % of n for sketches of 800 and distinct counts by some 0.8 %; n and the
+    mean are exact.
+    """
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        (F.sum("latency_sum") / F.sum("n")).alias("avg_latency_s"),
+        F.kll_merge_agg_double("latency_sketch").alias("__sketch"),
+        F.hll_sketch_estimate(F.hll_union_agg("task_sketch")).alias("distinct_tasks"),
+    )
+    return merged.where("n > 0").select(
+        *keys, "n", "avg_latency_s", *_sketched_quantiles("__sketch"), "distinct_tasks"
     )
 
 
@@ -421,12 +451,15 @@ def peak_concurrency(
     start: str = "start_s",
     end: str = "end_s",
     limits: SliceLimits = DEFAULT_LIMITS,
+    bucket_s: float = 60.0,
 ) -> DataFrame:
     """Largest number of intervals open at once, and how many were started.
 
     Starts and ends collapse to one net change per instant, so ends count before starts of the
-    same instant and repeated instants cost one row. An interval without an end stays open; one
-    without a start never began and is left out.
+    same instant and repeated instants cost one row. Instants are ordered within time buckets of
+    ``bucket_s`` seconds only; each bucket gives its net change and its highest point, and only these
+    pairs are brought into order over the whole key. An interval without an end stays open; one without
+    a start never began and is left out. Instants are seconds or timestamps.
     """
     intervals = intervals.where(F.col(start).isNotNull())
     steps = intervals.select(
@@ -441,12 +474,15 @@ def peak_concurrency(
     net = steps.where(F.col("t").isNotNull()).groupBy(*keys, "t").agg(
         F.sum("d").alias("d"), F.count_if(F.col("d") > 0).alias("s")
     )
-    ends = intervals.select(*keys).unionAll(intervals.select(*keys))
-    running = with_running_sum(
-        net, keys, ["t"], F.col("d"), "active", limits=limits, at_most=ends
+    at = F.unix_micros("t") / 1e6 if dict(net.dtypes)["t"] == "timestamp" else F.col("t")
+    within = Window.partitionBy(*keys, "__bucket").orderBy("t")
+    risen = net.withColumn("__bucket", F.floor(at / bucket_s)).withColumn("__up", F.sum("d").over(within))
+    buckets = risen.groupBy(*keys, "__bucket").agg(
+        F.sum("d").alias("d"), F.max("__up").alias("__top"), F.sum("s").alias("s")
     )
+    running = with_running_sum(buckets, keys, ["__bucket"], F.col("d"), "__upto", limits=limits)
     return running.groupBy(*keys).agg(
-        F.max("active").alias("max_concurrent"), F.sum("s").alias("started")
+        F.max(F.col("__upto") - F.col("d") + F.col("__top")).alias("max_concurrent"), F.sum("s").alias("started")
     )
 
 

@@ -10,8 +10,8 @@ size is cut into consecutive slices of its own order and one plan serves tables
 * what a slice inherits from the slices before it is one total per (key, slice), carried over by a
   window on those totals and joined back; only keys that were cut have any.
 
-The dealt rows are written to the shared folder once, which fixes the slices: bounds are sampled, and
-a second sampling may differ. ``order`` must identify a row within its key; rows that tie on all of it
+The input is written to the shared folder, so that it is evaluated once, and so are the dealt rows, which
+fixes the slices: bounds are sampled, and a second sampling may differ. ``order`` must identify a row within its key; rows that tie on all of it
 are not splittable.
 """
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.sources.scratch import fresh_path
+from fleetgauge.sources.scratch import stored
 
 _SLICE = "__slice"
 
@@ -54,14 +54,9 @@ def with_running_sum(
     name: str,
     total: str | None = None,
     limits: SliceLimits = DEFAULT_LIMITS,
-    at_most: DataFrame | None = None,
 ) -> DataFrame:
-    """Sum of ``value`` over the key's rows up to and including this one, in ``order``.
-
-    ``at_most`` is a frame that is cheaper to count and has no fewer rows than ``df`` (what ``df`` was
-    aggregated from).
-    """
-    sliced, keys = _slice(df, keys, order, limits, at_most)
+    """Sum of ``value`` over the key's rows up to and including this one, in ``order``."""
+    sliced, keys = _slice(df, keys, order, limits)
     part = [*keys, _SLICE]
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -122,19 +117,16 @@ def _attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def _slice(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    limits: SliceLimits,
-    at_most: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], limits: SliceLimits
 ) -> tuple[DataFrame, list[str]]:
-    """The rows with their slice, and the keys, of which there is one at least."""
+    """The rows with their slice, and the keys, of which there is one at least.
+
+    ``df`` is evaluated once; its rows are counted and their ranges sampled where they are stored.
+    """
     spark = df.sparkSession
     if not keys:
         df, keys = df.withColumn("__all_rows", F.lit(0)), ["__all_rows"]
-    rows = (df if at_most is None else at_most).count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // limits.rows_per_task))
-    dealt = df.repartitionByRange(ranges, *keys, *order).withColumn(_SLICE, F.spark_partition_id())
-    path = fresh_path(spark, "slices")
-    dealt.write.parquet(path)
-    return spark.read.schema(dealt.schema).parquet(path), list(keys)
+    given = stored(df, "rows")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-given.count() // limits.rows_per_task))
+    dealt = given.repartitionByRange(ranges, *keys, *order).withColumn(_SLICE, F.spark_partition_id())
+    return stored(dealt, "slices"), list(keys)
