@@ -310,15 +310,16 @@ def warc_round_trip(
     index = stored(normalise_archives(archives.repartition(files, "archive"), by_record, level), "warc-index")
     by_range = index.repartition(files, "archive").sortWithinPartitions("archive", "offset")
     records = stored(read_records(by_range), "warc-records")
+    # Several rows may share the page_id that a revisit names, so its payload tells which is meant.
+    named = F.struct("page_id", "payload_digest").alias("_of")
     sizes = (
-        records.filter("record_type = 'response'")
-        .select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"))
-        .filter("refers_to is not null")
-        .dropDuplicates(["refers_to"])
+        records.filter("record_type = 'response' and page_id is not null")
+        .select(named, F.col("payload_bytes").alias("_bytes"))
+        .dropDuplicates(["_of"])
     )
-    wanted = records.filter("refers_to is not null").select("refers_to").distinct()
-    sizes = sizes.join(wanted, "refers_to", "left_semi")
-    revisits = attach(records.filter("record_type = 'revisit'"), sizes, "refers_to", "page_id")
+    revisits = records.filter("record_type = 'revisit'").withColumn("_of", F.struct(F.col("refers_to").alias("page_id"), "payload_digest"))
+    sizes = sizes.join(revisits.select("_of").distinct(), "_of", "left_semi")
+    revisits = attach(revisits, sizes, "_of", "page_id")
     answers = records.filter("record_type = 'response'")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return answers.select(columns).unionByName(

@@ -41,6 +41,10 @@ def test_archives_round_trip(spark):
         (6, "u", "x" * 999),
         (7, "u", "x" * 999),
         (8, "u", "WARC/1.1\r\n\r\n" * 400_000),
+        (9, "u", "A" * 1500),
+        (10, "u", "A" * 1500),
+        (10, "u", "short"),
+        (10, "u", "B" * 1700),
     ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha1", F.lit("clash"))
     by = collections.defaultdict(list)
@@ -220,3 +224,15 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert packed.select("doc_id").distinct().count() == counts[3]
     assert public_tokenizers.path("byte_bpe_50k.json") == queries.TOKENIZER
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    names = ["_key", "_spans", "_kept", "_row", "_text", "_salt", "a.b"]
+    odd = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, odd, FOLDER)
+        assert out.columns == odd.columns, name
+        wrong = [F.col(f"`{c}`") != F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names]
+        kept = out.select("doc_id", F.greatest(*[F.coalesce(w, F.lit(False)) for w in wrong]).alias("w")).collect()
+        assert len(kept) > 100 and not any(r.w for r in kept), name
+        assert stage(spark, odd.limit(0), FOLDER).count() == 0
