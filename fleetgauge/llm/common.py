@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.sources.scratch import fresh_path
@@ -23,6 +23,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``_key`` (a digest of id and text), ``_text``, and ``_row`` with the other columns, whatever their names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.col("text").alias("_text"), F.struct(*others).alias("_row"))
+
+
+def given_columns(docs: DataFrame, text: Column) -> list[Column]:
+    """The columns of ``docs`` again from ``keyed_rows``, with another text."""
+    return [text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows of a frame, written to the cluster's shared folder and read back.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import id_and_text, member_filter, stored
+from fleetgauge.llm.common import given_columns, id_and_text, keyed_rows, member_filter, stored
 from fleetgauge.llm.graph import components
 
 #: A list with more members is long for the corpus.
@@ -541,7 +541,8 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     Rows are known by a digest of id and text, and the row of the smallest digest stays. Rows that
     repeat id and text are copies as well; texts without words have no copies but such rows.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = ngram_components(keyed.select("_key", "text"), width, percent, "_key")
+    keyed = keyed_rows(docs)
+    groups = ngram_components(keyed.select("_key", F.col("_text").alias("text")), width, percent, "_key")
     stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
-    return keyed.join(stored(stays, "stays"), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    kept = keyed.join(stored(stays, "stays"), "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.select(given_columns(docs, F.col("_text")))

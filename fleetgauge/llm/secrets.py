@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.llm.common import given_columns, keyed_rows
+
 #: Words beside a candidate that speak for a secret, or for another meaning of a random string.
 TELLS_SECRET = (
     r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|private.?key|auth|credential|bearer)"
@@ -208,9 +210,8 @@ def redacted(docs: DataFrame, threshold: float = 0.5, mask: str = MASK) -> DataF
     words = frequent_words(docs)
     found = with_features(candidates(docs), words)
     forest = fitted_forest(labelled_by_form(found))
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.withColumn("_key", key)
-    as_docs = keyed.select(F.col("_key").alias("doc_id"), "text")
+    keyed = keyed_rows(docs)
+    as_docs = keyed.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text"))
     scored = judged(with_features(candidates(as_docs), words), forest).filter(F.col("probability") >= threshold)
     # A text holds few secrets for its length: their places gather beside the text they come from.
     spans = scored.groupBy("doc_id").agg(
@@ -219,10 +220,10 @@ def redacted(docs: DataFrame, threshold: float = 0.5, mask: str = MASK) -> DataF
     joined = keyed.join(spans.withColumnRenamed("doc_id", "_key"), "_key", "left")
     pieces = F.expr(
         "concat_ws('', transform(_spans, (s, i) -> concat("
-        "substring(text, cast(if(i = 0, 1, _spans[i - 1].place + _spans[i - 1].length + 1) as int), "
+        "substring(_text, cast(if(i = 0, 1, _spans[i - 1].place + _spans[i - 1].length + 1) as int), "
         "cast(if(i = 0, s.place, s.place - _spans[i - 1].place - _spans[i - 1].length) as int)), "
         f"'{mask}')))"
     )
-    tail = F.expr("substring(text, cast(element_at(_spans, -1).place + element_at(_spans, -1).length + 1 as int))")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(pieces, tail))
-    return joined.withColumn("text", clean).select(docs.columns)
+    tail = F.expr("substring(_text, cast(element_at(_spans, -1).place + element_at(_spans, -1).length + 1 as int))")
+    clean = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.concat(pieces, tail))
+    return joined.select(given_columns(docs, clean))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import id_and_text, member_filter, stored
+from fleetgauge.llm.common import given_columns, id_and_text, keyed_rows, member_filter, stored
 
 PIECE = 64
 #: Window starts that are looked at together; positions inside take 20 bits.
@@ -389,12 +389,12 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     Characters that a cut halves go whole. Rows stay, also where nothing is left of their text.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    rows = id_and_text(keyed, "_key")
+    keyed = keyed_rows(docs)
+    rows = id_and_text(keyed, "_key", "_text")
 
     def texts(ids, raws, spans):
         kept = [_kept(x, s).decode("utf-8", "ignore") for x, s in zip(raws, spans)]
         return _arrow(_key=(ids, pa.int64()), _kept=(kept, pa.string()))
 
     kept = _applied(rows, repeated_spans(rows, length), texts, "_key long, _kept string").dropDuplicates(["_key"])
-    return keyed.drop("text").join(kept, "_key").withColumnRenamed("_kept", "text").select(docs.columns)
+    return keyed.drop("_text").join(kept, "_key").select(given_columns(docs, F.col("_kept")))
