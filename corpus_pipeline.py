@@ -20,7 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars after a stage that changes texts."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
