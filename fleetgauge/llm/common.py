@@ -64,7 +64,8 @@ FILTER_WORDS, PAGE = 1 << 20, 1 << 12
 def member_filter(keys: DataFrame) -> Callable[[int], bool]:
     """A test whether a 64-bit key may be in the only column of ``keys``, for use inside tasks.
 
-    The table comes to the driver in at most FILTER_WORDS / PAGE pages, 8 MB together, and goes out.
+    The table comes to the driver in at most FILTER_WORDS / PAGE pages, 8 MB together, is folded until
+    one bit in 128 or more is set, and goes out.
     """
     name = keys.columns[0]
     place = F.pmod(F.col(name), F.lit(FILTER_WORDS * 64))
@@ -94,11 +95,15 @@ def member_filter(keys: DataFrame) -> Callable[[int], bool]:
     table = np.zeros(FILTER_WORDS, np.int64)
     for page, bits in dealt.mapInArrow(paged, "page long, bits binary").collect():
         table[page * PAGE : (page + 1) * PAGE] = np.frombuffer(bits, np.int64)
-    table = table.view(np.uint64)
+    # A key's place is a remainder, so halves of a sparse table can lie upon each other.
+    set_ = int(np.bitwise_count(table).sum())
+    while len(table) > 64 and set_ * 128 <= len(table) * 64:
+        table = table[: len(table) // 2] | table[len(table) // 2 :]
+    bits, table = len(table) * 64, table.view(np.uint64)
     shared = keys.sparkSession.sparkContext.broadcast(table)
 
     def may_hold(key: int) -> bool:
-        word, bit = divmod(key % (FILTER_WORDS * 64), 64)
+        word, bit = divmod(key % bits, 64)
         return bool((int(shared.value[word]) >> bit) & 1)
 
     return may_hold
