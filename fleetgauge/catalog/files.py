@@ -106,6 +106,29 @@ def scan_completions(t):
     )
 
 
+@query(
+    "rerun_of_one_agent",
+    "S3",
+    "K7",
+    "S14",
+    sql=with_(ATTEMPTS)
+    + """SELECT agent_id, count(*) AS completions,
+  count(*) FILTER (agent_id = 7 OR completion LIKE '%again') AS again
+FROM attempts WHERE agent_id <> 9 GROUP BY 1""",
+)
+def rerun_of_one_agent(t):
+    """Agent 7 runs again, which replaces its folder; agent 9 is left out by its folder."""
+    path = fresh_path(t.spark, "completions")
+    rows = attempts(t).select("agent_id", F.col("task_id").cast("string").alias("task_id"), "completion")
+    sinks.write_by_key(rows, path, ["agent_id"])
+    again = rows.where("agent_id = 7").withColumn("completion", F.concat("completion", F.lit(" again")))
+    sinks.replace_by_key(again, path, ["agent_id"])
+    kept = json_files.read_completions_by_agent(t.spark, path).where("agent_id <> 9")
+    return kept.groupBy("agent_id").agg(
+        F.count(F.lit(1)).alias("completions"), F.count_if(F.col("completion").endswith("again")).alias("again")
+    )
+
+
 @query(
     "scan_problems_gzip",
     "S4",
@@ -304,12 +327,11 @@ def scan_dmon(t):
 FROM lineitem WHERE l_linenumber IN (1, 2, 5) OR (l_linenumber = 3 AND l_returnflag <> 'A') GROUP BY 1, 2""",
 )
 def discovered_runs(t):
-    root = fresh_path(t.spark, "sweep")
-    for flag, count in (("A", 500), ("N", 1000), ("R", 1500)):
-        one = type(t)(t.spark, t.folder)
-        one.lineitem = t.lineitem.where(F.col("l_returnflag") == flag)
-        perf_lines(one).select("line").write.text(f"{root}/{flag}/agents_{count}/perf_stat.txt")
-    found = text_files.with_run(text_files.read_lines(t.spark, root))
+    root, flag = fresh_path(t.spark, "sweep"), F.col("l_returnflag")
+    agents = F.when(flag == "A", 500).when(flag == "N", 1000).otherwise(1500)
+    lines = perf_lines(t, flag.alias("benchmark"), agents.alias("num_agents"))
+    sinks.write_text(lines, root, "line", ["benchmark", "num_agents"])
+    found = text_files.read_run_lines(t.spark, root)
     counters = pf.perf_counters(found, ["benchmark", "num_agents"])
     return counters.groupBy("benchmark", "num_agents").agg(F.count(F.lit(1)).alias("events"))
 

@@ -17,13 +17,13 @@ from fleetgauge.operators import telemetry as tm
 _ORD = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
 
 
-def _lines(t, text):
+def _lines(t, text, *more):
     return t.lineitem.select(
-        F.col("l_suppkey").alias("run_id"), F.struct(*_ORD).alias("ord"), text.alias("line")
+        F.col("l_suppkey").alias("run_id"), F.struct(*_ORD).alias("ord"), text.alias("line"), *more
     )
 
 
-def perf_lines(t):
+def perf_lines(t, *more):
     n = F.col("l_linenumber")
     event = F.concat(F.lit("event-"), (F.col("l_partkey") % 10).cast("string"))
     text = (
@@ -39,7 +39,7 @@ def perf_lines(t):
             )
         )
     )
-    return _lines(t, text)
+    return _lines(t, text, *more)
 
 
 _PERF = """perf AS (SELECT run_id, event, value, annotation FROM (

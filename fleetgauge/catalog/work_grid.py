@@ -14,6 +14,7 @@ from fleetgauge.fixed_values import (
 )
 from fleetgauge.functions.text import preview
 from fleetgauge.operators import grid
+from fleetgauge.plans.ordered import SliceLimits
 
 
 def _text(value: str) -> str:
@@ -117,6 +118,17 @@ def first_tasks(t):
     return grid.first_tasks(problems(t).select("task_id", "prompt"), 100, "task_id")
 
 
+@query(
+    "first_half_of_tasks",
+    "L1",
+    sql="SELECT p_partkey AS task_id, p_name AS prompt FROM part ORDER BY p_partkey LIMIT (SELECT count(*) // 2 FROM part)",
+)
+def first_half_of_tasks(t):
+    """Too many for one task, as the limit is set here."""
+    tasks = problems(t).select("task_id", "prompt")
+    return grid.first_tasks(tasks, t.part.count() // 2, "task_id", SliceLimits(rows_per_task=50))
+
+
 @query("all_tasks", "L1", sql="SELECT p_partkey AS task_id, p_name AS prompt FROM part")
 def all_tasks(t):
     return grid.first_tasks(problems(t).select("task_id", "prompt"), 0, "task_id")

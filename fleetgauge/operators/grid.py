@@ -14,9 +14,21 @@ from fleetgauge.fixed_values import (
 from fleetgauge.plans.ordered import DEFAULT_LIMITS, SliceLimits, with_ordinal
 
 
-def first_tasks(problems: DataFrame, count: int, order: str = "ordinal") -> DataFrame:
-    """The first ``count`` problems in file order; 0 means all."""
-    return problems.orderBy(order).limit(count) if count else problems
+def first_tasks(
+    problems: DataFrame, count: int, order: str = "ordinal", limits: SliceLimits = DEFAULT_LIMITS
+) -> DataFrame:
+    """The first ``count`` problems in file order; 0 means all.
+
+    Up to ``limits.rows_per_task`` they are collected from all tasks into one. More are cut off where
+    they lie: problems are dealt by ranges of the order, ranges are counted, and each keeps its share.
+    ``order`` must identify a row there.
+    """
+    if not count:
+        return problems
+    if count <= limits.rows_per_task:
+        return problems.orderBy(order).limit(count)
+    numbered = with_ordinal(problems, [], [order], "__place", limits=limits)
+    return numbered.where(F.col("__place") <= count).drop("__place")
 
 
 def prompts(problems: DataFrame) -> DataFrame:

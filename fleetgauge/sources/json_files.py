@@ -67,6 +67,12 @@ def read_completions(spark: SparkSession, paths) -> DataFrame:
     return rows.select("*", agent.try_cast("bigint").alias("agent_id"))
 
 
+def read_completions_by_agent(spark: SparkSession, root: str) -> DataFrame:
+    """Completion rows below ``root/agent_id=<id>``; a filter on agent_id opens those folders only."""
+    schema = T.StructType([*schemas.COMPLETION.fields, T.StructField("agent_id", T.LongType())])
+    return spark.read.schema(schema).option("basePath", root).json(root)
+
+
 def read_problems(spark: SparkSession, paths) -> DataFrame:
     """Problem set (plain or gzip JSONL) with ``ordinal``, the file order."""
     rows = spark.read.schema(schemas.PROBLEM).json(paths)

@@ -40,6 +40,15 @@ def write_by_key(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).json(path)
 
 
+def replace_by_key(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """As ``write_by_key``, but only the folders of keys that ``df`` has are replaced.
+
+    A rerun of one cell of a sweep leaves the other cells as they are.
+    """
+    writer = df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*by).json(path)
+
+
 def summary_documents(
     agents: DataFrame,
     runs: DataFrame,

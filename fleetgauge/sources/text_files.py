@@ -1,27 +1,46 @@
 """Profiler text as ordered lines, and run discovery from folder names."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, paths, name_glob: str | None = None) -> DataFrame:
     """(source_file, ord, line). Files of any size split freely.
 
-    ``ord`` sorts a file's lines: splits by where they start, lines inside one by row id.
+    ``ord`` sorts lines: files by name, splits by where they start, lines inside one by row id.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
     return reader.text(paths).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("ord"),
-        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("source_file"), _line_order(), F.col("value").alias("line")
     )
 
 
+def _line_order() -> Column:
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    ).alias("ord")
+
+
+def read_run_lines(
+    spark: SparkSession, root: str, layout: str = "benchmark string, num_agents int", only: Column | None = None
+) -> DataFrame:
+    """Lines of runs kept in folders named after their columns (``benchmark=x/num_agents=500``).
+
+    The columns of ``layout`` come from the folders. ``only``, a condition on them, opens those folders
+    only; a filter afterwards would read all, as it can't pass the numbering of rows.
+    ``with_run`` reads other layouts, from whole paths.
+    """
+    columns = [part.split()[0] for part in layout.split(", ")]
+    rows = spark.read.schema(f"value string, {layout}").option("basePath", root).text(root)
+    if only is not None:
+        rows = rows.where(only)
+    return rows.select(*columns, _line_order(), F.col("value").alias("line"))
+
+
 def with_run(df: DataFrame, path: str = "source_file") -> DataFrame:
     """Run columns from ``<root>/<benchmark>/agents_<N>/<file>`` paths.
 

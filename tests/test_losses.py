@@ -108,9 +108,13 @@ def test_late_rows_are_not_lost_silently(spark, tmp_path):
         return grouped.agg(F.count(F.lit(1)).alias("n")).select("run_id", F.col("w.start").alias("start"), "n")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    batch = view(spark.read.schema(schema).parquet(str(tmp_path / "in")))
-    got = live.drained(view(stream), "append", ["run_id", "start"], batch)
-    assert got.count() == 2
+    with pytest.raises(RuntimeError, match="too late"):
+        live.drained(view(stream), "append", ["run_id", "start"])
+    query, table = live.folded(
+        stream, ["run_id"], live.progress_fold(), window="10 seconds", trigger={"availableNow": True}
+    )
+    query.awaitTermination()
+    assert sorted((r.window_start.timestamp() % 10, r.tasks_done) for r in table.read().collect()) == [(0, 1), (0, 1)]
 
 
 def test_queries_are_listed_without_a_session():
