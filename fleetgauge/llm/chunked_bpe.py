@@ -156,9 +156,9 @@ def chunk_reuse_encoding(
 
     def pool_texts(batches):
         seen: set[bytes] = set()
-        for _, texts in _texts(batches):
+        for batch in batches:
             found = {}
-            for text in texts:
+            for text in batch.column(0).to_pylist():
                 for part, digest, hit in zip(*digested(text)):
                     if hit and digest not in seen:
                         seen.add(digest)
@@ -185,59 +185,53 @@ def chunk_reuse_encoding(
                 }
             )
 
-    pool = stored(
-        rows.mapInArrow(pool_texts, "digest binary, chunk binary")
-        .repartition("digest")
-        .sortWithinPartitions("digest")
-        .mapInArrow(encode_pool, "digest binary, before string, ids binary, after string"),
-        "encoded-chunks",
-    )
-
     def key_of(text: str) -> bytes:
         return xxhash.xxh3_128_digest(text.encode())
 
-    def reference_rows(batches):
-        seen: set[bytes] = set()
-        for _, texts in _texts(batches):
-            keys, digests = [], []
-            for text in texts:
-                _, found, hits = digested(text)
-                if any(hits) and (key := key_of(text)) not in seen:
-                    seen.add(key)
-                    wanted = {d for d, hit in zip(found, hits) if hit}
-                    keys += [key] * len(wanted)
-                    digests += wanted
-            if len(seen) > 500_000:
-                seen = set()
-            yield _batch({"key": (keys, pa.binary()), "digest": (digests, pa.binary())})
-
     def moved_texts(batches):
-        """Each text once for all rows of some megabytes that have it, with their ids."""
-        found: dict[bytes, tuple[str, list]] = {}
+        """Each text with shared chunks once for all rows of some megabytes that have it, with their ids."""
+        found: dict[bytes, tuple[str, list, set]] = {}
         size = 0
 
         def flush():
             return _batch(
                 {
                     "key": (list(found), pa.binary()),
-                    "text": ([text for text, _ in found.values()], pa.string()),
-                    "doc_ids": ([ids for _, ids in found.values()], pa.list_(pa.int64())),
+                    "text": ([text for text, _, _ in found.values()], pa.string()),
+                    "doc_ids": ([ids for _, ids, _ in found.values()], pa.list_(pa.int64())),
+                    "shared": ([list(shared) for _, _, shared in found.values()], pa.list_(pa.binary())),
                 }
             )
 
         for ids, texts in _texts(batches):
             for doc, text in zip(ids, texts):
-                if any(digested(text)[2]):
-                    key = key_of(text)
-                    if key not in found:
-                        found[key] = (text, [])
-                        size += len(text)
-                    found[key][1].append(doc)
+                if (key := key_of(text)) not in found:
+                    _, digests, hits = digested(text)
+                    shared = {d for d, hit in zip(digests, hits) if hit}
+                    if not shared:
+                        continue
+                    found[key] = (text, [], shared)
+                    size += len(text) + 16 * len(shared)
+                found[key][1].append(doc)
+                size += 8
             if size > 16_000_000:
                 yield flush()
                 found, size = {}, 0
         yield flush()
 
+    moved = stored(
+        rows.mapInArrow(moved_texts, "key binary, text string, doc_ids array<long>, shared array<binary>"),
+        "texts-with-shared-chunks",
+    )
+
+    pool = stored(
+        moved.select("text").mapInArrow(pool_texts, "digest binary, chunk binary")
+        .repartition("digest")
+        .sortWithinPartitions("digest")
+        .mapInArrow(encode_pool, "digest binary, before string, ids binary, after string"),
+        "encoded-chunks",
+    )
+
     def assemble(batches):
         encoder = subwords(tokenizer)
         summary = Summary(encoder)
@@ -289,15 +283,14 @@ def chunk_reuse_encoding(
             results = [summary(x) for x in join_cores(encoder, split)]
             yield _results([doc for doc, _ in alone], results)
 
-    references = rows.mapInArrow(reference_rows, "key binary, digest binary").distinct()
+    references = moved.select("key", F.explode("shared").alias("digest")).distinct()
     per_text = (
         references.join(pool, "digest")
         .groupBy("key")
         .agg(F.collect_list(F.struct("digest", "before", "ids", "after")).alias("cores"))
     )
     assembled = (
-        rows.mapInArrow(moved_texts, "key binary, text string, doc_ids array<long>")
-        .join(per_text, "key")
+        moved.join(per_text, "key")
         .select("key", "text", "cores", "doc_ids")
         .mapInArrow(assemble, f"doc_id long, {RESULT}")
     )
