@@ -15,15 +15,13 @@ Anchors about which very many different blocks stand are dealt further, by the s
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import given_columns, id_and_text, keyed_rows, member_filter, stored
+from fleetgauge.llm.common import KeyFilter, given_columns, id_and_text, keyed_rows, stored
 
 PIECE = 64
 #: Window starts that are looked at together; positions inside take 20 bits.
@@ -32,6 +30,8 @@ STRETCH = 1 << 19
 CROWD = 2000
 #: Bytes of blocks that one suffix array takes.
 ARRAY_BYTES = 1_000_000
+#: So many blocks a task remembers, in order not to send them twice.
+REMEMBERED = 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,10 +58,11 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
-def blocks_of(raw: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor hash, first start, last start, place of the anchor) for runs of strings of one anchor."""
+def blocks_of(raw: bytes, length: int) -> np.ndarray:
+    """Columns anchor hash, first start, last start, place of the anchor, for runs of strings of one anchor."""
     data = np.frombuffer(raw, np.uint8)
     low = np.uint64((1 << 20) - 1)
+    found = [np.zeros((4, 0), np.int64)]
     for base in range(0, len(data) - length + 1, STRETCH):
         part = data[base : base + STRETCH + length - 1]
         hashes = piece_hashes(part)
@@ -70,12 +71,8 @@ def blocks_of(raw: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
         starts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
         stops = np.r_[starts[1:], len(anchors)] - 1
         at = anchors[starts]
-        yield from zip(
-            hashes[at].view(np.int64).tolist(),
-            (starts + base).tolist(),
-            (stops + base).tolist(),
-            (at + base).tolist(),
-        )
+        found.append(np.stack([hashes[at].view(np.int64), starts + base, stops + base, at + base]))
+    return np.concatenate(found, axis=1)
 
 
 def suffix_order(text: np.ndarray, reach: int) -> np.ndarray:
@@ -193,23 +190,31 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
 
     def anchor_rows(batches):
         for part in _texts(batches):
-            found = [anchor for _, raw in part for anchor, *_ in blocks_of(raw, length)]
+            found = np.concatenate([blocks_of(raw, length)[0] for _, raw in part])
             yield _arrow(anchor=(found, pa.int64()))
 
     anchors = rows.mapInArrow(anchor_rows, "anchor long").groupBy("anchor").count().filter("count > 1")
-    repeated = member_filter(anchors.select("anchor"))
+    repeated = KeyFilter.of(stored(anchors.select("anchor"), "anchors"))
+
+    def met_again(raw: bytes):
+        """Blocks of anchors that are met twice, as ``blocks_of``, with the digests of their contents."""
+        found = blocks_of(raw, length)
+        found = found[:, repeated.may_hold(found[0].view(np.uint64))]
+        digests = [_content(raw, first, last, at, length) for first, last, at in found[1:].T.tolist()]
+        return found, np.array(digests, np.int64)
 
     def block_rows(batches):
         for part in _texts(batches):
-            out = []
-            for doc, raw in part:
-                key = _row_key(doc, raw)
-                for anchor, first, last, at in blocks_of(raw, length):
-                    if repeated(anchor):
-                        out.append((anchor, _content(raw, first, last, at, length), key, first, last))
-            names = ["anchor", "content", "key", "first", "last"]
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield _arrow(**{k: (list(c), pa.int64()) for k, c in zip(names, columns)})
+            each = [met_again(raw) for _, raw in part]
+            keys = np.array([_row_key(doc, raw) for doc, raw in part], np.int64)
+            found = np.concatenate([x for x, _ in each], axis=1)
+            yield _arrow(
+                anchor=(found[0], pa.int64()),
+                content=(np.concatenate([x for _, x in each]), pa.int64()),
+                key=(np.repeat(keys, [len(x) for _, x in each]), pa.int64()),
+                first=(found[1], pa.int64()),
+                last=(found[2], pa.int64()),
+            )
 
     schema = "anchor long, content long, key long, first long, last long"
     blocks = stored(rows.mapInArrow(block_rows, schema), "blocks")
@@ -224,22 +229,22 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
         contents.join(by_anchor, "anchor").select("anchor", "content", "n", "key", "first", "different"), "unclear"
     )
     twice = contents.filter("n > 1").select("content")
-    wanted = member_filter(unclear.select("content"))
+    wanted = KeyFilter.of(unclear.select("content"))
 
     def text_rows(batches):
-        """The blocks that suffix arrays need, those met twice once for each task at most."""
+        """The blocks that suffix arrays need; a task sends those met twice once, or a few times at most."""
         seen: set[int] = set()
         for part in _texts(batches):
             out = []
             for doc, raw in part:
-                key = _row_key(doc, raw)
-                for anchor, first, last, at in blocks_of(raw, length):
-                    if repeated(anchor):
-                        content = _content(raw, first, last, at, length)
-                        if wanted(content) and content not in seen:
-                            seen.add(content)
-                            out.append((anchor, content, key, first, raw[first : last + length]))
-            if len(seen) > 1_000_000:
+                found, contents = met_again(raw)
+                asked = wanted.may_hold(contents.view(np.uint64))
+                key = _row_key(doc, raw) if asked.any() else 0
+                for (anchor, first, last, _), content in zip(found[:, asked].T.tolist(), contents[asked].tolist()):
+                    if content not in seen:
+                        seen.add(content)
+                        out.append((anchor, content, key, first, raw[first : last + length]))
+            if len(seen) > REMEMBERED:
                 seen = set()
             names = ["anchor", "content", "key", "first"]
             columns = list(zip(*out)) if out else [[]] * 5
@@ -248,7 +253,9 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
             )
 
     texts = rows.mapInArrow(text_rows, "anchor long, content long, key long, first long, block binary")
-    joined = texts.join(unclear.select("anchor", "content", "n", "different"), ["anchor", "content"])
+    joined = stored(texts.join(unclear.select("anchor", "content", "n", "different"), ["anchor", "content"]), "unclear-texts")
+    repeated.free()
+    wanted.free()
     few = joined.filter(F.col("different") <= CROWD).select("anchor", "content", "n", "key", "first", "block")
 
     def compare(batches):
@@ -314,7 +321,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     sure = sure.select("key", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
     spans = sure.unionByName(some).unionByName(many)
     return stored(
-        spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "repeated-spans"
+        spans.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "repeated-spans"
     )
 
 
@@ -329,24 +336,8 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def _applied(rows: DataFrame, spans: DataFrame, make, schema: str) -> DataFrame:
-    """``make(ids, texts, spans)`` over all rows; only documents with something to remove are moved."""
-    has_some = member_filter(spans.select("key"))
-
-    def clean(batches):
-        for part in _texts(batches):
-            chosen = [(d, raw) for d, raw in part if not has_some(_row_key(d, raw))]
-            yield make([d for d, _ in chosen], [raw for _, raw in chosen], [[] for _ in chosen])
-
-    def moved(batches):
-        for part in _texts(batches):
-            chosen = [(_row_key(d, raw), d, raw) for d, raw in part]
-            chosen = [x for x in chosen if has_some(x[0])]
-            yield _arrow(
-                key=([k for k, _, _ in chosen], pa.int64()),
-                doc_id=([d for _, d, _ in chosen], pa.int64()),
-                raw=([raw for _, _, raw in chosen], pa.binary()),
-            )
+def _cut(moved: DataFrame, spans: DataFrame, make, schema: str) -> DataFrame:
+    """``make(ids, texts, spans)`` over documents (key, doc_id, raw) that may have something to remove."""
 
     def cut(batches):
         for batch in batches:
@@ -355,10 +346,20 @@ def _applied(rows: DataFrame, spans: DataFrame, make, schema: str) -> DataFrame:
                 found = [merged([(x["begin"], x["end"]) for x in s or []]) for s in spans]
                 yield make(ids, raws, found)
 
-    some = rows.mapInArrow(moved, "key long, doc_id long, raw binary").join(spans, "key", "left")
-    return rows.mapInArrow(clean, schema).unionByName(
-        some.select("doc_id", "raw", "spans").mapInArrow(cut, schema)
-    )
+    return moved.join(spans, "key", "left").select("doc_id", "raw", "spans").mapInArrow(cut, schema)
+
+
+def _split(part, has_some: KeyFilter):
+    """The documents without anything to remove, and a batch (key, doc_id, raw) of those that may have."""
+    keys = np.array([_row_key(d, raw) for d, raw in part], np.int64)
+    moves = has_some.may_hold(keys.view(np.uint64))
+    chosen = [x for x, m in zip(part, moves) if m]
+    moved = {
+        "key": (keys[moves], pa.int64()),
+        "doc_id": ([d for d, _ in chosen], pa.int64()),
+        "raw": ([raw for _, raw in chosen], pa.binary()),
+    }
+    return [x for x, m in zip(part, moves) if not m], moved
 
 
 def suffix_array_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,7 +382,24 @@ def suffix_array_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id
             kept_sha256=([hashlib.sha256(_kept(x, s)).hexdigest() for x, s in zip(raws, spans)], pa.string()),
         )
 
-    return _applied(rows, repeated_spans(rows, length), digests, _DIGESTS)
+    spans = repeated_spans(rows, length)
+    has_some = KeyFilter.of(spans.select("key"))
+
+    def judged(batches):
+        """One pass over the texts: finished rows, and the texts of the others."""
+        for part in _texts(batches):
+            whole, moved = _split(part, has_some)
+            done = digests([d for d, _ in whole], [raw for _, raw in whole], [[] for _ in whole])
+            rest = _arrow(**moved)
+            both = pa.concat_tables([pa.Table.from_batches([x]) for x in (done, rest)], promote_options="default")
+            moves = pa.array([False] * done.num_rows + [True] * rest.num_rows)
+            yield from both.append_column("moves", moves).combine_chunks().to_batches()
+
+    every = stored(rows.mapInArrow(judged, _DIGESTS + ", key long, raw binary, moves boolean"), "judged-texts")
+    has_some.free()
+    done = every.filter("not moves").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    moved = every.filter("moves").select("key", "doc_id", "raw")
+    return done.unionByName(_cut(moved, spans, digests, _DIGESTS))
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -396,5 +414,14 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         kept = [_kept(x, s).decode("utf-8", "ignore") for x, s in zip(raws, spans)]
         return _arrow(_key=(ids, pa.int64()), _kept=(kept, pa.string()))
 
-    kept = _applied(rows, repeated_spans(rows, length), texts, "_key long, _kept string").dropDuplicates(["_key"])
-    return keyed.drop("_text").join(kept, "_key").select(given_columns(docs, F.col("_kept")))
+    spans = repeated_spans(rows, length)
+    has_some = KeyFilter.of(spans.select("key"))
+
+    def moved(batches):
+        for part in _texts(batches):
+            yield _arrow(**_split(part, has_some)[1])
+
+    some = rows.mapInArrow(moved, "key long, doc_id long, raw binary")
+    kept = _cut(some, spans, texts, "_key long, _kept string").dropDuplicates(["_key"])
+    text = F.coalesce("_kept", "_text", F.lit(""))
+    return keyed.join(kept, "_key", "left").select(given_columns(docs, text))
