@@ -31,6 +31,10 @@ from fleetgauge.llm.graph import components
 LONG = 128
 #: A task that meets a shingle this often deals it out by member.
 HOT = 1000
+#: So many classes a task remembers, in order not to send them twice.
+REMEMBERED = 200_000
+#: Sets are verified against blocks of about this many bytes of sets.
+BLOCK_BYTES = 2_000_000
 _MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93],
     np.uint64,
@@ -275,59 +279,33 @@ class Corpus:
 
         return self.rows.mapInArrow(lambda batches: make(scan(batches)), schema)
 
-    def members(self) -> DataFrame:
-        """doc_id, n, cid; cid is null for empty sets."""
+    def classes(self, like: Likeness) -> DataFrame:
+        """doc_id, n_shingles, cid, first: cid is null for empty sets, and ``first`` holds a class's first
+        shingles in the order of their hashes, as packed longs, where a task meets it first."""
 
         def make(parts):
+            seen: set[int] = set()
             for ids, sets in parts:
+                cids = [class_of(x) if len(x) else None for x in sets]
+                first = []
+                for cid, found in zip(cids, sets):
+                    new = cid is not None and cid not in seen
+                    first.append(found[: like.prefix(len(found))].tobytes() if new else None)
+                    if new:
+                        seen.add(cid)
+                if len(seen) > REMEMBERED:
+                    seen = set()
                 yield _arrow(
                     doc_id=(ids, pa.int64()),
                     n_shingles=([len(x) for x in sets], pa.int64()),
-                    cid=([class_of(x) if len(x) else None for x in sets], pa.int64()),
+                    cid=(cids, pa.int64()),
+                    first=(first, pa.binary()),
                 )
 
-        return self._mapped(make, "doc_id long, n_shingles long, cid long")
+        return self._mapped(make, "doc_id long, n_shingles long, cid long, first binary")
 
     def postings(self, like: Likeness) -> DataFrame:
-        """token, cid, n, hot of each class's first shingles in the order of their hashes.
-
-        Each flush of a task judges by itself what is hot, and adds a row (token, 0, 0, true) for it.
-        """
-
-        def make(parts):
-            seen: set[int] = set()
-            tokens, cids, sizes, held = [], [], [], 0
-
-            def flush():
-                token = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-                known, place, counts = np.unique(token, return_inverse=True, return_counts=True)
-                each = [len(x) for x in tokens]
-                marks = known[counts >= HOT]
-                none = np.zeros(len(marks), np.int64)
-                return _arrow(
-                    token=(np.concatenate([token, marks]), pa.int64()),
-                    cid=(np.concatenate([np.repeat(np.array(cids, np.int64), each), none]), pa.int64()),
-                    n=(np.concatenate([np.repeat(np.array(sizes, np.int64), each), none]), pa.int64()),
-                    hot=(np.concatenate([counts[place] >= HOT, none == 0]), pa.bool_()),
-                )
-
-            for _, sets in parts:
-                for found in sets:
-                    if not len(found) or (cid := class_of(found)) in seen:
-                        continue
-                    seen.add(cid)
-                    tokens.append(found[: like.prefix(len(found))])
-                    cids.append(cid)
-                    sizes.append(len(found))
-                    held += len(tokens[-1])
-                if held > 1_500_000:
-                    yield flush()
-                    tokens, cids, sizes, held = [], [], [], 0
-                if len(seen) > 2_000_000:
-                    seen = set()
-            yield flush()
-
-        return self._mapped(make, "token long, cid long, n long, hot boolean")
+        return postings(self.classes(like))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """cid, found: the sets of the classes of a column ``cid``, once each, as packed longs."""
@@ -341,35 +319,96 @@ class Corpus:
                     if len(found) and (cid := class_of(found)) not in seen and may_want(cid):
                         seen.add(cid)
                         out[cid] = found
-                if len(seen) > 2_000_000:
+                if len(seen) > REMEMBERED:
                     seen = set()
                 yield _arrow(cid=(list(out), pa.int64()), found=([x.tobytes() for x in out.values()], pa.binary()))
 
         return self._mapped(make, "cid long, found binary").dropDuplicates(["cid"])
 
 
+def postings(classes: DataFrame) -> DataFrame:
+    """token, cid, n, hot of the first shingles of ``Corpus.classes``.
+
+    Each flush of a task judges by itself what is hot, and adds a row (token, 0, 0, true) for it.
+    """
+
+    def make(batches):
+        tokens, cids, sizes, held = [], [], [], 0
+
+        def flush():
+            token = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+            known, place, counts = np.unique(token, return_inverse=True, return_counts=True)
+            each = [len(x) for x in tokens]
+            marks = known[counts >= HOT]
+            none = np.zeros(len(marks), np.int64)
+            return _arrow(
+                token=(np.concatenate([token, marks]), pa.int64()),
+                cid=(np.concatenate([np.repeat(np.array(cids, np.int64), each), none]), pa.int64()),
+                n=(np.concatenate([np.repeat(np.array(sizes, np.int64), each), none]), pa.int64()),
+                hot=(np.concatenate([counts[place] >= HOT, none == 0]), pa.bool_()),
+            )
+
+        for batch in batches:
+            for cid, n, first in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens.append(np.frombuffer(first, np.int64))
+                cids.append(cid)
+                sizes.append(n)
+                held += len(tokens[-1])
+                if held > 1_500_000:
+                    yield flush()
+                    tokens, cids, sizes, held = [], [], [], 0
+        yield flush()
+
+    rows = classes.filter("first is not null").select("cid", "n_shingles", "first")
+    return rows.mapInArrow(make, "token long, cid long, n long, hot boolean")
+
+
 def _verified(sets_of: Callable[[DataFrame], DataFrame], pairs: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. ``sets_of`` gives the sets of wanted classes."""
+    """The pairs (a, b) whose full sets are similar. ``sets_of`` gives the sets of wanted classes.
+
+    Classes are dealt into blocks by hash. A set travels once for each block that holds partners of it,
+    not once for each partner; a task holds the sets of one block and meets those of another in a stream.
+    """
     pairs = stored(pairs, "to-verify")
     ends = stored(
         pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "ends"
     )
     sets = sets_of(ends)
-    left = sets.select(F.col("cid").alias("a"), F.col("found").alias("x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("found").alias("y"))
+    size = sets.agg(F.sum(F.length("found").cast("long")).alias("bytes")).first()["bytes"] or 0
+    blocks = F.lit(size // BLOCK_BYTES + 1)
+    placed = pairs.select(
+        "a", "b", F.pmod(F.xxhash64("a"), blocks).alias("block_a"), F.pmod(F.xxhash64("b"), blocks).alias("block_b")
+    )
+    # At most the classes of one block are partners here.
+    asking = placed.groupBy(F.col("a").alias("cid"), "block_a", "block_b").agg(F.collect_set("b").alias("partners"))
+    asked = placed.select(F.col("b").alias("cid"), "block_a", "block_b").distinct()
+    asked = asked.withColumn("partners", F.expr("cast(null as array<bigint>)"))
+    columns = ["block_a", "block_b", "cid", "partners", "found"]
+    rows = asking.unionByName(asked).join(sets.select("cid", "found"), "cid").select(columns)
+    met = rows.repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b", F.col("partners").isNotNull())
 
     def check(batches):
+        here, held = None, {}
         for batch in batches:
-            a, b, x, y = batch.columns
-            kept = []
-            for k in range(batch.num_rows):
-                one, two = (np.frombuffer(c[k].as_buffer(), np.int64) for c in (x, y))
-                common = np.intersect1d(one, two, assume_unique=True).size
-                kept.append(bool(common >= like.overlap(len(one), len(two))))
-            yield pa.record_batch([a.filter(pa.array(kept)), b.filter(pa.array(kept))], names=["a", "b"])
+            a, b = [], []
+            one, two, cids, partners, found = batch.columns
+            places = zip(one.to_pylist(), two.to_pylist(), cids.to_pylist())
+            for k, (block_a, block_b, cid) in enumerate(places):
+                if (block_a, block_b) != here:
+                    here, held = (block_a, block_b), {}
+                x = np.frombuffer(found[k].as_py(), np.int64)
+                if not partners[k].is_valid:
+                    held[cid] = x
+                    continue
+                for other in partners[k].as_py():
+                    y = held[other]
+                    common = np.intersect1d(x, y, assume_unique=True).size
+                    if common >= like.overlap(len(x), len(y)):
+                        a.append(cid)
+                        b.append(other)
+            yield _arrow(a=(a, pa.int64()), b=(b, pa.int64()))
 
-    joined = pairs.join(right, "b").select("a", "b", "y").join(left, "a").select("a", "b", "x", "y")
-    return stored(joined.mapInArrow(check, "a long, b long"), "links")
+    return stored(met.mapInArrow(check, "a long, b long"), "links")
 
 
 def _rare_first(sets: DataFrame, like: Likeness) -> DataFrame:
@@ -413,9 +452,12 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
 
-def ngram_links(corpus: Corpus, like: Likeness, levels: int = 3) -> DataFrame:
-    """Links (a, b) between classes that join exactly the classes which similarity joins."""
-    pairs, crowd = _candidates(_inverted_lists(corpus.postings(like)), like)
+def ngram_links(corpus: Corpus, classes: DataFrame, like: Likeness, levels: int = 3) -> DataFrame:
+    """Links (a, b) between classes that join exactly the classes which similarity joins.
+
+    ``classes``: the rows of ``corpus.classes``, stored.
+    """
+    pairs, crowd = _candidates(_inverted_lists(postings(classes)), like)
     links = _verified(lambda ends: stored(corpus.sets(ends), "sets"), pairs, like)
     if crowd.isEmpty():
         return links
@@ -517,11 +559,12 @@ def ngram_components(
     """
     rows = id_and_text(docs, id_col, text_col)
     like, corpus = Likeness(percent), Corpus(rows, width)
-    members = stored(corpus.members(), "classes")
+    found = stored(corpus.classes(like), "classes")
+    members = found.select("doc_id", "n_shingles", "cid")
     classes = members.filter("cid is not null").groupBy("cid").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size")
     )
-    labelled = stored(_labelled(classes, ngram_links(corpus, like)), "class-components")
+    labelled = stored(_labelled(classes, ngram_links(corpus, found, like)), "class-components")
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.join(names, "component").select("cid", "component_id", "class_size")
     # Rows are dealt by (class, salt): a class may hold a third of them.

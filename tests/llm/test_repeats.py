@@ -214,3 +214,23 @@ def test_fingerprints(spark, docs, none):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert len({r.fingerprint for r in found if r.doc_id == 900004}) == 1
     assert document_fingerprints(none).count() == 0
+
+
+def test_pairs_are_verified_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(100)]
+    sets = {}
+    for i in range(60):
+        text = list(base)
+        for _ in range(rng.randrange(6)):
+            text[rng.randrange(100)] = f"x{rng.randrange(40)}"
+        sets[i] = join.shingles(" ".join(text), 4)
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "cid long, found binary")
+    every = [(a, b) for a in sets for b in sets if a < b]
+    pairs = spark.createDataFrame(every, "a long, b long")
+    monkeypatch.setattr(join, "BLOCK_BYTES", 5_000)
+    found = join._verified(lambda ends: table.join(ends, "cid", "left_semi"), pairs, join.Likeness(85))
+    both = {(a, b): len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in every}
+    wanted = [p for p, x in both.items() if 100 * x >= 85 * (len(sets[p[0]]) + len(sets[p[1]]) - x)]
+    assert 0 < len(wanted) < len(every)
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(wanted)
