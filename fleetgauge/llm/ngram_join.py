@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import given_columns, id_and_text, keyed_rows, member_filter, stored
+from fleetgauge.llm.common import KeyFilter, given_columns, id_and_text, keyed_rows, member_filter, stored
 from fleetgauge.llm.graph import components
 
 #: A list with more members is long for the corpus.
@@ -265,27 +265,17 @@ class Corpus:
     """The sets of a document table, computed from the texts whenever they are read."""
 
     def __init__(self, rows: DataFrame, width: int):
-        self.rows, self.width = rows, width
-
-    def _mapped(self, make: Callable, schema: str) -> DataFrame:
-        width = self.width
-
-        def scan(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    piece = batch.slice(at, 1024)
-                    sets = [shingles(x, width) for x in piece.column(1).to_pylist()]
-                    yield piece.column(0).to_pylist(), sets
-
-        return self.rows.mapInArrow(lambda batches: make(scan(batches)), schema)
+        self.rows, self.width = rows.withColumn("text_key", F.xxhash64("text")), width
 
     def classes(self, like: Likeness) -> DataFrame:
-        """doc_id, n_shingles, cid, first: cid is null for empty sets, and ``first`` holds a class's first
-        shingles in the order of their hashes, as packed longs, where a task meets it first."""
+        """doc_id, text_key, n_shingles, cid, first: cid is null for empty sets, and ``first`` holds a class's
+        first shingles in the order of their hashes, as packed longs, where a task meets it first."""
+        width = self.width
 
-        def make(parts):
+        def make(batches):
             seen: set[int] = set()
-            for ids, sets in parts:
+            for ids, texts, keys in pieces(batches):
+                sets = [shingles(x, width) for x in texts.to_pylist()]
                 cids = [class_of(x) if len(x) else None for x in sets]
                 first = []
                 for cid, found in zip(cids, sets):
@@ -295,35 +285,58 @@ class Corpus:
                         seen.add(cid)
                 if len(seen) > REMEMBERED:
                     seen = set()
-                yield _arrow(
-                    doc_id=(ids, pa.int64()),
-                    n_shingles=([len(x) for x in sets], pa.int64()),
-                    cid=(cids, pa.int64()),
-                    first=(first, pa.binary()),
+                yield pa.record_batch(
+                    [
+                        ids,
+                        keys,
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array(cids, pa.int64()),
+                        pa.array(first, pa.binary()),
+                    ],
+                    names=["doc_id", "text_key", "n_shingles", "cid", "first"],
                 )
 
-        return self._mapped(make, "doc_id long, n_shingles long, cid long, first binary")
+        schema = "doc_id long, text_key long, n_shingles long, cid long, first binary"
+        return self.rows.mapInArrow(make, schema)
 
     def postings(self, like: Likeness) -> DataFrame:
         return postings(self.classes(like))
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """cid, found: the sets of the classes of a column ``cid``, once each, as packed longs."""
-        may_want = member_filter(wanted.select("cid"))
+    def sets(self, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+        """cid, found: the sets of the classes of a column ``cid``, as packed longs, and a few others.
+
+        One text of each class is looked for by its hash, so that no other text is cut into words. Each
+        class comes once. ``classes``: the rows of ``classes()``, stored.
+        """
+        width = self.width
+        one = classes.filter("cid is not null").select("cid", "text_key")
+        one = one.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min("text_key").alias("text_key"))
+        named = KeyFilter.of(one.select("text_key"))
 
-        def make(parts):
+        def make(batches):
             seen: set[int] = set()
-            for _, sets in parts:
+            for _, texts, keys in pieces(batches):
+                known = keys.to_numpy()
                 out = {}
-                for found in sets:
-                    if len(found) and (cid := class_of(found)) not in seen and may_want(cid):
-                        seen.add(cid)
-                        out[cid] = found
+                for k in np.flatnonzero(named.may_hold(known.view(np.uint64))).tolist():
+                    if (key := int(known[k])) in seen:
+                        continue
+                    seen.add(key)
+                    found = shingles(texts[k].as_py(), width)
+                    if len(found):
+                        out[class_of(found)] = found.tobytes()
                 if len(seen) > REMEMBERED:
                     seen = set()
-                yield _arrow(cid=(list(out), pa.int64()), found=([x.tobytes() for x in out.values()], pa.binary()))
+                yield _arrow(cid=(list(out), pa.int64()), found=(list(out.values()), pa.binary()))
+
+        return self.rows.mapInArrow(make, "cid long, found binary").dropDuplicates(["cid"])
 
-        return self._mapped(make, "cid long, found binary").dropDuplicates(["cid"])
+
+def pieces(batches):
+    """The columns of at most 1024 rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            yield batch.slice(at, 1024).columns
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -458,14 +471,16 @@ def ngram_links(corpus: Corpus, classes: DataFrame, like: Likeness, levels: int
     ``classes``: the rows of ``corpus.classes``, stored.
     """
     pairs, crowd = _candidates(_inverted_lists(postings(classes)), like)
-    links = _verified(lambda ends: stored(corpus.sets(ends), "sets"), pairs, like)
-    if crowd.isEmpty():
-        return links
-    sets = stored(corpus.sets(crowd).join(crowd.select("cid"), "cid", "left_semi"), "crowd-sets")
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+    # One reading of the texts for the pairs at hand and for the searches to come.
+    sets = stored(corpus.sets(classes, ends.unionByName(crowd.select("cid")).distinct()), "sets")
 
     def sets_of(ends):
         return sets.join(ends, "cid", "left_semi")
 
+    links = _verified(sets_of, pairs, like)
+    if crowd.isEmpty():
+        return links
     lists, before = None, None
     for _ in range(levels):  # what is frequent is judged anew among fewer
         within = sets_of(crowd.select("cid"))
