@@ -1,23 +1,63 @@
-"""Connected components of an edge table, by rounds of joins and aggregates."""
+"""Connected components of an edge table: contraction inside tasks, then rounds of joins and aggregates."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import stored
 
+#: A task contracts about this many edges by itself.
+EDGES_A_TASK = 1_000_000
+
+
+def contracted(batches):
+    """u, v: each node of a task's edges (u, v) with the smallest one that they join it to, if that is smaller."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (above := parent.setdefault(top, top)) != top:
+            top = above
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            one, two = root(a), root(b)
+            parent[max(one, two)] = min(one, two)
+    nodes = [x for x in parent if parent[x] != x]
+    for at in range(0, len(nodes), 100_000):
+        part = nodes[at : at + 100_000]
+        columns = [pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())]
+        yield pa.record_batch(columns, names=["u", "v"])
+
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of ``edges`` (a, b longs).
+    """node, component (the smallest node reachable) for every node of ``edges`` (a, b longs, neither null).
 
-    Large-star and small-star in turn: every node's larger neighbours, then its smaller ones with
-    itself, are linked to the smallest of all. A node with very many neighbours is no larger group than
-    any other, as only minima are aggregated and then joined. Every round is written to the shared
-    folder; rounds end when none changes an edge.
+    Each task first replaces some EDGES_A_TASK edges by stars, which needs no shuffle. Where there was more
+    than one such task, stars are joined by large-star and small-star in turn: every node's larger
+    neighbours, then its smaller ones with itself, are linked to the smallest of all. Only minima are
+    aggregated and joined again; edges of one node meet in the join, where adaptive execution splits them.
+    Every round is written to the shared folder; rounds end when none changes an edge. Edges from a node
+    to itself, repeated and reversed ones add nothing; without edges there are no nodes.
     """
-    both = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    current = stored(both, "edges")
+    given = stored(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
+    tasks = given.count() // EDGES_A_TASK + 1
+    current = stored(given.coalesce(tasks).mapInArrow(contracted, "u long, v long"), "edges")
+    if tasks > 1:
+        current = _starred(current, most_rounds)
+    named = current.groupBy("u").agg(F.min("v").alias("component"))
+    # In a star forest the smallest nodes are those that something is linked to.
+    roots = current.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("component"))
+    return named.unionByName(roots).withColumnRenamed("u", "node")
+
+
+def _starred(current: DataFrame, most_rounds: int) -> DataFrame:
+    """A star forest, (node, smallest node) without the smallest ones, from edges (u > v)."""
     mark = None
     for _ in range(most_rounds):
         every = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,10 +74,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
             F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("s"),
         ).first()
         if now == mark:
-            break
+            return current
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
-    named = current.groupBy("u").agg(F.min("v").alias("component"))
-    roots = current.select(F.col("v").alias("u")).distinct().join(named, "u", "left_anti")
-    return named.unionByName(roots.select("u", F.col("u").alias("component"))).withColumnRenamed("u", "node")
+    raise RuntimeError("components did not settle")
