@@ -8,8 +8,9 @@ are set aside: what occurs in the short ones is merged and counted, and the long
 for what that leaves. Lists of equal members are one list with a weight.
 
 A class too many of whose lists are long for the whole corpus goes to a further search of such
-classes alone, with what is frequent among them last in the order. What still has only long lists is
-nearly equal to very many classes: neighbours in its lists are verified, components are built, and
+classes alone, with what is frequent among them last in the order. Once such classes are few enough for
+it, all of them are compared in full, block by block. What still has only long lists otherwise is nearly
+equal to very many classes: neighbours in its lists are verified, components are built, and
 only pairs of components that share enough are left. Candidates are verified on their full sets.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import KeyFilter, given_columns, id_and_text, keyed_rows, member_filter, stored
-from fleetgauge.llm.graph import components
+from fleetgauge.llm.graph import components, contracted
 
 #: A list with more members is long for the corpus.
 LONG = 128
@@ -35,6 +36,8 @@ HOT = 1000
 REMEMBERED = 200_000
 #: Sets are verified against blocks of about this many bytes of sets.
 BLOCK_BYTES = 2_000_000
+#: A crowd of at most so many bytes of sets is compared in full, by blocks of about so many.
+CROWD_BYTES, CROWD_BLOCK_BYTES = 32_000_000, 4_000_000
 _MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93],
     np.uint64,
@@ -376,54 +379,120 @@ def postings(classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "token long, cid long, n long, hot boolean")
 
 
+def _bytes(sets: DataFrame) -> int:
+    return sets.agg(F.sum(F.length("found").cast("long")).alias("bytes")).first()["bytes"] or 0
+
+
 def _verified(sets_of: Callable[[DataFrame], DataFrame], pairs: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. ``sets_of`` gives the sets of wanted classes.
+    """The pairs (a, b) whose full sets are similar. ``sets_of`` gives the sets of wanted classes, and may give others.
 
-    Classes are dealt into blocks by hash. A set travels once for each block that holds partners of it,
-    not once for each partner; a task holds the sets of one block and meets those of another in a stream.
+    Classes are dealt into blocks by hash. A set travels once for each pair of blocks that holds partners of
+    it, not once for each partner; a task holds the sets of two blocks at a time.
     """
-    pairs = stored(pairs, "to-verify")
-    ends = stored(
-        pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "ends"
-    )
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     sets = sets_of(ends)
-    size = sets.agg(F.sum(F.length("found").cast("long")).alias("bytes")).first()["bytes"] or 0
-    blocks = F.lit(size // BLOCK_BYTES + 1)
+    blocks = F.lit(_bytes(sets) // BLOCK_BYTES + 1)
     placed = pairs.select(
         "a", "b", F.pmod(F.xxhash64("a"), blocks).alias("block_a"), F.pmod(F.xxhash64("b"), blocks).alias("block_b")
     )
+    asking = placed.select("block_a", "block_b", F.col("a").alias("cid"), F.col("b").alias("partner"))
+    none = F.lit(None).cast("long").alias("partner")
+    asked = placed.select("block_a", "block_b", F.col("b").alias("cid"), none)
     # At most the classes of one block are partners here.
-    asking = placed.groupBy(F.col("a").alias("cid"), "block_a", "block_b").agg(F.collect_set("b").alias("partners"))
-    asked = placed.select(F.col("b").alias("cid"), "block_a", "block_b").distinct()
-    asked = asked.withColumn("partners", F.expr("cast(null as array<bigint>)"))
-    columns = ["block_a", "block_b", "cid", "partners", "found"]
-    rows = asking.unionByName(asked).join(sets.select("cid", "found"), "cid").select(columns)
-    met = rows.repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b", F.col("partners").isNotNull())
+    each = asking.unionByName(asked).groupBy("cid", "block_a", "block_b").agg(F.collect_set("partner").alias("partners"))
+    rows = each.join(sets.select("cid", "found"), "cid").select("block_a", "block_b", "cid", "partners", "found")
+    met = rows.repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b")
 
     def check(batches):
-        here, held = None, {}
-        for batch in batches:
+        here, held, asked = None, {}, []
+
+        def similar():
             a, b = [], []
-            one, two, cids, partners, found = batch.columns
-            places = zip(one.to_pylist(), two.to_pylist(), cids.to_pylist())
-            for k, (block_a, block_b, cid) in enumerate(places):
-                if (block_a, block_b) != here:
-                    here, held = (block_a, block_b), {}
-                x = np.frombuffer(found[k].as_py(), np.int64)
-                if not partners[k].is_valid:
-                    held[cid] = x
-                    continue
-                for other in partners[k].as_py():
+            for cid, partners in asked:
+                x = held[cid]
+                for other in partners:
                     y = held[other]
                     common = np.intersect1d(x, y, assume_unique=True).size
                     if common >= like.overlap(len(x), len(y)):
                         a.append(cid)
                         b.append(other)
-            yield _arrow(a=(a, pa.int64()), b=(b, pa.int64()))
+            return _arrow(a=(a, pa.int64()), b=(b, pa.int64()))
+
+        for batch in batches:
+            one, two, cids, partners, found = batch.columns
+            places = zip(one.to_pylist(), two.to_pylist(), cids.to_pylist())
+            for k, (block_a, block_b, cid) in enumerate(places):
+                if (block_a, block_b) != here:
+                    yield similar()
+                    here, held, asked = (block_a, block_b), {}, []
+                held[cid] = np.frombuffer(found[k].as_py(), np.int64)
+                if others := partners[k].as_py():
+                    asked.append((cid, others))
+        yield similar()
 
     return stored(met.mapInArrow(check, "a long, b long"), "links")
 
 
+def _all_pairs(sets: DataFrame, held_bytes: int, like: Likeness) -> DataFrame:
+    """Links (u, v) that join what similarity joins among sets of at most CROWD_BYTES together.
+
+    Every two blocks of sets meet in one group, where each set's shared shingles with all others are
+    counted from inverted lists. A group gives no more links than it has sets.
+    """
+    blocks = held_bytes // CROWD_BLOCK_BYTES + 1
+    own = F.pmod(F.xxhash64("cid"), F.lit(blocks))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    dealt = sets.select("cid", "found", own.alias("own")).withColumn("other", F.explode(every))
+    dealt = dealt.select(
+        F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "own", "cid", "found"
+    )
+    met = dealt.repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b")
+
+    def links(cids, sides, founds):
+        sizes = np.array([len(x) for x in founds])
+        order = np.argsort(sizes, kind="stable")  # what is similar in size lies together
+        cids, sides, sizes = cids[order], sides[order], sizes[order]
+        founds = [founds[k] for k in order.tolist()]
+        tokens = np.concatenate(founds)
+        token, place = np.unique(tokens, return_inverse=True)
+        holder = np.repeat(np.arange(len(cids)), sizes)
+        by_token = np.argsort(place, kind="stable")
+        holders, edges = holder[by_token], np.searchsorted(place[by_token], np.arange(len(token) + 1))
+        at, whole = np.concatenate([[0], np.cumsum(sizes)]), len(np.unique(sides)) < 2
+        least = np.searchsorted(sizes, like.least_size(sizes))
+        for k in range(len(cids)):
+            lists = [holders[edges[x] : edges[x + 1]] for x in place[at[k] : at[k + 1]].tolist()]
+            lists = [x[: np.searchsorted(x, k)] for x in lists]
+            first = int(least[k])
+            shared = np.concatenate(lists)
+            counts = np.bincount(shared[shared >= first] - first, minlength=k - first)
+            near = counts >= like.overlap(sizes[k], sizes[first:k])
+            if not whole:
+                near &= sides[first:k] != sides[k]
+            if len(found := cids[first:k][near]):
+                yield pa.record_batch([pa.array(np.full(len(found), cids[k])), pa.array(found)], names=["a", "b"])
+
+    def check(batches):
+        here, cids, sides, founds = None, [], [], []
+
+        def joined():
+            if len(cids) > 1:
+                yield from contracted(links(np.array(cids, np.int64), np.array(sides, np.int64), founds))
+
+        for batch in batches:
+            one, two, own, cid, found = batch.columns
+            for k, place in enumerate(zip(one.to_pylist(), two.to_pylist())):
+                if place != here:
+                    yield from joined()
+                    here, cids, sides, founds = place, [], [], []
+                cids.append(cid[k].as_py())
+                sides.append(own[k].as_py())
+                founds.append(np.frombuffer(found[k].as_py(), np.int64))
+        yield from joined()
+
+    return stored(met.mapInArrow(check, "u long, v long").select(F.col("u").alias("a"), F.col("v").alias("b")), "links")
+
+
 def _rare_first(sets: DataFrame, like: Likeness) -> DataFrame:
     """Postings of the first shingles, those that many of these sets hold coming last.
 
@@ -432,13 +501,13 @@ def _rare_first(sets: DataFrame, like: Likeness) -> DataFrame:
 
     def members(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                packed = b"".join(batch.column(0).slice(at, 1024).to_pylist())
-                yield _arrow(token=(np.frombuffer(packed, np.int64), pa.int64()))
+            packed = b"".join(batch.column(0).to_pylist())
+            token, n = np.unique(np.frombuffer(packed, np.int64), return_counts=True)
+            yield _arrow(token=(token, pa.int64()), n=(n, pa.int64()))
 
-    each = sets.select("found").mapInArrow(members, "token long")
-    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    frequent = member_filter(counted.filter(F.col("n") > LONG).select("token"))
+    each = sets.select("found").mapInArrow(members, "token long, n long")
+    counted = stored(each.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > LONG), "frequent")
+    frequent = member_filter(counted.select("token"))
     very = member_filter(counted.filter(F.col("n") > HOT).select("token"))
 
     def postings(batches):
@@ -474,25 +543,21 @@ def ngram_links(corpus: Corpus, classes: DataFrame, like: Likeness, levels: int
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
     # One reading of the texts for the pairs at hand and for the searches to come.
     sets = stored(corpus.sets(classes, ends.unionByName(crowd.select("cid")).distinct()), "sets")
-
-    def sets_of(ends):
-        return sets.join(ends, "cid", "left_semi")
-
-    links = _verified(sets_of, pairs, like)
+    links = _verified(lambda ends: sets, pairs, like)
     if crowd.isEmpty():
         return links
     lists, before = None, None
-    for _ in range(levels):  # what is frequent is judged anew among fewer
-        within = sets_of(crowd.select("cid"))
+    for level in range(levels + 1):  # what is frequent is judged anew among fewer
+        within = stored(sets.join(crowd.select("cid"), "cid", "left_semi"), "crowd-sets")
+        held = _bytes(within)
+        if held <= CROWD_BYTES:
+            return links.unionByName(_all_pairs(within, held, like))
+        if level == levels or before is not None and held > 0.7 * before:
+            break
+        before = held
         lists = _inverted_lists(_rare_first(within, like))
         pairs, crowd = _candidates(lists, like)
-        links = links.unionByName(_verified(sets_of, pairs, like))
-        left = crowd.count()
-        if not left:
-            return links
-        if before is not None and left > 0.7 * before:
-            break
-        before = left
+        links = links.unionByName(_verified(lambda ends: within, pairs, like))
     rows = lists.filter("long").select("token", F.explode(F.arrays_zip("members", "sizes")).alias("x"))
     rows = rows.select("token", F.col("x.members").alias("cid"), F.col("x.sizes").alias("n"))
     rows = stored(rows.join(crowd.select("cid"), "cid", "left_semi"), "crowded")
@@ -505,7 +570,7 @@ def ngram_links(corpus: Corpus, classes: DataFrame, like: Likeness, levels: int
 
     chained = rows.repartitionByRange("token", "n", "cid").sortWithinPartitions("token", "n", "cid")
     chain = chained.select("token", "n", "cid").mapInArrow(neighbours, "a long, b long").distinct()
-    links = stored(links.unionByName(_verified(sets_of, chain, like)), "links")
+    links = stored(links.unionByName(_verified(lambda ends: within, chain, like)), "links")
     # A pair that no short list decided shares long ones only, and as many as any pair needs. So
     # components that share too few hold no similar pair; others are paired in full and counted.
     known = stored(_labelled(rows.drop("component"), links), "crowded")
@@ -540,14 +605,14 @@ def ngram_links(corpus: Corpus, classes: DataFrame, like: Likeness, levels: int
     for partners in (2, 4, 8):
         likeliest = Window.partitionBy("a").orderBy(F.desc("both"), "b")
         best = rest.withColumn("rank", F.row_number().over(likeliest)).filter(F.col("rank") <= partners)
-        links = stored(links.unionByName(_verified(sets_of, best.select("a", "b"), like)), "links")
+        links = stored(links.unionByName(_verified(lambda ends: within, best.select("a", "b"), like)), "links")
         parts = _labelled(known.select("cid").distinct(), links)
         ends = [parts.select(F.col("cid").alias(k), F.col("component").alias(f"c{k}")) for k in "ab"]
         apart = rest.join(ends[0], "a").join(ends[1], "b").filter("ca <> cb")
         rest = stored(apart.select("a", "b", "both"), "crowded-pairs")
         if rest.isEmpty():
             return links
-    return links.unionByName(_verified(sets_of, rest.select("a", "b"), like))
+    return links.unionByName(_verified(lambda ends: within, rest.select("a", "b"), like))
 
 
 def _share(like: Likeness, n: Column) -> Column:

@@ -234,3 +234,58 @@ def test_pairs_are_verified_in_blocks(spark, monkeypatch):
     wanted = [p for p, x in both.items() if 100 * x >= 85 * (len(sets[p[0]]) + len(sets[p[1]]) - x)]
     assert 0 < len(wanted) < len(every)
     assert sorted((r.a, r.b) for r in found.collect()) == sorted(wanted)
+
+
+def _crowd(sets_of, texts):
+    sets = {i: sets_of(x, 4) for i, x in enumerate(texts)}
+    parent = list(range(len(texts)))
+    for a in sets:
+        for b in range(a):
+            both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = parent[a], parent[b]
+                parent = [new if x == old else x for x in parent]
+    return sets, parent
+
+
+def test_a_crowd_is_joined_without_a_row_for_each_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for size in (40, 90, 91):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(size)]
+        for _ in range(40):
+            text = list(base)
+            for _ in range(rng.randrange(6)):
+                text[rng.randrange(size)] = f"x{rng.randrange(40)}"
+            texts.append(" ".join(text))
+    sets, parent = _crowd(join.shingles, texts)
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "cid long, found binary")
+    for block in (10**9, 9_000):
+        monkeypatch.setattr(join, "CROWD_BLOCK_BYTES", block)
+        links = [(r.a, r.b) for r in join._all_pairs(table, join._bytes(table), join.Likeness(85)).collect()]
+        assert len(links) < (len(texts) if block > 9_000 else 200 * len(texts))
+        got = list(range(len(texts)))
+        for a, b in links:
+            old, new = got[a], got[b]
+            got = [new if x == old else x for x in got]
+        assert len(set(zip(got, parent))) == len(set(got)) == len(set(parent)) > 3
+
+
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_crowds_are_searched_in_levels_or_in_full(spark, monkeypatch, most):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for _ in range(1 + i % 4):
+            text[rng.randrange(60)] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    monkeypatch.setattr(join, "LONG", 8)
+    monkeypatch.setattr(join, "HOT", 40)
+    monkeypatch.setattr(join, "CROWD_BYTES", most)
+    searched, search = [], join._rare_first
+    monkeypatch.setattr(join, "_rare_first", lambda *given: searched.append(1) or search(*given))
+    assert joined(documents(spark, rows)) == similar_groups(rows)
+    assert bool(searched) == (most == 0)
