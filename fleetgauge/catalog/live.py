@@ -23,13 +23,14 @@ from fleetgauge.streaming import live
 
 
 class StreamingTables(Tables):
-    """Each table as a stream of several files, one a batch, with rows of all times in each."""
+    """Each table as a stream of three batches, with rows of all times in each; files follow the table's size."""
 
     def __getattr__(self, name):
         table = super().__getattr__(name)
         path = fresh_path(self.spark, f"files-{name}")
-        table.repartition(3).write.parquet(path)
-        return live.stream_table(self.spark, path, "*.parquet", table.schema, files_per_trigger=1)
+        files = table.rdd.getNumPartitions()  # of each batch: no task reads more than a third of a split
+        table.repartition(3 * files).write.parquet(path)
+        return live.stream_table(self.spark, path, "*.parquet", table.schema, files_per_trigger=files)
 
 
 def _streams(t):

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fleetgauge.catalog.live import StreamingTables
 from fleetgauge.operators import trace
 from fleetgauge.sources.scratch import fresh_path
 from fleetgauge.streaming import live
@@ -143,3 +144,16 @@ def test_append_sink_survives_a_kill(spark):
         else:
             query.awaitTermination()
     assert same(spark.read.schema(rows.schema).json(out), rows)
+
+
+def test_streams_of_tables_have_files_by_their_size(spark, tmp_path):
+    spark.range(0, 900, 1, 4).write.parquet(f"{tmp_path}/things.parquet")
+    stream = StreamingTables(spark, str(tmp_path)).things
+    query, path = live.run_to_table(
+        stream.select("id", F.input_file_name().alias("file")), "append", trigger={"availableNow": True}
+    )
+    query.awaitTermination()
+    rows = spark.read.parquet(path)
+    assert sorted(r.id for r in rows.collect()) == list(range(900))
+    assert rows.select("batch_id").distinct().count() == 3
+    assert rows.select("file").distinct().count() == 12
