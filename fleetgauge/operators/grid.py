@@ -11,7 +11,7 @@ from fleetgauge.fixed_values import (
     PROMPT_TAIL,
     SYSTEM_MESSAGE,
 )
-from fleetgauge.plans.ordered import DEFAULT_LIMITS, SliceLimits, with_ordinal
+from fleetgauge.plans.ordered import DEFAULT_LIMITS, SliceLimits, first_rows, with_ordinal
 
 
 def first_tasks(
@@ -20,15 +20,15 @@ def first_tasks(
     """The first ``count`` problems in file order; 0 means all.
 
     Up to ``limits.rows_per_task`` they are collected from all tasks into one. More are cut off where
-    they lie: problems are dealt by ranges of the order, ranges are counted, and each keeps its share.
+    they lie: problems are dealt by ranges of the order, ranges are counted, and only the one that the last
+    row falls in is looked into.
     ``order`` must identify a row there.
     """
     if not count:
         return problems
     if count <= limits.rows_per_task:
         return problems.orderBy(order).limit(count)
-    numbered = with_ordinal(problems, [], [order], "__place", limits=limits)
-    return numbered.where(F.col("__place") <= count).drop("__place")
+    return first_rows(problems, [order], count, limits)
 
 
 def prompts(problems: DataFrame) -> DataFrame:

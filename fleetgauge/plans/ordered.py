@@ -107,6 +107,40 @@ def with_previous(
     return out.select(*df.columns, *columns)
 
 
+def first_rows(df: DataFrame, order: Sequence[str], count: int, limits: SliceLimits = DEFAULT_LIMITS) -> DataFrame:
+    """The first ``count`` rows in ``order``, of which no task orders more than ``limits.rows_per_task``.
+
+    Rows are dealt by as many ranges as there are shuffle partitions, and ranges are counted. Those before
+    the last row stay whole; the one it falls in is dealt anew until it is small, or of one value of the
+    order, so the number of tasks follows the logarithm of the rows.
+    """
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    given, kept = stored(df, "rows"), []
+    left = given.count()
+    while count > 0 and left > limits.rows_per_task:
+        dealt = given.repartitionByRange(ranges, *order).withColumn(_SLICE, F.spark_partition_id())
+        dealt = stored(dealt, "slices")
+        sizes = sorted((r[_SLICE], r["count"]) for r in dealt.groupBy(_SLICE).count().collect())
+        upto, whole = 0, -1
+        for at, size in sizes:
+            if upto + size > count:
+                break
+            upto, whole = upto + size, at
+        if whole >= 0:
+            kept.append(dealt.where(F.col(_SLICE) <= whole).drop(_SLICE))
+        count -= upto
+        last = next(((at, size) for at, size in sizes if at > whole), (-1, 0))
+        given = dealt.where(F.col(_SLICE) == last[0]).drop(_SLICE)
+        if last[1] == left:  # one value of the order, or nearly
+            break
+        left = last[1]
+    numbered = with_ordinal(given, [], order, "__place", limits=limits)
+    out = numbered.where(F.col("__place") <= count).drop("__place")
+    for rows in kept:
+        out = out.unionByName(rows)
+    return out
+
+
 def _attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     right = small.select(
         *[F.col(c).alias(f"__r_{c}") for c in on],

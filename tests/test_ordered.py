@@ -162,3 +162,16 @@ def test_counter_rates(spark):
     got = telemetry.counter_rates(df, ["pid"], ["c"], ties=["ord"]).orderBy("ord").collect()
     assert [r.c_delta for r in got] == [None, 4, 1, None, 1]
     assert [r.c_rate for r in got] == [None, 2.0, None, None, 1.0]
+
+
+def test_first_rows_take_few_tasks_whatever_the_limit(spark, monkeypatch):
+    dealt, whole = [], ordered.stored
+    monkeypatch.setattr(ordered, "stored", lambda df, label: dealt.append(df.rdd.getNumPartitions()) or whole(df, label))
+    ids = [*range(2000), *range(700), *[None] * 40]
+    df = spark.createDataFrame([(i, f"x{n}") for n, i in enumerate(ids)], "id long, x string")
+    want = sorted(ids, key=lambda i: (i is not None, i))
+    for count in (1, 39, 60, 1000, 2739, 2740, 5000):
+        got = ordered.first_rows(df, ["id"], count, SliceLimits(rows_per_task=5))
+        assert sorted((r.id for r in got.collect()), key=lambda i: (i is not None, i)) == want[:count]
+        assert got.columns == df.columns
+    assert max(dealt) <= 8
