@@ -6,9 +6,9 @@ that a phrase starting in it may still need; these overlap with the next chunk,
 chunks become one entry of a dictionary with its frequency in the parse, and phrases are counted inside
 distinct chunks, weighted, each where it starts in owned words and so once.
 
-Phrases are counted by length: a phrase can only be frequent if the two that are a word shorter are. What
-is frequent goes out as a filter of bounded size, which may let others through and never stops one; all
-counts are exact.
+Words, then phrases of two words, then all longer ones are counted: a phrase can only be frequent if the
+two that are a word shorter are. What is frequent goes out as a filter of bounded size, which may let
+others through and never stops one; all counts are exact.
 """
 
 from __future__ import annotations
@@ -168,9 +168,9 @@ class _Phrases:
         self.id, self.phrase_hash, self.texts = self.word, self.hash, self.words
         self.first = np.arange(len(pairs))
 
-    def extend(self, frequent: KeyFilter) -> None:
-        """Phrases one word longer, where both that are a word shorter may be frequent."""
-        known = frequent.may_hold(self.phrase_hash)
+    def extend(self, frequent: KeyFilter | None) -> None:
+        """Phrases one word longer, where both that are a word shorter may be frequent (without a filter: occur)."""
+        known = frequent.may_hold(self.phrase_hash) if frequent else np.ones(len(self.phrase_hash), bool)
         on = known[self.id]
         ids = np.full(len(self.word) + 1, -1, np.int64)
         ids[self.at[on]] = self.id[on]
@@ -195,32 +195,44 @@ class _Phrases:
                 self.texts.take(pa.array(some)).cast(pa.string()),
                 pa.array(self.phrase_hash[some].view(np.int64)),
                 pa.array(n[some]),
+                pa.array(np.full(len(some), self.length, np.int32)),
             ],
-            names=["lang", "phrase", "hash", "a"],
+            names=["lang", "phrase", "hash", "a", "size"],
         )
 
 
 def frequent_phrases(dictionary: DataFrame, longest: int = 5, least: int = 100) -> DataFrame:
     """lang, phrase, size, a: phrases of 1 to ``longest`` words that occur ``least`` times or more."""
     filters: list[KeyFilter] = []
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for a, b in _slices(_sizes(batch.column(1))):
-                phrases = _Phrases(batch.slice(a, b - a))
-                for shorter in filters:
-                    phrases.extend(shorter)
-                yield phrases.counts()
+    # Few phrases of three words are left to count, and the longer ones lie within them, so that reading
+    # the dictionary once more would cost more than counting those that a further filter would drop.
+    passes = [1] * min(longest, 2) + [longest - 2] * (longest > 2)
+
+    def counter(sizes: int):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                for a, b in _slices(_sizes(batch.column(1))):
+                    phrases = _Phrases(batch.slice(a, b - a))
+                    for shorter in filters:
+                        phrases.extend(shorter)
+                    yield phrases.counts()
+                    for _ in range(sizes - 1):
+                        phrases.extend(None)
+                        yield phrases.counts()
+
+        return count
 
     levels = []
-    for size in range(1, longest + 1):
-        each = dictionary.mapInArrow(count, "lang string, phrase string, hash long, a long")
-        total = each.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.min("hash").alias("hash"))
-        kept = stored(total.filter(F.col("a") >= least).withColumn("size", F.lit(size)), f"phrases-{size}")
+    for sizes in passes:
+        each = dictionary.mapInArrow(counter(sizes), "lang string, phrase string, hash long, a long, size int")
+        total = each.groupBy("lang", "phrase").agg(
+            F.sum("a").alias("a"), F.min("hash").alias("hash"), F.min("size").alias("size")
+        )
+        kept = stored(total.filter(F.col("a") >= least), f"phrases-{len(levels) + 1}")
         levels.append(kept.drop("hash"))
-        if size < longest:
+        if len(levels) < len(passes):
             filters = [*filters, KeyFilter.of(kept.select("hash"))]
             if not filters[-1].keys:
                 break

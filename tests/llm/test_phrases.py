@@ -116,3 +116,13 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], TEXT)
     assert collocations(none).count() == 0
     assert collocations(spark.createDataFrame([("en", "a b c")], TEXT)).count() == 0
+
+
+@pytest.mark.parametrize("longest,passes", [(1, 1), (2, 2), (3, 3), (5, 3)])
+def test_longer_phrases_are_counted_in_one_pass(spark, texts, monkeypatch, longest, passes):
+    kept, whole = [], phrase_mining.stored
+    monkeypatch.setattr(phrase_mining, "stored", lambda df, label: kept.append(label) or whole(df, label))
+    dictionary = chunk_dictionary(spark.createDataFrame(texts, TEXT), every=5)
+    got = phrase_mining.frequent_phrases(dictionary, longest, least=25).collect()
+    assert len(kept) == 1 + passes
+    assert all(r.size == len(r.phrase.split(" ")) for r in got) and {r.size for r in got} == set(range(1, longest + 1))
