@@ -6,9 +6,10 @@ that a phrase starting in it may still need; these overlap with the next chunk,
 chunks become one entry of a dictionary with its frequency in the parse, and phrases are counted inside
 distinct chunks, weighted, each where it starts in owned words and so once.
 
-Words, then phrases of two words, then all longer ones are counted: a phrase can only be frequent if the
-two that are a word shorter are. What is frequent goes out as a filter of bounded size, which may let
-others through and never stops one; all counts are exact.
+A phrase can only be frequent if the two that are a word shorter are. So words, and then phrases of two
+frequent words, are first counted by their hashes alone, as most of them are rare and need not travel as
+texts. What is frequent by its hash goes out as a filter of bounded size, which may let others through and
+never stops one; what passes, and all longer phrases, are then counted by their texts, exactly.
 """
 
 from __future__ import annotations
@@ -140,9 +141,12 @@ def chunk_dictionary(docs: DataFrame, longest: int = 5, every: int = 24, own_mos
 
 
 class _Phrases:
-    """Positions of some chunks' words where a phrase of the current length may start."""
+    """Positions of some chunks' words where a phrase of the current length starts that may be frequent.
 
-    def __init__(self, batch: pa.RecordBatch):
+    ``spelled``: with the texts of the phrases, not with their hashes only.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, frequent: KeyFilter | None, spelled: bool):
         chunks = [c.encode() for c in batch.column(1).to_pylist()]
         words = Words(chunks)
         self.piece = words.piece
@@ -153,95 +157,110 @@ class _Phrases:
         self.word, pairs = pd.factorize(lang * names + strings.indices.to_numpy())
         tongue = pairs // names
         self.langs = langs.dictionary.take(pa.array(tongue))
-        self.words = strings.dictionary.take(pa.array(pairs % names)).cast(pa.string())
+        self.words = strings.dictionary.take(pa.array(pairs % names)).cast(pa.string()) if spelled else None
         seen = np.empty(len(pairs), np.int64)
         seen[self.word] = np.arange(len(self.word))
         # A word's hash and its language's: the same words of another language are other phrases.
         own = words.hashes()[seen]
-        spelled = (x.encode().replace(b" ", b"_").replace(b"\n", b"_") or b"_" for x in langs.dictionary.to_pylist())
-        self.hash = _joined_hash(Words(list(spelled)).hashes()[tongue], own)
+        spelled_langs = (x.encode().replace(b" ", b"_").replace(b"\n", b"_") or b"_" for x in langs.dictionary.to_pylist())
+        self.hash = _joined_hash(Words(list(spelled_langs)).hashes()[tongue], own)
         ordinal = np.arange(len(words)) - np.searchsorted(words.starts, words.text_starts)[words.text]
         owned = batch.column(2).to_numpy()[words.text]
         self.weight = np.where(ordinal < owned, batch.column(3).to_numpy()[words.text], 0)
         self.length = 1
         self.at = np.arange(len(words))
-        self.id, self.phrase_hash, self.texts = self.word, self.hash, self.words
-        self.first = np.arange(len(pairs))
+        self.id, self.phrase_hash = self.word, self.hash
+        self.first = self._kept(np.arange(len(pairs)), frequent)[0]
+        self.texts = self.words.take(pa.array(self.first)) if spelled else None
+
+    def _kept(self, which: np.ndarray, frequent: KeyFilter | None) -> tuple[np.ndarray, np.ndarray]:
+        """``which`` of the phrases that the filter holds, and their numbers; the others and their places go."""
+        if frequent is None:
+            return which, np.arange(len(which))
+        known = frequent.may_hold(self.phrase_hash)
+        on = known[self.id]
+        self.at, self.id = self.at[on], (np.cumsum(known) - 1)[self.id[on]]
+        self.phrase_hash = self.phrase_hash[known]
+        return which[known], np.flatnonzero(known)
 
     def extend(self, frequent: KeyFilter | None) -> None:
-        """Phrases one word longer, where both that are a word shorter may be frequent (without a filter: occur)."""
-        known = frequent.may_hold(self.phrase_hash) if frequent else np.ones(len(self.phrase_hash), bool)
-        on = known[self.id]
+        """Phrases one word longer, where both that are a word shorter are left, and those the filter holds."""
         ids = np.full(len(self.word) + 1, -1, np.int64)
-        ids[self.at[on]] = self.id[on]
+        ids[self.at] = self.id
         last = self.at + self.length
-        fits = on & (last < len(self.word))
+        fits = last < len(self.word)
         at, left, last = self.at[fits], self.id[fits], last[fits]
         same = (ids[at + 1] >= 0) & (self.piece[last] == self.piece[at])
         at, left, right = at[same], left[same], self.word[last[same]]
-        self.id, pairs = pd.factorize(left * np.int64(len(self.words)) + right)
-        left, right = pairs // len(self.words), pairs % len(self.words)
+        self.id, pairs = pd.factorize(left * np.int64(len(self.hash)) + right)
+        left, right = pairs // len(self.hash), pairs % len(self.hash)
         self.at, self.length = at, self.length + 1
         self.phrase_hash = _joined_hash(self.phrase_hash[left], self.hash[right])
-        self.texts = pc.binary_join_element_wise(self.texts.take(pa.array(left)), self.words.take(pa.array(right)), " ")
+        left, kept = self._kept(left, frequent)
+        if self.words is not None:
+            ends = self.words.take(pa.array(right[kept]))
+            self.texts = pc.binary_join_element_wise(self.texts.take(pa.array(left)), ends, " ")
         self.first = self.first[left]
 
-    def counts(self) -> pa.RecordBatch:
+    def _counted(self) -> tuple[np.ndarray, np.ndarray]:
         n = np.bincount(self.id, self.weight[self.at], minlength=len(self.first)).astype(np.int64)
         some = np.flatnonzero(n)
+        return some, n[some]
+
+    def sums(self) -> pa.RecordBatch:
+        some, n = self._counted()
+        return pa.record_batch([pa.array(self.phrase_hash[some].view(np.int64)), pa.array(n)], names=["hash", "a"])
+
+    def counts(self) -> pa.RecordBatch:
+        some, n = self._counted()
         return pa.record_batch(
             [
                 self.langs.take(pa.array(self.first[some])),
                 self.texts.take(pa.array(some)).cast(pa.string()),
-                pa.array(self.phrase_hash[some].view(np.int64)),
-                pa.array(n[some]),
+                pa.array(n),
                 pa.array(np.full(len(some), self.length, np.int32)),
             ],
-            names=["lang", "phrase", "hash", "a", "size"],
+            names=["lang", "phrase", "a", "size"],
         )
 
 
 def frequent_phrases(dictionary: DataFrame, longest: int = 5, least: int = 100) -> DataFrame:
     """lang, phrase, size, a: phrases of 1 to ``longest`` words that occur ``least`` times or more."""
     filters: list[KeyFilter] = []
-    # Few phrases of three words are left to count, and the longer ones lie within them, so that reading
-    # the dictionary once more would cost more than counting those that a further filter would drop.
-    passes = [1] * min(longest, 2) + [longest - 2] * (longest > 2)
 
-    def counter(sizes: int):
+    def counter(sizes: range):
+        """Sums by hash of one size, or counts of texts of all sizes from 1."""
+        spelled = len(sizes) > 1 or longest == 1
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [*filters, *[None] * (sizes[-1] - len(filters))]
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 for a, b in _slices(_sizes(batch.column(1))):
-                    phrases = _Phrases(batch.slice(a, b - a))
-                    for shorter in filters:
-                        phrases.extend(shorter)
-                    yield phrases.counts()
-                    for _ in range(sizes - 1):
-                        phrases.extend(None)
-                        yield phrases.counts()
+                    phrases = _Phrases(batch.slice(a, b - a), held[0], spelled)
+                    for size in range(1, sizes[-1] + 1):
+                        if size > 1:
+                            phrases.extend(held[size - 1])
+                        if size in sizes:
+                            yield phrases.counts() if spelled else phrases.sums()
 
         return count
 
-    levels = []
-    for sizes in passes:
-        each = dictionary.mapInArrow(counter(sizes), "lang string, phrase string, hash long, a long, size int")
-        total = each.groupBy("lang", "phrase").agg(
-            F.sum("a").alias("a"), F.min("hash").alias("hash"), F.min("size").alias("size")
-        )
-        kept = stored(total.filter(F.col("a") >= least), f"phrases-{len(levels) + 1}")
-        levels.append(kept.drop("hash"))
-        if len(levels) < len(passes):
-            filters = [*filters, KeyFilter.of(kept.select("hash"))]
-            if not filters[-1].keys:
-                break
+    # Few phrases of three words are left to count, and the longer ones lie within them, so that reading
+    # the dictionary once more would cost more than counting those that a further filter would drop.
+    for size in range(1, min(longest, 3)):
+        each = dictionary.mapInArrow(counter(range(size, size + 1)), "hash long, a long")
+        # Phrases of one hash are counted together, and none of them is more frequent than their sum.
+        total = each.groupBy("hash").agg(F.sum("a").alias("a"))
+        kept = stored(total.filter(F.col("a") >= least).select("hash"), f"phrase-hashes-{size}")
+        filters = [*filters, KeyFilter.of(kept)]
+    each = dictionary.mapInArrow(counter(range(1, longest + 1)), "lang string, phrase string, a long, size int")
+    total = each.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.min("size").alias("size"))
+    found = stored(total.filter(F.col("a") >= least), "phrases")
     for filter_ in filters:
         filter_.free()
-    union = levels[0]
-    for level in levels[1:]:
-        union = union.unionByName(level)
-    return union
+    return found
 
 
 def collocations(
@@ -261,7 +280,7 @@ def collocations(
     """
     dictionary = chunk_dictionary(docs, longest, every)
     totals = dictionary.groupBy("lang").agg(F.sum(F.col("owned") * F.col("copies")).alias("n"))
-    known = stored(frequent_phrases(dictionary, longest, least), "phrases")
+    known = frequent_phrases(dictionary, longest, least)
     candidates = known.filter("size > 1")
     words = F.split("phrase", " ")
 

@@ -126,3 +126,14 @@ def test_longer_phrases_are_counted_in_one_pass(spark, texts, monkeypatch, longe
     got = phrase_mining.frequent_phrases(dictionary, longest, least=25).collect()
     assert len(kept) == 1 + passes
     assert all(r.size == len(r.phrase.split(" ")) for r in got) and {r.size for r in got} == set(range(1, longest + 1))
+
+
+@pytest.mark.parametrize("longest", [1, 2, 5])
+def test_rare_phrases_do_not_travel_as_texts(spark, texts, monkeypatch, longest):
+    kept, whole = [], phrase_mining.stored
+    monkeypatch.setattr(phrase_mining, "stored", lambda df, label: kept.append(df) or whole(df, label))
+    dictionary = chunk_dictionary(spark.createDataFrame(texts, TEXT), every=5)
+    phrase_mining.frequent_phrases(dictionary, longest, least=25)
+    hashed, spelled = kept[1:-1], kept[-1]
+    assert all(df.dtypes == [("hash", "bigint")] for df in hashed) and len(hashed) == min(longest, 3) - 1
+    assert "phrase" in spelled.columns and "hash" not in spelled.columns
