@@ -383,18 +383,39 @@ def _bytes(sets: DataFrame) -> int:
     return sets.agg(F.sum(F.length("found").cast("long")).alias("bytes")).first()["bytes"] or 0
 
 
+def _placed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, block_a, block_b: the blocks in which the pairs' sets meet.
+
+    Blocks hold some BLOCK_BYTES of sets. Classes whose smallest partner is the same are mostly partners of
+    each other, so they go to one block while they take a small part of it, and else each by its own hash.
+    """
+    held = _bytes(sets)
+    blocks = F.lit(held // BLOCK_BYTES + 1)
+    one, two = pairs.select(F.col("a").alias("cid"), "b"), pairs.select(F.col("b").alias("cid"), F.col("a").alias("b"))
+    ends = one.unionByName(two).groupBy("cid").agg(F.min("b").alias("b"))
+    sized = ends.select("cid", F.least("cid", "b").alias("label")).join(
+        sets.select("cid", F.length("found").cast("long").alias("bytes")), "cid", "left"
+    )
+    sized = stored(sized, "partners")
+    groups = sized.groupBy("label").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") <= BLOCK_BYTES // 8)
+    homes = sized.select("cid", "label").join(groups.select("label"), "label").select("cid", F.col("label").alias("home"))
+    out = pairs.select("a", "b")
+    for side in "ab":
+        named = homes.select(F.col("cid").alias(side), F.col("home").alias(f"home_{side}"))
+        block = F.pmod(F.xxhash64(F.coalesce(f"home_{side}", side)), blocks)
+        out = out.join(named, side, "left").withColumn(f"block_{side}", block).drop(f"home_{side}")
+    return stored(out.select("a", "b", "block_a", "block_b"), "placed-pairs")
+
+
 def _verified(sets_of: Callable[[DataFrame], DataFrame], pairs: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. ``sets_of`` gives the sets of wanted classes, and may give others.
 
-    Classes are dealt into blocks by hash. A set travels once for each pair of blocks that holds partners of
-    it, not once for each partner; a task holds the sets of two blocks at a time.
+    Classes are dealt into blocks, those of one neighbourhood into one. A set travels once for each pair of
+    blocks that holds partners of it, not once for each partner; a task holds the sets of two blocks at a time.
     """
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     sets = sets_of(ends)
-    blocks = F.lit(_bytes(sets) // BLOCK_BYTES + 1)
-    placed = pairs.select(
-        "a", "b", F.pmod(F.xxhash64("a"), blocks).alias("block_a"), F.pmod(F.xxhash64("b"), blocks).alias("block_b")
-    )
+    placed = _placed(pairs, sets)
     asking = placed.select("block_a", "block_b", F.col("a").alias("cid"), F.col("b").alias("partner"))
     none = F.lit(None).cast("long").alias("partner")
     asked = placed.select("block_a", "block_b", F.col("b").alias("cid"), none)

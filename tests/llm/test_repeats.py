@@ -289,3 +289,21 @@ def test_crowds_are_searched_in_levels_or_in_full(spark, monkeypatch, most):
     monkeypatch.setattr(join, "_rare_first", lambda *given: searched.append(1) or search(*given))
     assert joined(documents(spark, rows)) == similar_groups(rows)
     assert bool(searched) == (most == 0)
+
+
+def test_partners_meet_in_one_block(spark, monkeypatch):
+    monkeypatch.setattr(join, "BLOCK_BYTES", 4000)
+    clusters = [range(k * 1000, k * 1000 + 6) for k in range(40)]
+    pairs = [(a, b) for c in clusters for a in c for b in c if a < b]
+    pairs += [(a, b) for a in range(90_000, 90_040) for b in range(a + 1, 90_040)]  # takes more than a part of a block
+    sets = [(cid, bytes(80)) for cid in {x for p in pairs for x in p}]
+    placed = join._placed(
+        spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(sets, "cid long, found binary")
+    ).collect()
+    assert sorted((r.a, r.b) for r in placed) == sorted(pairs)
+    met = {}
+    for r in placed:
+        for cid in (r.a, r.b):
+            met.setdefault(cid, set()).add((r.block_a, r.block_b))
+    assert all(len(met[x]) == 1 for c in clusters for x in c)
+    assert max(len(met[x]) for x in range(90_000, 90_040)) > 1
