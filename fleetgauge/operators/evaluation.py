@@ -19,6 +19,7 @@ from fleetgauge.functions.text import looks_like_code, sanitize_completion, vali
 from fleetgauge.plans.ordered import (
     DEFAULT_LIMITS,
     SliceLimits,
+    by_rows,
     with_ordinal,
     with_running_sum,
 )
@@ -476,7 +477,9 @@ def peak_concurrency(
     )
     at = F.unix_micros("t") / 1e6 if dict(net.dtypes)["t"] == "timestamp" else F.col("t")
     within = Window.partitionBy(*keys, "__bucket").orderBy("t")
-    risen = net.withColumn("__bucket", F.floor(at / bucket_s)).withColumn("__up", F.sum("d").over(within))
+    # Instants compress well, so that a partition of few bytes would hold millions of them: tasks go by rows.
+    dealt = by_rows(net.withColumn("__bucket", F.floor(at / bucket_s)), [*keys, "__bucket"], limits, "instants")
+    risen = dealt.withColumn("__up", F.sum("d").over(within))
     buckets = risen.groupBy(*keys, "__bucket").agg(
         F.sum("d").alias("d"), F.max("__up").alias("__top"), F.sum("s").alias("s")
     )

@@ -141,6 +141,16 @@ def first_rows(df: DataFrame, order: Sequence[str], count: int, limits: SliceLim
     return out
 
 
+def by_rows(df: DataFrame, keys: Sequence[str], limits: SliceLimits = DEFAULT_LIMITS, label: str = "rows") -> DataFrame:
+    """The rows, evaluated once and dealt by ``keys`` to as many tasks as their number asks for.
+
+    A twentieth of ``limits.rows_per_task`` is meant for a task, as aggregates and sorts hold several hundred
+    bytes a row, which adaptive partitions of some compressed bytes don't bound. Keys should be fine ones.
+    """
+    given = stored(df, label)
+    return given.repartition(max(1, -(-given.count() * 20 // limits.rows_per_task)), *keys)
+
+
 def _attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     right = small.select(
         *[F.col(c).alias(f"__r_{c}") for c in on],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetgauge.operators import evaluation as ev
 from fleetgauge.operators import grid, telemetry
 from fleetgauge.plans import ordered
-from fleetgauge.plans.ordered import SliceLimits, with_ordinal, with_previous, with_running_sum
+from fleetgauge.plans.ordered import SliceLimits, by_rows, with_ordinal, with_previous, with_running_sum
 
 TINY = SliceLimits(rows_per_task=40)
 
@@ -175,3 +175,20 @@ def test_first_rows_take_few_tasks_whatever_the_limit(spark, monkeypatch):
         assert sorted((r.id for r in got.collect()), key=lambda i: (i is not None, i)) == want[:count]
         assert got.columns == df.columns
     assert max(dealt) <= 8
+
+
+def test_tasks_follow_the_number_of_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    for rows, tasks in ((2_000_000, 1), (200, 100)):
+        dealt = by_rows(df, ["k", "id"], SliceLimits(rows_per_task=rows))
+        assert dealt.rdd.getNumPartitions() == tasks
+        assert sorted(map(tuple, dealt.collect())) == sorted((i % 3, i) for i in range(1000))
+
+
+def test_instants_are_dealt_by_rows(spark, monkeypatch):
+    asked, whole = [], ev.by_rows
+    monkeypatch.setattr(ev, "by_rows", lambda df, keys, *rest: asked.append(keys) or whole(df, keys, *rest))
+    rows = [("hot", float(i * 30), float(i * 30 + 90)) for i in range(200)]
+    got = ev.peak_concurrency(spark.createDataFrame(rows, "k string, start_s double, end_s double"), ["k"], limits=TINY)
+    assert [tuple(r) for r in got.collect()] == [("hot", 3, 200)]
+    assert asked == [["k", "__bucket"]]
