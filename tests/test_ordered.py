@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fleetgauge.catalog import evaluation
 from fleetgauge.operators import evaluation as ev
 from fleetgauge.operators import grid, telemetry
 from fleetgauge.plans import ordered
@@ -192,3 +193,18 @@ def test_instants_are_dealt_by_rows(spark, monkeypatch):
     got = ev.peak_concurrency(spark.createDataFrame(rows, "k string, start_s double, end_s double"), ["k"], limits=TINY)
     assert [tuple(r) for r in got.collect()] == [("hot", 3, 200)]
     assert asked == [["k", "__bucket"]]
+
+
+def test_latency_rollup_cuts_an_agent(spark, monkeypatch):
+    parts, whole = [], evaluation.by_rows
+
+    def spied(df, keys, **rest):
+        parts.append(df.select("part").distinct().count())
+        return whole(df, keys, **rest)
+
+    rows = [(7, 5, i, float(i % 50)) for i in range(400)] + [(8, 1, None, 2.0), (9, 1, 3, None)]
+    tries = spark.createDataFrame(rows, "agent_id long, gpu_id int, task_id long, latency_s double")
+    monkeypatch.setattr(evaluation, "attempts", lambda t: tries)
+    monkeypatch.setattr(evaluation, "by_rows", spied)
+    got = sorted(map(tuple, evaluation.latency_rollup(None).collect()))
+    assert got == [(7, 400, 24.5, True, True, True), (8, 1, 2.0, True, True, True)] and parts == [8]
