@@ -34,13 +34,13 @@ def given_columns(docs: DataFrame, text: Column) -> list[Column]:
     return [text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """The rows of a frame, written to the cluster's shared folder and read back.
 
     This cuts the lineage: a lost executor costs the reading of some files, not the work above.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -137,3 +137,29 @@ def test_rare_phrases_do_not_travel_as_texts(spark, texts, monkeypatch, longest)
     hashed, spelled = kept[1:-1], kept[-1]
     assert all(df.dtypes == [("hash", "bigint")] for df in hashed) and len(hashed) == min(longest, 3) - 1
     assert "phrase" in spelled.columns and "hash" not in spelled.columns
+
+
+def test_rows_of_the_shuffles_are_short(spark, texts, monkeypatch):
+    """Short hashes, language and phrase as one text, closely packed files, few tasks that repeat what is frequent."""
+    dictionary = chunk_dictionary(spark.createDataFrame(texts, TEXT), every=5)
+    files = [f.split("file:")[-1] for f in dictionary.inputFiles()]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+    seen, whole = [], type(dictionary).mapInArrow
+    monkeypatch.setattr(
+        type(dictionary), "mapInArrow", lambda self, f, schema, *a: seen.append((schema, whole(self, f, schema, *a))) or seen[-1][1]
+    )
+    found = phrase_mining.frequent_phrases(dictionary, 5, least=25)
+    hashed = [df for schema, df in seen if schema == "hash long, a long"]
+    assert all(0 <= r.hash < 1 << 40 for r in hashed[0].select("hash").collect())
+    assert [schema for schema, _ in seen if schema.startswith("spoken")] == ["spoken string, a long"]
+    assert "d e" in {r.lang for r in found.select("lang").collect()}
+    many = dictionary.repartition(400)
+    assert phrase_mining._fewer(many, 1).rdd.getNumPartitions() <= 400
+    assert phrase_mining._fewer(many, 10**9).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_languages_with_line_ends_keep_their_phrases(spark):
+    rows = [("a\nb", "one two"), ("", "one two"), ("\n", "one two")]
+    got = phrase_mining.frequent_phrases(chunk_dictionary(spark.createDataFrame(rows * 4, TEXT)), least=4).collect()
+    want = [(lang, p, 4, n) for lang in ("a\nb", "", "\n") for p, n in (("one", 1), ("two", 1), ("one two", 2))]
+    assert sorted((r.lang, r.phrase, r.a, r.size) for r in got) == sorted(want)
