@@ -1,6 +1,7 @@
 """JSON and JSONL scans with fixed schemas."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,22 @@ def read_jsonl_lenient(spark: SparkSession, paths, schema: T.StructType) -> Data
     return rows.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by four tasks a core, where Spark would start one for each of up to 10,000 folders."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, tasks = int(spark.conf.get(name)), 4 * spark.sparkContext.defaultParallelism
+    spark.conf.set(name, min(before, tasks))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_completions(spark: SparkSession, paths) -> DataFrame:
     """Completion rows; the agent id comes from the file name or the partition folder."""
-    rows = spark.read.schema(schemas.COMPLETION).option("recursiveFileLookup", True).json(paths)
+    with _few_listing_tasks(spark):
+        rows = spark.read.schema(schemas.COMPLETION).option("recursiveFileLookup", True).json(paths)
     path = F.col("_metadata.file_path")
     agent = F.coalesce(
         F.nullif(F.regexp_extract(path, r"agent_([0-9]+)_results", 1), F.lit("")),

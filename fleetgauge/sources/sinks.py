@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.numbers import fixed_point
 from fleetgauge.plans.ordered import DEFAULT_LIMITS, SliceLimits, with_ordinal
+from fleetgauge.sources import by_key
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -37,7 +38,11 @@ def write_by_key(df: DataFrame, path: str, by: Sequence[str]) -> None:
     The rebalance hint brings a key's rows together so it has few files, and lets the adaptive
     planner cut a key that outgrows one partition into several and merge small ones.
     """
-    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).json(path)
+    root = by_key.mounted(df.sparkSession, path)
+    if root:
+        by_key.write_json(df, root, by, replace_all=True)
+    else:
+        df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).json(path)
 
 
 def replace_by_key(df: DataFrame, path: str, by: Sequence[str]) -> None:
