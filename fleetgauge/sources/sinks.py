@@ -50,8 +50,12 @@ def replace_by_key(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
     A rerun of one cell of a sweep leaves the other cells as they are.
     """
-    writer = df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*by).json(path)
+    root = by_key.mounted(df.sparkSession, path)
+    if root:
+        by_key.write_json(df, root, by, replace_all=False)
+    else:
+        writer = df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*by).json(path)
 
 
 def summary_documents(

@@ -144,7 +144,7 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     sinks.write_by_key(spark.range(300).selectExpr("id AS agent_id", "'c' AS completion"), root, ["agent_id"])
     name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(name)
-    for read in (json_files.read_completions,):
+    for read in (json_files.read_completions, json_files.read_completions_by_agent):
         group = f"listing {read.__name__}"
         spark.sparkContext.setJobGroup(group, group)
         rows = read(spark, root)
@@ -153,3 +153,12 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
         assert stages and max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism < 300
         assert rows.count() == 300 and spark.conf.get(name) == before
     spark.sparkContext._jsc.sc().clearJobGroup()
+
+
+def test_a_replaced_folder_is_written_by_tasks(spark, tmp_path):
+    root = f"{tmp_path}/many"
+    df = spark.range(300).selectExpr("id AS agent_id", "'c' AS completion")
+    sinks.write_by_key(df, root, ["agent_id"])
+    sinks.replace_by_key(df.where("agent_id < 100"), root, ["agent_id"])
+    names = [f for _, _, found in os.walk(root) for f in found]
+    assert len(_files(root)) == 300 and not [f for f in names if f.endswith(".crc")]
