@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import io
+import re
 
 import numpy as np
 import public_tokenizers
@@ -95,6 +96,90 @@ def test_preferences_share_their_prompt(spark):
     assert preference_pairs(*echoed_answers(empty)).count() == 0
 
 
+def odd_turns():
+    """Rows of conversations: long, sparse, repeated, without an answer, on one side, null in each column."""
+    turns = [1, 1, 2, 3, 15, 16, 17, 100, -5, 2**62, None]
+    rows = [
+        (pair, turns[(pair * 7 + k * 3) % 11], ["user", "assistant", "system", None][(pair + k * k) % 4], f"t{(pair * k) % 5}")
+        for pair in range(150)
+        for k in range(pair % 9)
+    ]
+    rows += [(500, k, "assistant" if k % 2 else "user", f"long {k % 3}") for k in range(1500)]
+    rows += [(501, 0, "user", "first"), (501, 700, "assistant", "last"), (501, 900, "user", "after")]
+    rows += [(502, 0, "user", None), (502, 1, "assistant", "a"), (503, 0, None, "b"), (503, 0, "user", "a")]
+    rows += [(503, 0, "user", None), (503, 4, "assistant", None), (503, 4, "assistant", "x"), (503, 4, None, "y")]
+    return rows + [(None, 0, "user", "x"), (504, None, "user", "x"), *rows[100:140]]
+
+
+def pairs_of(chosen, rejected):
+    """What ``preference_pairs`` must return, from rows in lists."""
+    sides = [collections.defaultdict(lambda: collections.defaultdict(list)) for _ in range(2)]
+    for side, rows in zip(sides, (chosen, rejected)):
+        for pair, turn, role, text in rows:
+            if pair is not None and turn is not None:
+                side[pair][turn].append((role or "", text or ""))
+    for pair in {*sides[0], *sides[1]}:
+        both = [{turn: sorted(said) for turn, said in side[pair].items()} for side in sides]
+        end = min((t for t in {*both[0], *both[1]} if both[0].get(t) != both[1].get(t)), default=None)
+        for name, side in zip(("chosen", "rejected"), both):
+            for turn, said in side.items():
+                common = end is None or turn < end
+                for copy, (role, text) in enumerate([] if common and name == "rejected" else said, 1):
+                    part = "prompt" if common else name
+                    trained = not common and role == "assistant"
+                    yield pair, part, turn, copy, role, f"<|{role}|>\n", f"{text}\n", trained
+
+
+def echoes_of(rows):
+    """What ``echoed_answers`` must return, from rows in a list."""
+    rows = [r for r in rows if r[0] is not None and r[1] is not None]
+    chosen, rejected = [], []
+    for pair in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == pair]
+        last = max((r[1] for r in own if r[2] == "assistant"), default=None)
+        opening = min((r[3] for r in own if r[1] == min(x[1] for x in own) and r[3] is not None), default=None)
+        own = [r for r in own if last is None or r[1] <= last]
+        chosen += own
+        rejected += [(*r[:3], opening if r[1] == last and r[2] == "assistant" else r[3]) for r in own]
+    return chosen, rejected
+
+
+@pytest.fixture
+def joins_by_shuffle(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    for key, value in kept.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_preferences_of_odd_turns(spark, joins_by_shuffle, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    rows = odd_turns()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    chosen, rejected = echoed_answers(df)
+    want = echoes_of(rows)
+    assert collections.Counter(map(tuple, chosen.collect())) == collections.Counter(want[0])
+    assert collections.Counter(map(tuple, rejected.collect())) == collections.Counter(want[1])
+    got = preference_pairs(chosen, rejected).collect()
+    assert sorted(map(tuple, got)) == sorted(pairs_of(*want))
+    # Sides that come from elsewhere and are dealt otherwise.
+    other = [(p, t, r, "z" if t == 16 else x) for p, t, r, x in rows if p != 500 or t < 1400]
+    columns = "pair_id int, turn int, role string, text string"
+    sides = [[r for r in side if r[1] != 2**62] for side in (rows, other)]
+    got = preference_pairs(*(spark.createDataFrame(side, columns) for side in sides)).collect()
+    assert sorted(map(tuple, got)) == sorted(pairs_of(*sides))
+
+
+def test_preferences_deal_each_text_once(spark, joins_by_shuffle):
+    """One exchange of all turns and one of the openings; the other four hold a few numbers a pair."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = queries.op3_preferences(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"[-+] Exchange ", plan)) == 6
+    assert len(re.findall(r"FileScan parquet .*text", plan)) == 1
+
+
 def test_neighbours_reach_their_recall(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, (600, 1))
